@@ -65,6 +65,22 @@ STAFF_CODE_START, STAFF_CODE_LENGTH = 2, 4
 FOD_POSITIONAL_CODES = ("0290", "0310", "0030")
 # Year pattern of the sheet headers.
 YEAR_PATTERN = "20[0-9]{2}"
+# Column names of the building-state sheet, by position.
+STATE_COLUMNS = (
+    "Site", "num_bat", "nom_bat", "Clos/couvert", "securite",
+    "fonctionnement", "etat_energie", "confort d'usage adéquat aux besoins",
+)
+# Column names of the room survey sheet, by position (two trailing columns dropped).
+ROOM_COLUMNS = (
+    "Site", "num_bat", "Local", "Nom_usuel_local", "Libell_fichiersource/DIE",
+    "Referencefichiersource/DIE", "Surface_sol", "Unite",
+    "Nom_Tiers_accueillis", "Nom_occupants",
+    "Nombre_unites", "Surface_ajus", "Typologie UMR",
+)
+ROOM_DROPPED_POSITIONS = (14, 15)
+# Staff sheet: positions dropped, and the name of its first column.
+STAFF_DROPPED_POSITIONS = (9, 10)
+STAFF_FIRST_COLUMN = "Unite"
 # ---------------------------------------------------------------------------
 
 
