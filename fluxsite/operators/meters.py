@@ -61,7 +61,13 @@ def latest_predicate(years: dict[str, int]) -> Column:
 
 
 def latest_readings(meters_coded: DataFrame, years: dict[str, int]) -> DataFrame:
-    """Per-meter latest reading ``derniere_conso`` (one row per meter)."""
+    """Per-meter latest reading ``derniere_conso`` (one row per meter).
+
+    The latest years are literals (from the sheet headers, or one aggregate
+    collected up front), so the choice is a predicate Catalyst pushes under
+    the meters' own aggregation and to the scan: only the latest year's
+    readings are read and shuffled.
+    """
     return meters_coded.filter(latest_predicate(years)).select(
         "resource", "ordinal", "batiment", "num_bat", F.col("conso").alias("derniere_conso")
     )

@@ -34,6 +34,7 @@ class Inputs:
     staff  : Unite, Bat, ...
     meters : long readings (resource, ordinal, batiment, year, conso)
     code_map : optional (resource, ordinal, num_bat) for positional sheets
+    latest_years : optional {resource: year} read from the sheet headers
     """
 
     state: DataFrame
@@ -41,6 +42,7 @@ class Inputs:
     staff: DataFrame
     meters: DataFrame
     code_map: DataFrame | None = None
+    latest_years: dict | None = None
 
 
 class Analysis:
@@ -59,7 +61,10 @@ class Analysis:
 
     @cached_property
     def years(self) -> dict[str, int]:
-        return dict(self._years) if self._years is not None else M.latest_years(self.inputs.meters, self.cfg)
+        """Latest year per resource (from the headers when known, else one
+        small aggregate collected on demand)."""
+        known = self._years if self._years is not None else self.inputs.latest_years
+        return dict(known) if known is not None else M.latest_years(self.inputs.meters, self.cfg)
 
     @cached_property
     def latest(self) -> DataFrame:

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no Python call-site capture on every DataFrame call (plan building cost)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -26,8 +26,16 @@ NULL_YEAR = 2021
 NULL_RESOURCE = "gaz"
 
 
+_SCANS: dict = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet scan of a driver table; the (lazy) scan plan is reused within
+    a session so repeated queries skip the file listing."""
+    key = (id(spark), sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _SCANS[key]
 
 
 def _code(x) -> F.Column:
@@ -71,17 +79,27 @@ def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings summed per (supplier, resource, year) on integer keys; the
+    label, a function of the supplier, is built once per reading, not once
+    per line item."""
     li = _read(spark, sf_dir, "lineitem")
-    s = F.col("l_suppkey")
-    res = F.element_at(F.array(*[F.lit(r) for r in C.SHEET_ORDER]), ((F.col("l_linenumber") - 1) % 5 + 1).cast("int"))
+    g = li.groupBy(
+        ((F.col("l_linenumber") - 1) % 5 + 1).cast("int").alias("res_idx"),
+        F.col("l_suppkey").alias("ordinal"),
+        (F.year("l_shipdate") + 20).cast("int").alias("year"),
+    ).agg(F.sum("l_quantity").alias("conso"))
+    s = F.col("ordinal")
+    res = F.element_at(F.array(*[F.lit(r) for r in C.SHEET_ORDER]), F.col("res_idx"))
     code = F.when(s % 41 == 7, F.lit("irag")).when(s % 43 == 5, F.lit("sage")).otherwise(_code(s))
     label = F.concat(F.lit("MTP-"), code, F.lit(" compteur "), s.cast("string"))
-    year = (F.year("l_shipdate") + 20).cast("int")
-    g = li.groupBy(res.alias("resource"), s.alias("ordinal"), label.alias("batiment"), year.alias("year")).agg(
-        F.sum("l_quantity").alias("conso")
+    missing = (res == F.lit(NULL_RESOURCE)) & (s % 97 == 3) & (F.col("year") == NULL_YEAR)
+    return g.select(
+        res.alias("resource"),
+        "ordinal",
+        label.alias("batiment"),
+        "year",
+        F.when(missing, F.lit(None).cast("double")).otherwise(F.col("conso")).alias("conso"),
     )
-    missing = (F.col("resource") == F.lit(NULL_RESOURCE)) & (F.col("ordinal") % 97 == 3) & (F.col("year") == NULL_YEAR)
-    return g.withColumn("conso", F.when(missing, F.lit(None).cast("double")).otherwise(F.col("conso")))
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
