@@ -3,9 +3,10 @@
 For every standalone unit u (a label without '/'), each report row j whose
 label contains u gives ``value_j / countU_j``; a missing value poisons the
 sum. The reference tests every (unit, row) pair in an interpreted loop. Here
-the containment is an equi-join: every label is exploded into its distinct
-'/'-free substrings, which are hash-joined to the standalone units, so no
-pair of rows is ever enumerated.
+every label is exploded into its distinct '/'-free substrings (a name without
+'/' occurs in a label exactly when it is one of them) and the shares are
+summed per substring in one aggregation; a substring is kept when it is
+itself a standalone unit of the report. No pair of rows is ever enumerated.
 
 ``method="token"`` matches whole '/'-separated members instead; it equals
 the substring form when no unit name is a proper substring of another.
@@ -33,20 +34,33 @@ def redistributed_names(cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, str
     return {r: cfg.value_columns[r] + "b" for r in cfg.resources}
 
 
-def redistribute_by_unit(report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Per standalone unit of ``report`` (the per-unit report): the sum of the
-    shares of every row whose label contains it (consumption only)."""
+def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig) -> DataFrame:
+    """One row per (report row, distinct '/'-free piece of its label), with
+    the row's shares and whether the row *is* that piece (a standalone unit)."""
     vals = [cfg.value_columns[r] for r in cfg.resources]
+    k = member_count("Unite")
     rows = report.filter(F.col("Unite").isNotNull()).select(
-        "Unite", member_count("Unite").alias("_k"), *vals
+        *keys, "Unite", *[(F.col(v) / k).alias(v) for v in vals]
     )
-    units = rows.filter(~F.col("Unite").contains("/")).select(F.col("Unite").alias("unit")).distinct()
-    pieces = rows.select("*", F.explode(_pieces(F.col("Unite"), method)).alias("unit"))
-    hits = pieces.join(units, "unit")
+    exploded = rows.select("*", F.explode(_pieces(F.col("Unite"), method)).alias("piece"))
+    return exploded.withColumn("is_self", F.col("Unite") == F.col("piece"))
+
+
+def _strict_shares(cfg: AnalysisConfig):
     names = redistributed_names(cfg)
-    return hits.groupBy(F.col("unit").alias("Unite")).agg(
-        *[strict_sum(F.col(cfg.value_columns[r]) / F.col("_k")).alias(names[r]) for r in cfg.resources]
-    )
+    return [strict_sum(F.col(cfg.value_columns[r])).alias(names[r]) for r in cfg.resources]
+
+
+def redistribute_by_unit(report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Per standalone unit of ``report`` (the per-unit report): the sum of the
+    shares of every row whose label contains it (consumption only).
+
+    One aggregation keyed by the piece: a piece is output when one of its rows
+    is the standalone unit itself, so the report is read once and no join is
+    needed. Partial aggregation combines frequent pieces before the shuffle."""
+    p = _pieces_of(report, [], method, cfg)
+    g = p.groupBy("piece").agg(F.max("is_self").alias("_unit"), *_strict_shares(cfg))
+    return g.filter(F.col("_unit")).drop("_unit").withColumnRenamed("piece", "Unite")
 
 
 def redistribute_by_building_unit(
@@ -56,20 +70,11 @@ def redistribute_by_building_unit(
     unit report): the same sum restricted to rows of that building.
 
     Building containment is taken as code equality (codes are fixed-width
-    and cannot occur inside a unit label); unit containment is exact."""
-    vals = [cfg.value_columns[r] for r in cfg.resources]
-    batu = F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("Unite"))
-    rows = report.filter(F.col("Unite").isNotNull()).select(
-        "num_bat", "Unite", batu.alias("batu"), member_count("Unite").alias("_k"), *vals
-    )
-    keys = (
-        rows.filter(~F.col("batu").contains("/"))
-        .select(F.col("num_bat").alias("key_bat"), F.col("Unite").alias("unit"), "batu")
-        .distinct()
-    )
-    pieces = rows.drop("batu").select("*", F.explode(_pieces(F.col("Unite"), method)).alias("piece"))
-    hits = pieces.join(keys, pieces["num_bat"].eqNullSafe(keys["key_bat"]) & (pieces["piece"] == keys["unit"]))
+    and cannot occur inside a unit label); unit containment is exact. The
+    key's label 'num_bat-Unite' must hold no '/'."""
+    p = _pieces_of(report, ["num_bat"], method, cfg)
+    bat_ok = ~F.coalesce(F.col("num_bat").contains("/"), F.lit(False))
+    g = p.groupBy("num_bat", "piece").agg(F.max(F.col("is_self") & bat_ok).alias("_key"), *_strict_shares(cfg))
+    batu = F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("piece"))
     names = redistributed_names(cfg)
-    return hits.groupBy("batu").agg(
-        *[strict_sum(F.col(cfg.value_columns[r]) / F.col("_k")).alias(names[r]) for r in cfg.resources]
-    )
+    return g.filter(F.col("_key")).select(batu.alias("batu"), *[names[r] for r in cfg.resources])

@@ -48,10 +48,29 @@ class Inputs:
 class Analysis:
     """Lazy views of one analysis run; each property is a DataFrame plan."""
 
-    def __init__(self, inputs: Inputs, cfg: AnalysisConfig = AnalysisConfig(), years: dict | None = None):
+    def __init__(
+        self,
+        inputs: Inputs,
+        cfg: AnalysisConfig = AnalysisConfig(),
+        years: dict | None = None,
+        workdir: str | None = None,
+    ):
+        """``workdir``: a shared folder (e.g. under ``spark.checkpoint.dir``)
+        where the small building-level tables are written once per run. Every
+        output then reads them instead of recomputing them, a lost executor
+        does not replay the room and meter aggregations, and the joins see
+        their real on-disk size when choosing a broadcast."""
         self.inputs = inputs
         self.cfg = cfg
         self._years = years
+        self.workdir = workdir
+
+    def _materialize(self, name: str, df: DataFrame) -> DataFrame:
+        if not self.workdir:
+            return df
+        path = f"{self.workdir.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
 
     # -- inputs as the joins see them ------------------------------------
     @cached_property
@@ -72,12 +91,12 @@ class Analysis:
 
     @cached_property
     def occupancy(self) -> DataFrame:
-        return O.occupancy(self.inputs.rooms, self.inputs.staff, self.cfg)
+        return self._materialize("occupancy", O.occupancy(self.inputs.rooms, self.inputs.staff, self.cfg))
 
     @cached_property
     def stats_all(self) -> DataFrame:
         """Building statistics before the exclusions (global cost)."""
-        return M.building_stats(self.latest, self.cfg)
+        return self._materialize("building_stats", M.building_stats(self.latest, self.cfg))
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -150,5 +169,8 @@ class Analysis:
         return out
 
 
-def run_analysis(inputs: Inputs, cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, DataFrame]:
-    return Analysis(inputs, cfg).tables()
+def run_analysis(
+    inputs: Inputs, cfg: AnalysisConfig = AnalysisConfig(), workdir: str | None = None
+) -> dict[str, DataFrame]:
+    """The eight tables of one run (lazy), as the reference's entry point."""
+    return Analysis(inputs, cfg, workdir=workdir).tables()

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch pipeline: it recomputes every table from the three
+workbooks when the user presses a button, and has no stream, watermark,
+window over event time or stateful operator. Nothing here is built; a new
+upload is a new batch run (``fluxsite.plans.cli`` / ``run_analysis``).
+"""
