@@ -121,6 +121,10 @@ class AnalysisConfig:
     global_share: float = GLOBAL_SHARE
     # Resources whose building code comes from a (resource, ordinal) map.
     positional_code_resources: tuple[str, ...] = ("fod",)
+    # Canonicalise unit names before grouping the rooms. False reproduces the
+    # reference, which groups on the raw spelling and so can emit two rows
+    # for one (building, unit); True merges them.
+    canonicalise_first: bool = False
 
     def price(self, resource: str) -> float:
         return self.rates.price(resource)

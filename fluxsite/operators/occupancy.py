@@ -38,7 +38,10 @@ def filter_soft_delete(rooms: DataFrame, cfg: AnalysisConfig = AnalysisConfig())
 
 def clean_rooms(rooms: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Soft-delete filter plus the estimated head count ``count_pers0``."""
-    return filter_soft_delete(rooms, cfg).withColumn("count_pers0", headcount_estimate("Nom_occupants"))
+    df = filter_soft_delete(rooms, cfg).withColumn("count_pers0", headcount_estimate("Nom_occupants"))
+    if cfg.canonicalise_first:
+        df = df.withColumn("Unite", canonical_unit("Unite", cfg.unit_aliases))
+    return df
 
 
 def occupancy_by_building(rooms_clean: DataFrame) -> DataFrame:

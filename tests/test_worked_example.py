@@ -230,3 +230,13 @@ def test_year_over_year(run):
     r = rows[("elec", "0020", 2023)]
     assert_row(r, {"conso": 600.0, "conso_prev": 500.0, "evol": 100.0, "evol_pct": 20.0})
     assert rows[("elec", "0020", 2022)]["conso_prev"] is None
+
+
+def test_canonicalise_first_merges_spellings(spark, tmp_path):
+    from fluxsite.config import AnalysisConfig
+    p = write_workbooks(str(tmp_path))
+    inputs = load_inputs(spark, p["state"], p["rooms"], p["staff"], p["conso"])
+    rows = Analysis(inputs, AnalysisConfig(canonicalise_first=True)).occupancy.collect()
+    lepse = [r for r in rows if r["num_bat"] == "0010" and r["Unite"] == "LEPSE"]
+    assert len(rows) == 7 and len(lepse) == 1
+    assert_row(lepse[0], {"metrage_unite": 90.0, "metrage_unite_ajus": 70.0, "pers_unite": 4.0, "count_pers": 1})
