@@ -125,6 +125,9 @@ class AnalysisConfig:
     # reference, which groups on the raw spelling and so can emit two rows
     # for one (building, unit); True merges them.
     canonicalise_first: bool = False
+    # Salt buckets of the meter x occupancy join when the occupancy is too
+    # large to broadcast (spreads a hot building over that many tasks).
+    salt_buckets: int = 64
 
     def price(self, resource: str) -> float:
         return self.rates.price(resource)

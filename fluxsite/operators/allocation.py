@@ -63,6 +63,41 @@ def conso_occupancy(rows: DataFrame, occ: DataFrame) -> DataFrame:
     return null_safe_left_join(rows, occupancy_dimension(occ))
 
 
+def conso_occupancy_salted(rows: DataFrame, occ: DataFrame, buckets: int) -> DataFrame:
+    """The same join for an occupancy too large to broadcast.
+
+    A building holding a third of all meters would otherwise land in one
+    join task. Each meter row gets a deterministic salt (hash of resource and
+    ordinal, so a retried task sees the same value) and every occupancy row is
+    repeated once per salt: a meter still meets each of its building's units
+    exactly once, and the hot building is spread over ``buckets`` tasks.
+    """
+    salt = F.pmod(F.xxhash64("resource", "ordinal"), F.lit(buckets)).cast("int")
+    left = rows.withColumn("_salt", salt)
+    right = (
+        occupancy_dimension(occ)
+        .withColumnRenamed("num_bat", "_rk")
+        .withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    )
+    cond = left["num_bat"].eqNullSafe(right["_rk"]) & (left["_salt"] == right["_rsalt"])
+    return left.join(right, cond, "left").drop("_rk", "_salt", "_rsalt")
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """Catalyst's size statistic of a plan (file sizes for a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(spark) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 when disabled)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if raw.endswith(suffix) and raw[: -len(suffix)].strip().lstrip("-").isdigit():
+            return int(raw[: -len(suffix)]) * units[suffix]
+    return int(raw)
+
+
 def allocate(enriched: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Share of each meter's latest reading for each occupying unit, its cost,
     cost per adjusted m2 and per staff member (IEEE division throughout)."""

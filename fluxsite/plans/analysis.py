@@ -105,9 +105,23 @@ class Analysis:
     # -- the eight returned tables ----------------------------------------
     @cached_property
     def enriched(self) -> DataFrame:
-        """Allocation table of all resources (long; one export per resource)."""
+        """Allocation table of all resources (long; one export per resource).
+
+        With a ``workdir`` the occupancy is a written table of known size: it
+        is broadcast when that size is under the broadcast threshold, and the
+        join is salted otherwise. Without one, Catalyst and AQE choose from
+        the estimated and the measured size."""
         rows = M.drop_excluded(M.pre_aggregated(self.latest, self.cfg), self.cfg)
-        joined = A.conso_occupancy(A.conso_state(rows, self.inputs.state), self.occupancy)
+        with_state = A.conso_state(rows, self.inputs.state)
+        occ = self.occupancy
+        if self.workdir:
+            limit = A.broadcast_limit(occ.sparkSession)
+            if 0 <= A.size_in_bytes(occ) <= limit:
+                joined = A.conso_occupancy(with_state, F.broadcast(occ))
+            else:
+                joined = A.conso_occupancy_salted(with_state, occ, self.cfg.salt_buckets)
+        else:
+            joined = A.conso_occupancy(with_state, occ)
         return A.allocate(joined, self.cfg)
 
     @cached_property

@@ -51,3 +51,20 @@ def test_cli(spark, tmp_path):
     paths = cli.main(argv + ["--price", "elec=0.18"])
     rows = {r["Unite"]: r for r in spark.read.parquet(paths["by_unit"]).collect()}
     assert abs(rows["AGAP"]["cout_elec"] - 221.4) < 1e-9
+
+
+def test_salted_join_equals_broadcast(spark, tmp_path):
+    from fluxsite.config import AnalysisConfig
+
+    p = write_workbooks(str(tmp_path))
+    inputs = load_inputs(spark, p["state"], p["rooms"], p["staff"], p["conso"])
+    expected = _rows(Analysis(inputs).enriched)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = Analysis(inputs, AnalysisConfig(salt_buckets=4), workdir=str(tmp_path / "w"))
+        plan = salted.enriched._jdf.queryExecution().optimizedPlan().toString()
+        assert "xxhash64" in plan
+        assert _rows(salted.enriched) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
