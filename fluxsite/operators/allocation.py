@@ -10,6 +10,7 @@ skew splitting of a hot building.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,19 @@ STATE_PREFIX_SITE = "Site_etat"
 OCCUP_PREFIX_SITE = "Site_occup"
 
 
+_PRICE_CACHE: dict = {}
+
+
 def price_factor(cfg: AnalysisConfig = AnalysisConfig()) -> tuple[Column, Column]:
     """(price, coefficient) of the row's resource as constant CASE expressions
-    (folded by Catalyst; no rates table to join)."""
+    (folded by Catalyst; no rates table to join). Built once per configuration."""
+    key = (id(SparkContext._active_spark_context), cfg.rates, tuple(cfg.resources), tuple(sorted(cfg.coefficients.items())))
+    if key not in _PRICE_CACHE:
+        _PRICE_CACHE[key] = _price_factor(cfg)
+    return _PRICE_CACHE[key]
+
+
+def _price_factor(cfg: AnalysisConfig) -> tuple[Column, Column]:
     price = coef = None
     for r in cfg.resources:
         cond = F.col("resource") == F.lit(r)

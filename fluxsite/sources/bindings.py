@@ -127,7 +127,20 @@ def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.lit("fod").alias("resource"), F.col("s_suppkey").alias("ordinal"), _code(F.col("s_suppkey")).alias("num_bat"))
 
 
+_INPUTS: dict = {}
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The five input views of a test-data folder. The view definitions (lazy
+    plans, no data) are built once per session and folder, like registering
+    temporary views; every query still reads the parquet files."""
+    key = (id(spark), sf_dir)
+    if key not in _INPUTS:
+        _INPUTS[key] = _build_inputs(spark, sf_dir)
+    return _INPUTS[key]
+
+
+def _build_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     return Inputs(
         state=state(spark, sf_dir),
         rooms=rooms(spark, sf_dir),
