@@ -352,8 +352,12 @@ def with_ctes(final: str) -> str:
 
 def rounded(final: str, doubles) -> str:
     """Wrap a query so its double columns are rounded to 4 decimals the way
-    the Spark side rounds them (snap to 1e-9, then round(x * 1e4) / 1e4)."""
+    the Spark side rounds them (snap to 1e-9, then round(x * 1e4) / 1e4),
+    with NaN shown as NULL."""
     if not doubles:
         return with_ctes(final)
-    rep = ", ".join(f"round(round({c} * 1e9) / 1e9 * 10000.0) / 10000.0 AS {c}" for c in doubles)
+    rep = ", ".join(
+        f"round(round(CASE WHEN isnan({c}) THEN NULL ELSE {c} END * 1e9) / 1e9 * 10000.0) / 10000.0 AS {c}"
+        for c in doubles
+    )
     return with_ctes(f"SELECT * REPLACE ({rep}) FROM ({final}) AS q")
