@@ -10,7 +10,6 @@ order compare equal, and NaN is shown as NULL. The SQL side does the same.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +38,6 @@ from fluxsite.sources.sheets import apply_na_tokens
 FLAGSHIP = "by_unit"
 
 
-@dataclass(frozen=True)
-class Query:
-    spark: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
-
 def round4(df: DataFrame) -> DataFrame:
     """Round every double column to 4 decimals, half away from zero.
 
