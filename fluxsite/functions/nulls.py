@@ -29,12 +29,24 @@ def sum_na_rm(x) -> Column:
     return F.coalesce(F.sum(drop_nan(x)), F.lit(0.0))
 
 
-def strict_sum(x, when: Column | None = None) -> Column:
+def strict_sum_sql(x: str, when: str | None = None) -> str:
+    """SQL text of ``strict_sum`` over a column name (and an SQL predicate)."""
+    if when is None:
+        return f"CASE WHEN count({x}) = count(1) THEN sum({x}) END"
+    v = f"CASE WHEN {when} THEN {x} END"
+    return f"CASE WHEN count({v}) = count(CASE WHEN {when} THEN 1 END) THEN sum({v}) END"
+
+
+def strict_sum(x, when: Column | str | None = None) -> Column:
     """Aggregate: sum that any NULL poisons; NaN propagates; no rows gives NULL.
 
     With ``when``, only rows where the predicate holds take part (conditional
-    aggregate used by the one-shuffle pivots).
+    aggregate used by the one-shuffle pivots). Given a column name and an SQL
+    predicate, the expression is built as SQL text in one call, which keeps
+    plans with dozens of such aggregates cheap to build.
     """
+    if isinstance(x, str) and (when is None or isinstance(when, str)):
+        return F.expr(strict_sum_sql(f"`{x}`", when))
     x = _c(x)
     if when is None:
         return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
@@ -42,8 +54,10 @@ def strict_sum(x, when: Column | None = None) -> Column:
     return F.when(F.count(v) == F.count(F.when(when, F.lit(1))), F.sum(v))
 
 
-def present(when: Column) -> Column:
+def present(when: Column | str) -> Column:
     """Aggregate: true when at least one row satisfies ``when``."""
+    if isinstance(when, str):
+        return F.expr(f"count(CASE WHEN {when} THEN 1 END) > 0")
     return F.count(F.when(when, F.lit(1))) > 0
 
 

@@ -9,13 +9,11 @@ report is reproduced per resource on the aggregated row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
-from fluxsite.functions.nulls import is_missing, present, row_sum_na_rm, strict_sum
+from fluxsite.functions.nulls import present, row_sum_na_rm, strict_sum
 from fluxsite.functions.text import member_count
 from fluxsite.operators.allocation import building_intensity, null_safe_left_join, priced
 from fluxsite.operators.meters import sum_of_shares
@@ -43,7 +41,7 @@ def wide_report(terms: DataFrame, keys, omit=(), cfg: AnalysisConfig = AnalysisC
     keys = list(keys)
     aggs = []
     for r in cfg.resources:
-        is_r = F.col("resource") == F.lit(r)
+        is_r = f"resource = '{r}'"
         aggs += [
             strict_sum("v", is_r).alias(f"_v_{r}"),
             strict_sum("c", is_r).alias(f"_c_{r}"),
@@ -52,20 +50,19 @@ def wide_report(terms: DataFrame, keys, omit=(), cfg: AnalysisConfig = AnalysisC
     g = terms.groupBy(*keys).agg(*aggs)
     keep = {}
     for r in cfg.resources:
-        k = F.col(f"_n_{r}")
+        k = [f"_n_{r}"]
         if r in omit:
-            for key in keys:
-                k = k & F.col(key).isNotNull()
-            k = k & ~is_missing(f"_v_{r}") & ~is_missing(f"_c_{r}")
-        keep[r] = k
-    g = g.filter(reduce(lambda a, b: a | b, keep.values()))
-    out = [F.col(k) for k in keys]
+            k += [f"{key} IS NOT NULL" for key in keys]
+            k += [f"NOT ({c} IS NULL OR isnan({c}))" for c in (f"_v_{r}", f"_c_{r}")]
+        keep[r] = "(" + " AND ".join(k) + ")"
+    g = g.filter(" OR ".join(keep.values()))
+    out = list(keys)
     for r in cfg.resources:
         out += [
-            F.when(keep[r], F.col(f"_v_{r}")).alias(cfg.value_columns[r]),
-            F.when(keep[r], F.col(f"_c_{r}")).alias(cfg.cost_columns[r]),
+            f"CASE WHEN {keep[r]} THEN _v_{r} END AS {cfg.value_columns[r]}",
+            f"CASE WHEN {keep[r]} THEN _c_{r} END AS {cfg.cost_columns[r]}",
         ]
-    return g.select(*out)
+    return g.selectExpr(*out)
 
 
 def cost_columns(cfg: AnalysisConfig = AnalysisConfig()) -> list[str]:
