@@ -73,6 +73,62 @@ def latest_readings(meters_coded: DataFrame, years: dict[str, int]) -> DataFrame
     )
 
 
+def sheet_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, list[int]]:
+    """Years of each resource's sheet (one small aggregate; at most one row
+    per resource and calendar year, so collecting it is bounded)."""
+    rows = (
+        meters.filter(F.col("resource").isin(list(cfg.resources)))
+        .select("resource", "year")
+        .distinct()
+        .collect()
+    )
+    out: dict[str, list[int]] = {}
+    for r in rows:
+        if r["year"] is not None:
+            out.setdefault(r["resource"], []).append(int(r["year"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def yearly_readings(
+    meters_coded: DataFrame, years: dict[str, list[int]], cfg: AnalysisConfig = AnalysisConfig()
+) -> DataFrame:
+    """Meter rows as the export shows them: one 'YYYY_conso' column per year
+    and ``derniere_conso`` = the resource's latest year.
+
+    A pivot written as conditional aggregates over the known years, in one
+    aggregation per meter (per building, NULL/NaN-skipping, for the
+    pre-aggregated resources). A resource without a year gets NULL there.
+    """
+    all_years = sorted({y for ys in years.values() for y in ys})
+    pre = F.col("resource").isin(list(cfg.pre_aggregate))
+    yr, d = F.col("year"), F.col("conso")
+    per_meter = (
+        meters_coded.filter(~pre)
+        .groupBy("resource", "ordinal", "batiment", "num_bat")
+        .agg(*[F.max(F.when(yr == y, d)).alias(f"{y}_conso") for y in all_years])
+    )
+    per_building = (
+        meters_coded.filter(pre)
+        .groupBy("resource", "num_bat")
+        .agg(
+            F.min("ordinal").alias("ordinal"),
+            *[sum_na_rm(F.when(yr == y, d)).alias(f"{y}_conso") for y in all_years],
+        )
+        .withColumn("batiment", F.lit(None).cast("string"))
+    )
+    rows = per_meter.unionByName(per_building)
+    latest = None
+    for r, ys in sorted(years.items()):
+        if not ys:
+            continue
+        cond = F.col("resource") == F.lit(r)
+        col = F.col(f"`{max(ys)}_conso`")
+        latest = F.when(cond, col) if latest is None else latest.when(cond, col)
+    if latest is None:
+        latest = F.lit(None).cast("double")
+    return rows.withColumn("derniere_conso", latest)
+
+
 def exclusion_predicate(cfg: AnalysisConfig = AnalysisConfig()) -> Column:
     """Rows to keep after the per-resource building exclusions (NULL kept)."""
     hit = F.lit(False)

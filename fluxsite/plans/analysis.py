@@ -35,6 +35,7 @@ class Inputs:
     meters : long readings (resource, ordinal, batiment, year, conso)
     code_map : optional (resource, ordinal, num_bat) for positional sheets
     latest_years : optional {resource: year} read from the sheet headers
+    sheet_years : optional {resource: [years]} read from the sheet headers
     """
 
     state: DataFrame
@@ -43,6 +44,7 @@ class Inputs:
     meters: DataFrame
     code_map: DataFrame | None = None
     latest_years: dict | None = None
+    sheet_years: dict | None = None
 
 
 class Analysis:
@@ -112,17 +114,29 @@ class Analysis:
         join is salted otherwise. Without one, Catalyst and AQE choose from
         the estimated and the measured size."""
         rows = M.drop_excluded(M.pre_aggregated(self.latest, self.cfg), self.cfg)
+        return A.allocate(self._join_dimensions(rows), self.cfg)
+
+    def _join_dimensions(self, rows: DataFrame) -> DataFrame:
         with_state = A.conso_state(rows, self.inputs.state)
         occ = self.occupancy
-        if self.workdir:
-            limit = A.broadcast_limit(occ.sparkSession)
-            if 0 <= A.size_in_bytes(occ) <= limit:
-                joined = A.conso_occupancy(with_state, F.broadcast(occ))
-            else:
-                joined = A.conso_occupancy_salted(with_state, occ, self.cfg.salt_buckets)
-        else:
-            joined = A.conso_occupancy(with_state, occ)
-        return A.allocate(joined, self.cfg)
+        if not self.workdir:
+            return A.conso_occupancy(with_state, occ)
+        if 0 <= A.size_in_bytes(occ) <= A.broadcast_limit(occ.sparkSession):
+            return A.conso_occupancy(with_state, F.broadcast(occ))
+        return A.conso_occupancy_salted(with_state, occ, self.cfg.salt_buckets)
+
+    @cached_property
+    def sheet_years(self) -> dict[str, list[int]]:
+        known = self.inputs.sheet_years
+        return dict(known) if known is not None else M.sheet_years(self.inputs.meters, self.cfg)
+
+    @cached_property
+    def enriched_wide(self) -> DataFrame:
+        """The enriched table with every yearly reading as a 'YYYY_conso'
+        column, as the reference exports it. The years are pivoted per meter
+        before the fan-out join, so the large table is not shuffled again."""
+        rows = M.drop_excluded(M.yearly_readings(self.meters, self.sheet_years, self.cfg), self.cfg)
+        return A.allocate(self._join_dimensions(rows), self.cfg)
 
     @cached_property
     def by_building(self) -> DataFrame:

@@ -249,6 +249,12 @@ def q_allocate_cost(spark, d):
     return e.select("resource", "ordinal", "num_bat", "Unite", "count_pers", "cout", "cout_par_m2", "cout_par_pers")
 
 
+def q_export_enriched(spark, d):
+    e = analysis(spark, d).enriched_wide
+    ycols = sorted(c for c in e.columns if c.endswith("_conso") and c[:4].isdigit())
+    return e.select("resource", "ordinal", "num_bat", "Unite", "metrage_unite", *ycols, "derniere_conso", "cout")
+
+
 def q_first_per_building(spark, d):
     return analysis(spark, d).stats.select("resource", "num_bat", F.col("d_first").alias("derniere_conso"))
 
@@ -445,6 +451,29 @@ FROM allocated""",
         "SELECT resource, ordinal, num_bat, Unite, count_pers, cout, cout_par_m2, cout_par_pers FROM allocated",
         ["cout", "cout_par_m2", "cout_par_pers"],
     ),
+    "export_enriched": (
+        f"""WITH wide AS (
+  SELECT resource, ordinal, num_bat, {", ".join(f'max(CASE WHEN year = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)}
+  FROM meters WHERE resource <> 'elec' GROUP BY resource, ordinal, batiment, num_bat
+  UNION ALL
+  SELECT resource, min(ordinal) AS ordinal, num_bat,
+         {", ".join(f'coalesce(sum(CASE WHEN year = {y} AND NOT isnan(conso) THEN conso END), 0.0) AS "{y}_conso"' for y in YEARS)}
+  FROM meters WHERE resource = 'elec' GROUP BY resource, num_bat),
+kept AS (
+  SELECT w.*, CASE l.y {" ".join(f'WHEN {y} THEN "{y}_conso"' for y in YEARS)} END AS derniere_conso
+  FROM wide w JOIN (SELECT resource, max(year) AS y FROM meters GROUP BY resource) l ON l.resource = w.resource
+  WHERE NOT ((w.resource = 'elec' AND coalesce(w.num_bat IN ('irag'), false))
+          OR (w.resource = 'eau' AND coalesce(w.num_bat IN ('sage'), false))))
+SELECT k.resource, k.ordinal, k.num_bat, o.Unite, o.metrage_unite,
+       {", ".join(f'k."{y}_conso"' for y in YEARS)}, k.derniere_conso,
+       k.derniere_conso * (CASE WHEN o.metrage_batiment = 0 THEN o.metrage_unite_ajus * 'inf'::DOUBLE
+                                ELSE o.metrage_unite_ajus / o.metrage_batiment END) * p.price * p.coef AS cout
+FROM kept k
+LEFT JOIN v_state s ON k.num_bat IS NOT DISTINCT FROM s.num_bat
+LEFT JOIN occupancy o ON k.num_bat IS NOT DISTINCT FROM o.num_bat
+JOIN prices p ON p.resource = k.resource""",
+        ["metrage_unite"] + [f'"{y}_conso"' for y in YEARS] + ["derniere_conso", "cout"],
+    ),
     "first_per_building": ("SELECT resource, num_bat, derniere_conso FROM first_rows", ["derniere_conso"]),
     "building_intensity": (
         "SELECT * FROM intensity",

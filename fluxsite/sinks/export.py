@@ -45,16 +45,20 @@ def write_outputs(
     out_dir: str,
     fmt: str = "parquet",
     mode: str = "overwrite",
+    with_years: bool = True,
 ) -> dict[str, str]:
     """Write the enriched table and the three reports; return their paths.
 
+    ``with_years`` keeps every yearly reading as a 'YYYY_conso' column (the
+    reference's export); without it only the latest reading is kept.
     Writes are idempotent (overwrite), so a failed job can simply be rerun;
     Spark retries lost tasks, and the output committer publishes a dataset
     only when every task of it succeeded.
     """
     paths = {"enriched": f"{out_dir}/aggregation"}
+    enriched = analysis.enriched_wide if with_years else analysis.enriched
     (
-        enriched_for_export(analysis.enriched, analysis.cfg)
+        enriched_for_export(enriched, analysis.cfg)
         .write.mode(mode)
         .partitionBy("resource")
         .format(fmt)

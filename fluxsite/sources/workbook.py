@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fluxsite import config as C
 from fluxsite.plans.analysis import Inputs
-from fluxsite.sources.headers import latest_year_column, standardise_headers, unpivot_years
+from fluxsite.sources.headers import latest_year_column, standardise_headers, unpivot_years, year_columns
 from fluxsite.sources.sheets import apply_schema, cast_columns, drop_positions, read_sheet, require_columns
 
 _ROW_BITS = 33  # monotonically_increasing_id = partition id << 33 | row in partition
@@ -101,9 +101,11 @@ def load_inputs(
     meters = None
     code_map = None
     years = {}
+    all_years = {}
     for r in C.SHEET_ORDER:
         std, long = load_meter_sheet(spark, conso_paths[r], r, fmt)
         years[r] = int(latest_year_column(std)[:4])
+        all_years[r] = sorted(int(c[:4]) for c in year_columns(std))
         meters = long if meters is None else meters.unionByName(long)
         if r in positional_codes:
             cm = positional_code_map(spark, std, r, positional_codes[r])
@@ -115,4 +117,5 @@ def load_inputs(
         meters=meters,
         code_map=code_map,
         latest_years=years,
+        sheet_years=all_years,
     )

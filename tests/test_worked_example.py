@@ -240,3 +240,22 @@ def test_canonicalise_first_merges_spellings(spark, tmp_path):
     lepse = [r for r in rows if r["num_bat"] == "0010" and r["Unite"] == "LEPSE"]
     assert len(rows) == 7 and len(lepse) == 1
     assert_row(lepse[0], {"metrage_unite": 90.0, "metrage_unite_ajus": 70.0, "pers_unite": 4.0, "count_pers": 1})
+
+
+def test_enriched_with_years(run):
+    rows = run.enriched_wide.collect()
+    assert len(rows) == 28
+    elec = [r for r in rows if r["resource"] == "elec" and r["num_bat"] == "0010" and r["Unite"] == "AGAP"][0]
+    assert_row(elec, {"2022_conso": 1000.0, "2023_conso": 110.0, "2024_conso": 1200.0, "derniere_conso": 1200.0,
+                      "conso": 400.0, "cout": 54.0, "batiment": None})
+    gaz = [r for r in rows if r["resource"] == "gaz" and r["num_bat"] == "0030"][0]
+    assert_row(gaz, {"2022_conso": 80.0, "2023_conso": 90.0, "2024_conso": None, "derniere_conso": None})
+    eau = sorted([r for r in rows if r["resource"] == "eau" and r["Unite"] == "AGAP" and r["num_bat"] == "0010"],
+                 key=lambda r: r["2024_conso"])
+    assert [r["2024_conso"] for r in eau] == [10.0, 20.0]
+    assert {r["batiment"] for r in eau} == {"MTP-0010 a", "MTP-0010 b"}
+    lazy = {(r["resource"], r["ordinal"], r["Unite"], r["metrage_unite"]): r["cout"] for r in run.enriched.collect()}
+    wide = {(r["resource"], r["ordinal"], r["Unite"], r["metrage_unite"]): r["cout"] for r in rows}
+    assert set(lazy) == set(wide)
+    for k in lazy:
+        assert same(lazy[k], wide[k])
