@@ -129,6 +129,27 @@ def yearly_readings(
     return rows.withColumn("derniere_conso", latest)
 
 
+def attach_extras(
+    rows: DataFrame, meters_coded: DataFrame, extras: DataFrame, cfg: AnalysisConfig = AnalysisConfig()
+) -> DataFrame:
+    """Attach the sheets' per-meter variation columns to the export rows:
+    per meter as read, and for the pre-aggregated resources summed per
+    building (NULL/NaN-skipping, as the reference sums every numeric column)."""
+    cols = [c for c in extras.columns if c not in ("resource", "ordinal")]
+    pre = F.col("resource").isin(list(cfg.pre_aggregate))
+    per_meter = extras.filter(~pre)
+    codes = meters_coded.filter(pre).select("resource", "ordinal", "num_bat").distinct()
+    per_building = (
+        extras.filter(pre)
+        .join(codes, ["resource", "ordinal"])
+        .groupBy("resource", "num_bat")
+        .agg(*[sum_na_rm(F.col(f"`{c}`")).alias(c) for c in cols])
+    )
+    meter_rows = rows.filter(~pre).join(per_meter, ["resource", "ordinal"], "left")
+    building_rows = rows.filter(pre).join(per_building, ["resource", "num_bat"], "left")
+    return meter_rows.unionByName(building_rows)
+
+
 def exclusion_predicate(cfg: AnalysisConfig = AnalysisConfig()) -> Column:
     """Rows to keep after the per-resource building exclusions (NULL kept)."""
     hit = F.lit(False)

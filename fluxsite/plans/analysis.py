@@ -36,6 +36,7 @@ class Inputs:
     code_map : optional (resource, ordinal, num_bat) for positional sheets
     latest_years : optional {resource: year} read from the sheet headers
     sheet_years : optional {resource: [years]} read from the sheet headers
+    sheet_extras : optional (resource, ordinal, Evol_*...) variation columns
     """
 
     state: DataFrame
@@ -45,6 +46,7 @@ class Inputs:
     code_map: DataFrame | None = None
     latest_years: dict | None = None
     sheet_years: dict | None = None
+    sheet_extras: DataFrame | None = None
 
 
 class Analysis:
@@ -135,7 +137,10 @@ class Analysis:
         """The enriched table with every yearly reading as a 'YYYY_conso'
         column, as the reference exports it. The years are pivoted per meter
         before the fan-out join, so the large table is not shuffled again."""
-        rows = M.drop_excluded(M.yearly_readings(self.meters, self.sheet_years, self.cfg), self.cfg)
+        rows = M.yearly_readings(self.meters, self.sheet_years, self.cfg)
+        if self.inputs.sheet_extras is not None:
+            rows = M.attach_extras(rows, self.meters, self.inputs.sheet_extras, self.cfg)
+        rows = M.drop_excluded(rows, self.cfg)
         return A.allocate(self._join_dimensions(rows), self.cfg)
 
     @cached_property

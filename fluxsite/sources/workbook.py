@@ -84,6 +84,17 @@ def load_meter_sheet(spark: SparkSession, path: str, resource: str, fmt: str = "
     return std, long.select("resource", "ordinal", "batiment", "year", "conso")
 
 
+def sheet_extras(std: DataFrame, resource: str) -> DataFrame | None:
+    """The sheet's variation columns ('Evol_*') per meter, as doubles; None
+    when the sheet has none. Sheets differ in which they hold."""
+    cols = [c for c in std.columns if c.startswith("Evol_")]
+    if not cols:
+        return None
+    return std.select(
+        F.lit(resource).alias("resource"), "ordinal", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in cols]
+    )
+
+
 def load_inputs(
     spark: SparkSession,
     state_path: str,
@@ -100,6 +111,7 @@ def load_inputs(
     positional_codes = {"fod": C.FOD_POSITIONAL_CODES} if positional_codes is None else positional_codes
     meters = None
     code_map = None
+    extras = None
     years = {}
     all_years = {}
     for r in C.SHEET_ORDER:
@@ -107,6 +119,10 @@ def load_inputs(
         years[r] = int(latest_year_column(std)[:4])
         all_years[r] = sorted(int(c[:4]) for c in year_columns(std))
         meters = long if meters is None else meters.unionByName(long)
+        ex = sheet_extras(std, r)
+        if ex is not None:
+            # schema drift: each sheet has its own variation columns
+            extras = ex if extras is None else extras.unionByName(ex, allowMissingColumns=True)
         if r in positional_codes:
             cm = positional_code_map(spark, std, r, positional_codes[r])
             code_map = cm if code_map is None else code_map.unionByName(cm)
@@ -118,4 +134,5 @@ def load_inputs(
         code_map=code_map,
         latest_years=years,
         sheet_years=all_years,
+        sheet_extras=extras,
     )

@@ -57,3 +57,20 @@ def test_file_position_is_contiguous(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r["k"] + 1, r["position"]) for r in rows) == [(i, i) for i in range(1, 5001)]
+
+
+def test_schema_drift_of_variation_columns(spark, tmp_path, monkeypatch):
+    """Sheets carry different 'Evol_*' columns (A12): they are unioned by name
+    and reach the export; electricity sums them per building (Q7)."""
+    import worked_example as W
+    from fluxsite.plans.analysis import Analysis
+
+    conso = dict(W.CONSO)
+    conso["gaz"] = [W.CONSO_HEADER[:4] + ["Evol 2023/2024 en %"]] + [row[:4] + ["5"] for row in W.CONSO["gaz"][1:]]
+    conso["elec"] = [W.CONSO_HEADER] + [row[:4] + ["10", "1", "c"] for row in W.CONSO["elec"][1:]]
+    monkeypatch.setattr(W, "CONSO", conso)
+    p = W.write_workbooks(str(tmp_path))
+    a = Analysis(load_inputs(spark, p["state"], p["rooms"], p["staff"], p["conso"]))
+    rows = {r["resource"]: r for r in a.enriched_wide.filter("Unite = 'AGAP' and num_bat = '0010'").collect()}
+    assert rows["gaz"]["Evol_2023-2024"] is None and rows["gaz"]["Evol_2023-2024_p"] == 5.0
+    assert rows["elec"]["Evol_2023-2024"] == 20.0 and rows["elec"]["Evol_2023-2024_p"] == 2.0
