@@ -3,8 +3,9 @@
 ``run_analysis`` mirrors the reference's single entry point: building state,
 room survey, staff list and the five consumption sheets in; the enriched
 allocation table and the three reports out (plus the unreturned side tables
-the reference computes). Nothing is collected except the latest year of each
-resource, a result bounded by the number of configured resources.
+the reference computes). Nothing is collected to the driver except, when
+the sheet headers are not available, the years of each resource (at most one
+row per resource and calendar year).
 """
 
 from __future__ import annotations
