@@ -143,14 +143,14 @@ def building_intensity(stats: DataFrame, occ: DataFrame, state: DataFrame, cfg:
     return b.withColumn("conso_m2", conso_m2).withColumn("cout_m2", priced(F.col("conso_m2"), cfg))
 
 
-def global_cost(stats: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def global_cost(stats: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), with_total: bool = False) -> DataFrame:
     """Per resource: priced total of all latest readings (any NULL reading
-    makes it NULL) and the research-unit share of it."""
+    makes it NULL) and the research-unit share of it.
+
+    ``with_total`` adds the all-resource total (``resource`` NULL) through a
+    rollup of the same aggregation; a NULL resource total poisons it."""
     building_total = F.when(F.col("n_null") == 0, priced(F.col("d_sum"), cfg))
     per_res = stats.select("resource", building_total.alias("t"))
     total = F.when(F.count("t") == F.count(F.lit(1)), F.sum("t"))
-    return (
-        per_res.groupBy("resource")
-        .agg(total.alias("total"))
-        .withColumn("share", F.col("total") * F.lit(cfg.global_share))
-    )
+    grouped = per_res.rollup("resource") if with_total else per_res.groupBy("resource")
+    return grouped.agg(total.alias("total")).withColumn("share", F.col("total") * F.lit(cfg.global_share))

@@ -38,6 +38,11 @@ def join_multiplicity(occ: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def unit_label(cfg: AnalysisConfig = AnalysisConfig()):
+    """Display unit of the row's resource (the chart title's unit)."""
+    return F.create_map(*[x for r in cfg.resources for x in (F.lit(r), F.lit(cfg.unit_labels[r]))])[F.col("resource")]
+
+
 def series_by_year(
     meters_coded: DataFrame, occ: DataFrame, state: DataFrame, cfg: AnalysisConfig = AnalysisConfig()
 ) -> DataFrame:
@@ -47,17 +52,19 @@ def series_by_year(
     mult = join_multiplicity(occ, state).withColumnRenamed("num_bat", "_nb")
     j = bt.join(mult, bt["num_bat"].eqNullSafe(mult["_nb"]), "left")
     weight = F.coalesce(F.col("n_occ"), F.lit(1)) * F.coalesce(F.col("n_state"), F.lit(1))
-    return j.groupBy("resource", "year").agg(F.sum(F.col("conso") * weight).alias("total"))
+    out = j.groupBy("resource", "year").agg(F.sum(F.col("conso") * weight).alias("total"))
+    return out.withColumn("unit", unit_label(cfg))
 
 
 def series_by_year_raw(meters_coded: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Yearly total of each resource over the meters as read (no join, no
     exclusion)."""
-    return (
+    out = (
         meters_coded.filter(F.col("resource").isin(list(cfg.resources)))
         .groupBy("resource", "year")
         .agg(sum_na_rm("conso").alias("total"))
     )
+    return out.withColumn("unit", unit_label(cfg))
 
 
 def _long_values(report: DataFrame, key: str, cfg: AnalysisConfig) -> DataFrame:

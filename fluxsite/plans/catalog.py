@@ -326,6 +326,8 @@ OCC_COLS = ["metrage_unite", "metrage_unite_ajus", "pers_unite", "metrage_batime
 
 YEARS = list(range(2015, 2022))
 
+UNIT_SQL = "CASE {r} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.UNIT_LABELS.items()) + " END"
+
 
 def _wide_sql(resource: str) -> str:
     cols = ", ".join(f'max(CASE WHEN year = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)
@@ -523,11 +525,14 @@ FROM (SELECT * FROM ({YEAR_ROWS_SQL}) a
               OR (resource = 'eau' AND coalesce(num_bat IN ('sage'), false)))) y
 LEFT JOIN v_state s ON y.num_bat IS NOT DISTINCT FROM s.num_bat
 LEFT JOIN occupancy o ON y.num_bat IS NOT DISTINCT FROM o.num_bat
-GROUP BY y.resource, y.year""",
+GROUP BY y.resource, y.year""".replace(
+            "SELECT y.resource, y.year,", f"SELECT y.resource, y.year, {UNIT_SQL.format(r='y.resource')} AS unit,"
+        ),
         ["total"],
     ),
     "series_by_year_raw": (
-        """SELECT resource, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0) AS total
+        f"""SELECT resource, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0) AS total,
+       {UNIT_SQL.format(r='resource')} AS unit
 FROM meters GROUP BY resource, year""",
         ["total"],
     ),

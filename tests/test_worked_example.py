@@ -259,3 +259,18 @@ def test_enriched_with_years(run):
     assert set(lazy) == set(wide)
     for k in lazy:
         assert same(lazy[k], wide[k])
+
+
+def test_global_cost_rollup(run):
+    from fluxsite.operators.allocation import global_cost
+
+    rows = by(global_cost(run.stats_all, run.cfg, with_total=True).collect(), "resource")
+    assert rows[None]["total"] is None  # gaz is NULL, so the grand total is
+    no_gaz = global_cost(run.stats_all.filter("resource <> 'gaz'"), run.cfg, with_total=True)
+    total = by(no_gaz.collect(), "resource")[None]
+    assert same(total["total"], 270.0 + 147.0 + 35.7 + 31.68)
+
+
+def test_series_unit_labels(run):
+    units = {r["resource"]: r["unit"] for r in run.series_by_year_raw.collect()}
+    assert units == {"elec": "kWh", "gaz": "kWh", "eau": "m3", "fod": "kWh", "reseau": ""}
