@@ -27,14 +27,17 @@ def building_year_totals(meters_coded: DataFrame, cfg: AnalysisConfig = Analysis
 
 
 def join_multiplicity(occ: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows a building gets from the state and occupancy left joins
-    (at least one each)."""
-    o = occ.groupBy("num_bat").agg(F.count(F.lit(1)).alias("n_occ"))
-    s = state.groupBy("num_bat").agg(F.count(F.lit(1)).alias("n_state"))
-    return o.join(s, o["num_bat"].eqNullSafe(s["num_bat"]), "full").select(
-        F.coalesce(o["num_bat"], s["num_bat"]).alias("num_bat"),
-        F.coalesce(F.col("n_occ"), F.lit(1)).alias("n_occ"),
-        F.coalesce(F.col("n_state"), F.lit(1)).alias("n_state"),
+    """Rows a building gets from the state and occupancy left joins (at least
+    one each): both inputs tagged, unioned and counted in one aggregation."""
+    o = occ.select("num_bat", F.lit(1).alias("o"), F.lit(0).alias("s"))
+    s = state.select("num_bat", F.lit(0).alias("o"), F.lit(1).alias("s"))
+    return (
+        o.unionByName(s)
+        .groupBy("num_bat")
+        .agg(
+            F.greatest(F.sum("o"), F.lit(1)).alias("n_occ"),
+            F.greatest(F.sum("s"), F.lit(1)).alias("n_state"),
+        )
     )
 
 

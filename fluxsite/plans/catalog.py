@@ -65,16 +65,12 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
 # Wide sheets derived from the meter readings (one column per year), used by
 # the header, unpivot and roll-up operators.
 # --------------------------------------------------------------------------
-def sheet_years(meters: DataFrame, resource: str) -> list[int]:
-    """Years of one resource's sheet (bounded by the calendar, not the data)."""
-    rows = meters.filter(F.col("resource") == resource).select("year").distinct().collect()
-    return sorted(int(r["year"]) for r in rows)
-
-
-def raw_wide_sheet(meters: DataFrame, resource: str, years: list[int]) -> DataFrame:
-    """The resource's sheet with free-text headers, as a workbook holds it."""
-    m = meters.filter(F.col("resource") == resource)
-    wide = m.groupBy("ordinal", "batiment").pivot("year", years).agg(F.first("conso"))
+def raw_wide_sheet(meters: DataFrame, resource: str | None, years: list[int]) -> DataFrame:
+    """The resource's sheet with free-text headers, as a workbook holds it
+    (all resources in one sheet with a ``resource`` column when None)."""
+    m = meters if resource is None else meters.filter(F.col("resource") == resource)
+    keys = ["ordinal", "batiment"] if resource is not None else ["resource", "ordinal", "batiment"]
+    wide = m.groupBy(*keys).pivot("year", years).agg(F.first("conso"))
     y1, y2 = years[-2], years[-1]
     c1, c2 = F.col(f"`{y1}`"), F.col(f"`{y2}`")
     return wide.select(
@@ -84,7 +80,7 @@ def raw_wide_sheet(meters: DataFrame, resource: str, years: list[int]) -> DataFr
         (ieee_div(c2 - c1, c1) * F.lit(100.0)).alias(f"Evol {y1}/{y2} en %"),
         F.lit("relevé").alias("Commentaire"),
         F.lit(None).cast("double").alias(f"Surface {y2}"),
-        "ordinal",
+        *keys[:-1],
     )
 
 
@@ -103,7 +99,7 @@ def q_scan_na_tokens(spark, d):
 
 def q_standardise_headers(spark, d):
     m = B.meters(spark, d)
-    return standardise_headers(raw_wide_sheet(m, "elec", sheet_years(m, "elec")))
+    return standardise_headers(raw_wide_sheet(m, "elec", M.sheet_years(m)["elec"]))
 
 
 def q_extract_years(spark, d):
@@ -122,17 +118,14 @@ def q_latest_year(spark, d):
 
 def q_unpivot_years(spark, d):
     m = B.meters(spark, d)
-    out = None
-    for r in C.SHEET_ORDER:
-        std = standardise_headers(raw_wide_sheet(m, r, sheet_years(m, r)))
-        long = unpivot_years(std, ["ordinal", "batiment"]).withColumn("resource", F.lit(r))
-        out = long if out is None else out.unionByName(long)
-    return out.select("resource", "ordinal", "batiment", "year", "conso")
+    years = sorted({y for ys in M.sheet_years(m).values() for y in ys})
+    std = standardise_headers(raw_wide_sheet(m, None, years), keep=("resource", "ordinal"))
+    return unpivot_years(std, ["resource", "ordinal", "batiment"])
 
 
 def q_sum_all_numeric(spark, d):
     m = B.meters(spark, d)
-    std = standardise_headers(raw_wide_sheet(m, "elec", sheet_years(m, "elec")))
+    std = standardise_headers(raw_wide_sheet(m, "elec", M.sheet_years(m)["elec"]))
     coded = std.withColumn("num_bat", meter_building_code("batiment")).drop("ordinal")
     return M.sum_all_numeric(coded, "num_bat")
 
