@@ -106,3 +106,35 @@ def test_contains_differs_from_token_on_substring_names(spark):
     t = {r["Unite"]: r for r in redistribute_by_unit(rep, "token", CFG).collect()}
     assert c["B1"]["conso_elec_m2_kWhb"] == 1.0 + 10.0 + 2.0
     assert t["B1"]["conso_elec_m2_kWhb"] == 1.0
+
+
+def brute_force_redistribution(rows):
+    """The reference's loop, literally: for every standalone unit, every row
+    whose label contains it adds value / (slashes + 1); a missing value makes
+    the sum missing."""
+    units = []
+    for label, _ in rows:
+        if label is not None and "/" not in label and label not in units:
+            units.append(label)
+    out = {}
+    for u in units:
+        total = 0.0
+        for label, value in rows:
+            if label is not None and u in label:
+                total = None if (total is None or value is None) else total + value / (label.count("/") + 1)
+        out[u] = total
+    return out
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["B1", "B10", "B2", "B1/B2", "B10/B2", "B2/B1/B3", "B3", None]),
+                          st.one_of(st.none(), st.sampled_from([0.0, 1.0, 2.5, 4.0, 8.0]))),
+                min_size=1, max_size=12, unique_by=lambda t: t[0]))
+def test_redistribution_matches_brute_force(spark, rows):
+    schema = "Unite string, " + ", ".join(f"{c} double" for c in CFG.value_columns.values())
+    rep = spark.createDataFrame([(u, *([v] * 5)) for u, v in rows], schema)
+    got = {r["Unite"]: r["conso_elec_m2_kWhb"] for r in redistribute_by_unit(rep, "contains", CFG).collect()}
+    exp = brute_force_redistribution(rows)
+    assert set(got) == set(exp)
+    for k in exp:
+        assert same(got[k], exp[k]), (rows, k, got[k], exp[k])
