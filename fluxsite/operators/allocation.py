@@ -113,13 +113,17 @@ def allocate(enriched: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> Dat
     """Share of each meter's latest reading for each occupying unit, its cost,
     cost per adjusted m2 and per staff member (IEEE division throughout)."""
     mu, mb = F.col("metrage_unite_ajus"), F.col("metrage_batiment")
-    cout = F.col("cout")
-    return (
-        enriched.withColumn("ratio_metre", ieee_div(mu, mb))
-        .withColumn("conso", F.col("derniere_conso") * F.col("ratio_metre"))
-        .withColumn("cout", priced(F.col("conso"), cfg))
-        .withColumn("cout_par_m2", ieee_div(cout, mu))
-        .withColumn("cout_par_pers", ieee_div(cout, F.col("count_pers")))
+    ratio = ieee_div(mu, mb)
+    conso = F.col("derniere_conso") * ratio
+    cout = priced(conso, cfg)
+    return enriched.withColumns(
+        {
+            "ratio_metre": ratio,
+            "conso": conso,
+            "cout": cout,
+            "cout_par_m2": ieee_div(cout, mu),
+            "cout_par_pers": ieee_div(cout, F.col("count_pers")),
+        }
     )
 
 

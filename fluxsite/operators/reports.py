@@ -73,9 +73,7 @@ def by_unit(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConf
     """Allocated consumption and cost per unit over all buildings, member
     count of shared labels and the total cost of the unit."""
     rep = wide_report(unit_terms(stats, occ, cfg), ["Unite"], cfg.omit_incomplete, cfg)
-    return rep.withColumn("countU", member_count("Unite")).withColumn(
-        "cout_global_unite", row_sum_na_rm(cost_columns(cfg))
-    )
+    return rep.withColumns({"countU": member_count("Unite"), "cout_global_unite": row_sum_na_rm(cost_columns(cfg))})
 
 
 def by_building_unit(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -83,10 +81,12 @@ def by_building_unit(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = Ana
     dropped; key label ``batu`` = 'num_bat-Unite'."""
     rep = wide_report(unit_terms(stats, occ, cfg), ["num_bat", "Unite"], (), cfg)
     rep = rep.filter(F.col("Unite").isNotNull())
-    return (
-        rep.withColumn("countU", member_count("Unite"))
-        .withColumn("batu", F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("Unite")))
-        .withColumn("cout_global_batunite", row_sum_na_rm(cost_columns(cfg)))
+    return rep.withColumns(
+        {
+            "countU": member_count("Unite"),
+            "batu": F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("Unite")),
+            "cout_global_batunite": row_sum_na_rm(cost_columns(cfg)),
+        }
     )
 
 

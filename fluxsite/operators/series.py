@@ -100,8 +100,5 @@ def year_over_year(meters_coded: DataFrame, cfg: AnalysisConfig = AnalysisConfig
     bt = building_year_totals(meters_coded, cfg)
     w = Window.partitionBy("resource", "num_bat").orderBy("year")
     prev = F.lag("conso").over(w)
-    return (
-        bt.withColumn("conso_prev", prev)
-        .withColumn("evol", F.col("conso") - F.col("conso_prev"))
-        .withColumn("evol_pct", ieee_div(F.col("evol"), F.col("conso_prev")) * F.lit(100.0))
-    )
+    evol = F.col("conso") - prev
+    return bt.withColumns({"conso_prev": prev, "evol": evol, "evol_pct": ieee_div(evol, prev) * F.lit(100.0)})
