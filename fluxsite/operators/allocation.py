@@ -74,24 +74,35 @@ def conso_occupancy(rows: DataFrame, occ: DataFrame) -> DataFrame:
     return null_safe_left_join(rows, occupancy_dimension(occ))
 
 
-def conso_occupancy_salted(rows: DataFrame, occ: DataFrame, buckets: int) -> DataFrame:
-    """The same join for an occupancy too large to broadcast.
+def salted_left_join(left: DataFrame, right: DataFrame, buckets: int, key: str = "num_bat") -> DataFrame:
+    """Null-safe left join on ``key`` that spreads a hot key over ``buckets`` tasks.
 
     A building holding a third of all meters would otherwise land in one
-    join task. Each meter row gets a deterministic salt (hash of resource and
-    ordinal, so a retried task sees the same value) and every occupancy row is
-    repeated once per salt: a meter still meets each of its building's units
-    exactly once, and the hot building is spread over ``buckets`` tasks.
+    join task. Each left row gets a deterministic salt (hash of resource and
+    ordinal, so a retried task sees the same value) and every right row is
+    repeated once per salt: a left row still meets each of its key's right
+    rows exactly once.
     """
     salt = F.pmod(F.xxhash64("resource", "ordinal"), F.lit(buckets)).cast("int")
-    left = rows.withColumn("_salt", salt)
-    right = (
-        occupancy_dimension(occ)
-        .withColumnRenamed("num_bat", "_rk")
-        .withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    )
-    cond = left["num_bat"].eqNullSafe(right["_rk"]) & (left["_salt"] == right["_rsalt"])
-    return left.join(right, cond, "left").drop("_rk", "_salt", "_rsalt")
+    lhs = left.withColumn("_salt", salt)
+    rhs = right.withColumnRenamed(key, "_rk").withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    cond = lhs[key].eqNullSafe(rhs["_rk"]) & (lhs["_salt"] == rhs["_rsalt"])
+    return lhs.join(rhs, cond, "left").drop("_rk", "_salt", "_rsalt")
+
+
+def dimension_join(rows: DataFrame, dim: DataFrame, buckets: int) -> DataFrame:
+    """Attach a building dimension: broadcast when its size (Catalyst's
+    statistic: the file size of a written or scanned table) is under the
+    broadcast threshold, salted left join otherwise."""
+    limit = broadcast_limit(dim.sparkSession)
+    if 0 <= size_in_bytes(dim) <= limit:
+        return null_safe_left_join(rows, F.broadcast(dim))
+    return salted_left_join(rows, dim, buckets)
+
+
+def conso_occupancy_salted(rows: DataFrame, occ: DataFrame, buckets: int) -> DataFrame:
+    """Meter rows x occupying units with the salted join (see above)."""
+    return salted_left_join(rows, occupancy_dimension(occ), buckets)
 
 
 def size_in_bytes(df: DataFrame) -> int:

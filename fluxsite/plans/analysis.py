@@ -120,13 +120,15 @@ class Analysis:
         return A.allocate(self._join_dimensions(rows), self.cfg)
 
     def _join_dimensions(self, rows: DataFrame) -> DataFrame:
-        with_state = A.conso_state(rows, self.inputs.state)
-        occ = self.occupancy
+        """State and occupancy onto the meter rows. Without a ``workdir``
+        Catalyst and AQE choose the strategy; with one, the occupancy is a
+        written table of known size and each dimension is broadcast when its
+        size is under the threshold, or joined with a salt otherwise."""
         if not self.workdir:
-            return A.conso_occupancy(with_state, occ)
-        if 0 <= A.size_in_bytes(occ) <= A.broadcast_limit(occ.sparkSession):
-            return A.conso_occupancy(with_state, F.broadcast(occ))
-        return A.conso_occupancy_salted(with_state, occ, self.cfg.salt_buckets)
+            return A.conso_occupancy(A.conso_state(rows, self.inputs.state), self.occupancy)
+        buckets = self.cfg.salt_buckets
+        with_state = A.dimension_join(rows, A.state_dimension(self.inputs.state), buckets)
+        return A.dimension_join(with_state, A.occupancy_dimension(self.occupancy), buckets)
 
     @cached_property
     def sheet_years(self) -> dict[str, list[int]]:
