@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import present, row_sum_na_rm, strict_sum
 from fluxsite.functions.text import member_count
-from fluxsite.operators.allocation import building_intensity, null_safe_left_join, priced
+from fluxsite.functions.nulls import ieee_div
+from fluxsite.operators.allocation import null_safe_left_join, priced
 from fluxsite.operators.meters import sum_of_shares
 
 
@@ -94,20 +95,44 @@ def by_building(
     stats: DataFrame, occ: DataFrame, state: DataFrame, cfg: AnalysisConfig = AnalysisConfig()
 ) -> DataFrame:
     """Per building: consumption and cost per m2 of each resource from its
-    first meter, with state and floor area taken from the electricity rows."""
-    inten = building_intensity(stats, occ, state, cfg)
-    first = cfg.resources[0]
-    is_first = F.col("resource") == F.lit(first)
+    first meter, with state and floor area taken from the electricity rows.
+
+    The building statistics, the occupancy rows and the state rows are
+    tagged, unioned and reduced by ONE ``groupBy(num_bat)``: the floor area
+    is the first occupancy row's (by site), the state the first state row's
+    (by ordinal), each resource's reading its first meter's. ``min_by`` skips
+    the rows of the other inputs because their ordering value is NULL.
+    """
+    null_s, null_d, null_l = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
+    s = stats.select("num_bat", "resource", F.col("d_first").alias("d"))
+    o = occ.select("num_bat", F.col("Site").alias("_occ_site"), "metrage_batiment")
+    st = state.select("num_bat", "etat_energie", F.col("ordinal").alias("_state_ord"))
+    u = (
+        s.select("num_bat", "resource", "d", null_s.alias("_occ_site"), null_d.alias("metrage_batiment"),
+                 null_s.alias("etat_energie"), null_l.alias("_state_ord"))
+        .unionByName(o, allowMissingColumns=True)
+        .unionByName(st, allowMissingColumns=True)
+    )
     aggs = [
-        F.max(F.when(is_first, F.col("etat_energie"))).alias("etat_energie"),
-        F.max(F.when(is_first, F.col("metrage_batiment"))).alias("metrage_batiment"),
+        F.min_by("metrage_batiment", "_occ_site").alias("_mb"),
+        F.min_by("etat_energie", "_state_ord").alias("_etat"),
     ]
     for r in cfg.resources:
-        is_r = F.col("resource") == F.lit(r)
-        aggs += [
-            F.max(F.when(is_r, F.col("conso_m2"))).alias(cfg.value_columns[r]),
-            F.max(F.when(is_r, F.col("cout_m2"))).alias(cfg.cost_columns[r]),
+        is_r = f"resource = '{r}'"
+        aggs += [F.max(F.when(F.col("resource") == F.lit(r), F.col("d"))).alias(f"_d_{r}"), present(is_r).alias(f"_n_{r}")]
+    g = u.groupBy("num_bat").agg(*aggs)
+    g = g.filter(" OR ".join(f"_n_{r}" for r in cfg.resources))
+    first = cfg.resources[0]
+    out = [
+        F.col("num_bat"),
+        F.when(F.col(f"_n_{first}"), F.col("_etat")).alias("etat_energie"),
+        F.when(F.col(f"_n_{first}"), F.col("_mb")).alias("metrage_batiment"),
+    ]
+    for r in cfg.resources:
+        conso_m2 = F.when(F.col(f"_n_{r}"), ieee_div(F.col(f"_d_{r}"), F.col("_mb")))
+        out += [
+            conso_m2.alias(cfg.value_columns[r]),
+            (conso_m2 * F.lit(cfg.price(r)) * F.lit(cfg.coef(r))).alias(cfg.cost_columns[r]),
         ]
-    rep = inten.groupBy("num_bat").agg(*aggs)
+    rep = g.select(*out)
     return rep.withColumn("cout_global_bat", row_sum_na_rm(cost_columns(cfg)))
-
