@@ -68,3 +68,29 @@ def test_salted_join_equals_broadcast(spark, tmp_path):
         assert _rows(salted.enriched) == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_csv_export(spark, tmp_path):
+    p = write_workbooks(str(tmp_path))
+    a = Analysis(load_inputs(spark, p["state"], p["rooms"], p["staff"], p["conso"]))
+    paths = write_outputs(a, str(tmp_path / "csv"), fmt="csv")
+    back = spark.read.option("header", True).csv(paths["by_unit"])
+    assert back.count() == 6 and "cout_global_unite" in back.columns
+    assert spark.read.option("header", True).csv(paths["enriched"]).count() == 28
+
+
+def test_custom_vocabulary(spark, tmp_path):
+    """Another estate: other site, other excluded units, other prices."""
+    from fluxsite.config import AnalysisConfig, Rates
+
+    p = write_workbooks(str(tmp_path))
+    inputs = load_inputs(spark, p["state"], p["rooms"], p["staff"], p["conso"])
+    other_site = Analysis(inputs, AnalysisConfig(site_pattern="Lavalette")).occupancy.collect()
+    assert [(r["Site"], r["num_bat"], r["Unite"], r["metrage_unite"]) for r in other_site] == [
+        ("Lavalette", "0400", "AGAP", 70.0)
+    ]
+    units = {r["Unite"] for r in Analysis(inputs, AnalysisConfig(excluded_units=("LEPSE",))).occupancy.collect()}
+    assert "LEPSE" not in units and "IA" in units
+    cfg2 = AnalysisConfig(rates=Rates(eau=1.0))
+    rows = {r["Unite"]: r for r in Analysis(inputs, cfg2).by_unit.collect()}
+    assert abs(rows["AGAP"]["cout_eau"] - 14.2) < 1e-9
