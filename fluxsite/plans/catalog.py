@@ -98,8 +98,8 @@ def q_scan_na_tokens(spark, d):
 
 
 def q_standardise_headers(spark, d):
-    m = B.meters(spark, d)
-    return standardise_headers(raw_wide_sheet(m, "elec", M.sheet_years(m)["elec"]))
+    inp = B.inputs(spark, d)
+    return standardise_headers(raw_wide_sheet(inp.meters, "elec", inp.sheet_years["elec"]))
 
 
 def q_extract_years(spark, d):
@@ -117,15 +117,15 @@ def q_latest_year(spark, d):
 
 
 def q_unpivot_years(spark, d):
-    m = B.meters(spark, d)
-    years = sorted({y for ys in M.sheet_years(m).values() for y in ys})
-    std = standardise_headers(raw_wide_sheet(m, None, years), keep=("resource", "ordinal"))
+    inp = B.inputs(spark, d)
+    years = sorted({y for ys in inp.sheet_years.values() for y in ys})
+    std = standardise_headers(raw_wide_sheet(inp.meters, None, years), keep=("resource", "ordinal"))
     return unpivot_years(std, ["resource", "ordinal", "batiment"])
 
 
 def q_sum_all_numeric(spark, d):
-    m = B.meters(spark, d)
-    std = standardise_headers(raw_wide_sheet(m, "elec", M.sheet_years(m)["elec"]))
+    inp = B.inputs(spark, d)
+    std = standardise_headers(raw_wide_sheet(inp.meters, "elec", inp.sheet_years["elec"]))
     coded = std.withColumn("num_bat", meter_building_code("batiment")).drop("ordinal")
     return M.sum_all_numeric(coded, "num_bat")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxsite import config as C
+from fluxsite.operators.meters import sheet_years
 from fluxsite.plans.analysis import Inputs
 
 N_BUILDINGS = 40
@@ -141,10 +142,16 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def _build_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    m = meters(spark, sf_dir)
+    # The years of each "sheet", read once when the views are defined, as the
+    # workbook loader reads them from the headers (one small aggregate).
+    years = sheet_years(m)
     return Inputs(
         state=state(spark, sf_dir),
         rooms=rooms(spark, sf_dir),
         staff=staff(spark, sf_dir),
-        meters=meters(spark, sf_dir),
+        meters=m,
         code_map=code_map(spark, sf_dir),
+        latest_years={r: max(ys) for r, ys in years.items() if ys},
+        sheet_years=years,
     )
