@@ -1,11 +1,12 @@
 """Enrichment, area-ratio allocation, pricing and per-building intensity.
 
 Joins here attach building dimensions (state, occupancy) to meter rows on the
-building code. Both dimensions are aggregates or small sheets; no broadcast
-hint is forced: Catalyst broadcasts a side whose estimated size is under
-``spark.sql.autoBroadcastJoinThreshold`` and AQE re-plans with the measured
-size of a materialised shuffle, otherwise the join stays sort-merge with AQE
-skew splitting of a hot building.
+building code. By default no hint is forced: Catalyst broadcasts a side whose
+estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` and AQE
+re-plans with the measured size of a materialised shuffle. When the caller
+has written the dimensions (``Analysis(workdir=...)``), ``dimension_join``
+checks each one's size and broadcasts it, or salts the join beyond the
+threshold so a hot building is spread over many tasks.
 """
 
 from __future__ import annotations
