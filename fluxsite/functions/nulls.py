@@ -19,13 +19,30 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def sql_str(v) -> str:
+    """A Python string as an SQL string literal."""
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A column name as an SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop_nan(x) -> Column:
     """NaN becomes NULL; other values (Inf included) pass through."""
     return F.nanvl(_c(x).cast("double"), F.lit(None).cast("double"))
 
 
+def sum_na_rm_sql(x: str) -> str:
+    """SQL text of ``sum_na_rm`` over an SQL expression."""
+    return f"coalesce(sum(nanvl(CAST({x} AS DOUBLE), CAST(NULL AS DOUBLE))), 0D)"
+
+
 def sum_na_rm(x) -> Column:
     """Aggregate: sum skipping NULL and NaN; an empty or all-missing group gives 0."""
+    if isinstance(x, str):
+        return F.expr(sum_na_rm_sql(sql_name(x)))
     return F.coalesce(F.sum(drop_nan(x)), F.lit(0.0))
 
 
@@ -83,20 +100,22 @@ def is_missing(x) -> Column:
 
 def row_sum_na_rm(cols) -> Column:
     """Horizontal sum of columns skipping NULL and NaN; all missing gives 0."""
+    if all(isinstance(c, str) for c in cols):
+        terms = [f"coalesce(nanvl(CAST({sql_name(c)} AS DOUBLE), CAST(NULL AS DOUBLE)), 0D)" for c in cols]
+        return F.expr(" + ".join(terms))
     return reduce(add, [F.coalesce(drop_nan(c), F.lit(0.0)) for c in cols])
 
 
-def sign_class_counts(x) -> list[Column]:
+def sign_class_counts(x: str) -> list[Column]:
     """Aggregates that classify a double column for exact IEEE re-summation.
 
     Spark orders NaN above every number, so the sign tests exclude NaN first.
     Returns ``[n_null, n_pos, n_neg, n_zero_or_nan]``.
     """
-    x = _c(x)
-    nan = F.isnan(x)
+    x = sql_name(x)
     return [
-        (F.count(F.lit(1)) - F.count(x)).alias("n_null"),
-        F.count(F.when(~nan & (x > 0), 1)).alias("n_pos"),
-        F.count(F.when(~nan & (x < 0), 1)).alias("n_neg"),
-        F.count(F.when(nan | (x == 0), 1)).alias("n_zero_nan"),
+        F.expr(f"count(1) - count({x})").alias("n_null"),
+        F.expr(f"count(CASE WHEN NOT isnan({x}) AND {x} > 0 THEN 1 END)").alias("n_pos"),
+        F.expr(f"count(CASE WHEN NOT isnan({x}) AND {x} < 0 THEN 1 END)").alias("n_neg"),
+        F.expr(f"count(CASE WHEN isnan({x}) OR {x} = 0 THEN 1 END)").alias("n_zero_nan"),
     ]

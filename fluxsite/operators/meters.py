@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
-from fluxsite.functions.nulls import not_in_null_safe, sign_class_counts, sum_na_rm
+from fluxsite.functions.nulls import not_in_null_safe, sign_class_counts, sql_name, sql_str, sum_na_rm
 from fluxsite.functions.text import meter_building_code
 
 METER_COLUMNS = ["resource", "ordinal", "batiment", "year", "conso"]
@@ -54,10 +54,8 @@ def latest_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> d
 def latest_predicate(years: dict[str, int]) -> Column:
     """``resource = r AND year = y_r`` for every resource, as one predicate
     that Catalyst can push towards the scan."""
-    pred = F.lit(False)
-    for r, y in sorted(years.items()):
-        pred = pred | ((F.col("resource") == F.lit(r)) & (F.col("year") == F.lit(y)))
-    return pred
+    terms = [f"(resource = {sql_str(r)} AND year = {int(y)})" for r, y in sorted(years.items())]
+    return F.expr(" OR ".join(terms) if terms else "false")
 
 
 def latest_readings(meters_coded: DataFrame, years: dict[str, int]) -> DataFrame:
@@ -152,10 +150,12 @@ def attach_extras(
 
 def exclusion_predicate(cfg: AnalysisConfig = AnalysisConfig()) -> Column:
     """Rows to keep after the per-resource building exclusions (NULL kept)."""
-    hit = F.lit(False)
-    for r, codes in sorted(cfg.excluded_buildings.items()):
-        hit = hit | ((F.col("resource") == F.lit(r)) & F.coalesce(F.col("num_bat").isin(list(codes)), F.lit(False)))
-    return ~hit
+    hits = [
+        f"(resource = {sql_str(r)} AND coalesce(num_bat IN ({', '.join(sql_str(c) for c in codes)}), false))"
+        for r, codes in sorted(cfg.excluded_buildings.items())
+        if codes
+    ]
+    return F.expr(f"NOT ({' OR '.join(hits)})" if hits else "true")
 
 
 def drop_excluded(df: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -184,34 +184,33 @@ def building_stats(latest: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) ->
     For the pre-aggregated resources the building is a single row whose value
     is the NULL- and NaN-skipping sum, as in the reference.
     """
-    d = F.col("derniere_conso")
     raw = latest.groupBy("resource", "num_bat").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *sign_class_counts(d),
-        F.sum(d).alias("d_sum"),
-        sum_na_rm(d).alias("d_sum_na_rm"),
-        F.min_by(d, F.col("ordinal")).alias("d_first"),
+        F.expr("count(1)").alias("n_rows"),
+        *sign_class_counts("derniere_conso"),
+        F.expr("sum(derniere_conso)").alias("d_sum"),
+        sum_na_rm("derniere_conso").alias("d_sum_na_rm"),
+        F.expr("min_by(derniere_conso, ordinal)").alias("d_first"),
     )
-    pre = F.col("resource").isin(list(cfg.pre_aggregate))
-    v = F.col("d_sum_na_rm")
+    pre = f"resource IN ({', '.join(sql_str(r) for r in cfg.pre_aggregate)})" if cfg.pre_aggregate else "false"
+    v = "d_sum_na_rm"
 
-    def pick(a, b):
-        return F.when(pre, a).otherwise(b)
+    def pick(a: str, b: str, name: str) -> str:
+        return f"CASE WHEN {pre} THEN {a} ELSE {b} END AS {name}"
 
-    return raw.select(
+    return raw.selectExpr(
         "resource",
         "num_bat",
-        pick(F.lit(1).cast("long"), F.col("n_rows")).alias("n_rows"),
-        pick(F.lit(0).cast("long"), F.col("n_null")).alias("n_null"),
-        pick((~F.isnan(v) & (v > 0)).cast("long"), F.col("n_pos")).alias("n_pos"),
-        pick((~F.isnan(v) & (v < 0)).cast("long"), F.col("n_neg")).alias("n_neg"),
-        pick((F.isnan(v) | (v == 0)).cast("long"), F.col("n_zero_nan")).alias("n_zero_nan"),
-        pick(v, F.col("d_sum")).alias("d_sum"),
-        pick(v, F.col("d_first")).alias("d_first"),
+        pick("1L", "n_rows", "n_rows"),
+        pick("0L", "n_null", "n_null"),
+        pick(f"CAST(NOT isnan({v}) AND {v} > 0 AS BIGINT)", "n_pos", "n_pos"),
+        pick(f"CAST(NOT isnan({v}) AND {v} < 0 AS BIGINT)", "n_neg", "n_neg"),
+        pick(f"CAST(isnan({v}) OR {v} = 0 AS BIGINT)", "n_zero_nan", "n_zero_nan"),
+        pick(v, "d_sum", "d_sum"),
+        pick(v, "d_first", "d_first"),
     )
 
 
-def sum_of_shares(mu: Column, mb: Column) -> Column:
+def sum_of_shares(mu: str, mb: str) -> Column:
     """Sum over a building's meters of ``derniere_conso * mu / mb`` rebuilt
     from ``building_stats`` columns, with the IEEE result of the row-wise sum:
 
@@ -220,18 +219,17 @@ def sum_of_shares(mu: Column, mb: Column) -> Column:
              is NaN when a NaN or both signs occur, else the common Inf
     otherwise                                    -> d_sum * mu / mb
     """
-    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
-    n_pos, n_neg, n_zn = F.col("n_pos"), F.col("n_neg"), F.col("n_zero_nan")
-    mu_pos = mu > 0
+    mu, mb = sql_name(mu), sql_name(mb)
+    inf, nan = "double('Infinity')", "double('NaN')"
     zero_div = (
-        F.when((mu == 0) | F.isnan(mu) | (n_zn > 0) | ((n_pos > 0) & (n_neg > 0)), nan)
-        .when(n_pos > 0, F.when(mu_pos, inf).otherwise(-inf))
-        .otherwise(F.when(mu_pos, -inf).otherwise(inf))
+        f"CASE WHEN {mu} = 0 OR isnan({mu}) OR n_zero_nan > 0 OR (n_pos > 0 AND n_neg > 0) THEN {nan} "
+        f"WHEN n_pos > 0 THEN CASE WHEN {mu} > 0 THEN {inf} ELSE -{inf} END "
+        f"ELSE CASE WHEN {mu} > 0 THEN -{inf} ELSE {inf} END END"
     )
-    return (
-        F.when(mu.isNull() | mb.isNull() | (F.col("n_null") > 0), F.lit(None).cast("double"))
-        .when(mb == 0, zero_div)
-        .otherwise(F.try_divide(F.col("d_sum") * mu, mb))
+    return F.expr(
+        f"CASE WHEN {mu} IS NULL OR {mb} IS NULL OR n_null > 0 THEN CAST(NULL AS DOUBLE) "
+        f"WHEN {mb} = 0 THEN {zero_div} "
+        f"ELSE try_divide(d_sum * {mu}, {mb}) END"
     )
 
 

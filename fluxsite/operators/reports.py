@@ -27,7 +27,7 @@ def unit_terms(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisC
     NULL unit and NULL values, as the left join does."""
     occ_cols = occ.select("num_bat", "Unite", "metrage_unite_ajus", "metrage_batiment")
     j = null_safe_left_join(stats, occ_cols)
-    v = sum_of_shares(F.col("metrage_unite_ajus"), F.col("metrage_batiment"))
+    v = sum_of_shares("metrage_unite_ajus", "metrage_batiment")
     return j.select("resource", "num_bat", "Unite", v.alias("v")).withColumn("c", priced(F.col("v"), cfg))
 
 
