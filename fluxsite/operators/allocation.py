@@ -28,7 +28,8 @@ _PRICE_CACHE: dict = {}
 def price_factor(cfg: AnalysisConfig = AnalysisConfig()) -> tuple[Column, Column]:
     """(price, coefficient) of the row's resource as constant CASE expressions
     (folded by Catalyst; no rates table to join). Built once per configuration."""
-    key = (id(SparkContext._active_spark_context), cfg.rates, tuple(cfg.resources), tuple(sorted(cfg.coefficients.items())))
+    sc = SparkContext._active_spark_context
+    key = (sc.applicationId if sc else None, cfg.rates, tuple(cfg.resources), tuple(sorted(cfg.coefficients.items())))
     if key not in _PRICE_CACHE:
         _PRICE_CACHE[key] = _price_factor(cfg)
     return _PRICE_CACHE[key]

@@ -33,7 +33,7 @@ _SCANS: dict = {}
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan of a driver table; the (lazy) scan plan is reused within
     a session so repeated queries skip the file listing."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SCANS:
         _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _SCANS[key]
@@ -135,7 +135,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     """The five input views of a test-data folder. The view definitions (lazy
     plans, no data) are built once per session and folder, like registering
     temporary views; every query still reads the parquet files."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INPUTS:
         _INPUTS[key] = _build_inputs(spark, sf_dir)
     return _INPUTS[key]
