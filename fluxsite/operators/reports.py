@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
-from fluxsite.functions.nulls import present, row_sum_na_rm, strict_sum
+from fluxsite.functions.nulls import present, row_sum_na_rm, sql_str, strict_sum
 from fluxsite.functions.text import member_count
 from fluxsite.functions.nulls import ieee_div
 from fluxsite.operators.allocation import null_safe_left_join, priced
@@ -42,7 +42,7 @@ def wide_report(terms: DataFrame, keys, omit=(), cfg: AnalysisConfig = AnalysisC
     keys = list(keys)
     aggs = []
     for r in cfg.resources:
-        is_r = f"resource = '{r}'"
+        is_r = f"resource = {sql_str(r)}"
         aggs += [
             strict_sum("v", is_r).alias(f"_v_{r}"),
             strict_sum("c", is_r).alias(f"_c_{r}"),
@@ -103,23 +103,18 @@ def by_building(
     (by ordinal), each resource's reading its first meter's. ``min_by`` skips
     the rows of the other inputs because their ordering value is NULL.
     """
-    null_s, null_d, null_l = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("long")
     s = stats.select("num_bat", "resource", F.col("d_first").alias("d"))
     o = occ.select("num_bat", F.col("Site").alias("_occ_site"), "metrage_batiment")
     st = state.select("num_bat", "etat_energie", F.col("ordinal").alias("_state_ord"))
-    u = (
-        s.select("num_bat", "resource", "d", null_s.alias("_occ_site"), null_d.alias("metrage_batiment"),
-                 null_s.alias("etat_energie"), null_l.alias("_state_ord"))
-        .unionByName(o, allowMissingColumns=True)
-        .unionByName(st, allowMissingColumns=True)
-    )
+    # missing columns of each input come in as typed NULLs
+    u = s.unionByName(o, allowMissingColumns=True).unionByName(st, allowMissingColumns=True)
     aggs = [
         F.min_by("metrage_batiment", "_occ_site").alias("_mb"),
         F.min_by("etat_energie", "_state_ord").alias("_etat"),
     ]
     for r in cfg.resources:
-        is_r = f"resource = '{r}'"
-        aggs += [F.max(F.when(F.col("resource") == F.lit(r), F.col("d"))).alias(f"_d_{r}"), present(is_r).alias(f"_n_{r}")]
+        is_r = f"resource = {sql_str(r)}"
+        aggs += [F.expr(f"max(CASE WHEN {is_r} THEN d END)").alias(f"_d_{r}"), present(is_r).alias(f"_n_{r}")]
     g = u.groupBy("num_bat").agg(*aggs)
     g = g.filter(" OR ".join(f"_n_{r}" for r in cfg.resources))
     first = cfg.resources[0]
