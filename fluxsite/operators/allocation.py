@@ -102,11 +102,6 @@ def dimension_join(rows: DataFrame, dim: DataFrame, buckets: int) -> DataFrame:
     return salted_left_join(rows, dim, buckets)
 
 
-def conso_occupancy_salted(rows: DataFrame, occ: DataFrame, buckets: int) -> DataFrame:
-    """Meter rows x occupying units with the salted join (see above)."""
-    return salted_left_join(rows, occupancy_dimension(occ), buckets)
-
-
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size statistic of a plan (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
