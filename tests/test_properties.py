@@ -138,3 +138,26 @@ def test_redistribution_matches_brute_force(spark, rows):
     assert set(got) == set(exp)
     for k in exp:
         assert same(got[k], exp[k]), (rows, k, got[k], exp[k])
+
+
+def test_allocated_never_exceeds_the_reading(spark):
+    """Sum over a meter's units of the allocated share <= its latest reading
+    (adjusted areas are at most the floor areas; excluded units only remove
+    shares). Checked on the sf0.001 test data."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from fluxsite.plans.analysis import Analysis
+    from fluxsite.sources import bindings as B
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        return
+    e = Analysis(B.inputs(spark, sf)).enriched
+    per_meter = e.groupBy("resource", "ordinal", "num_bat").agg(
+        F.sum("conso").alias("allocated"), F.max("derniere_conso").alias("reading")
+    )
+    bad = per_meter.filter("reading >= 0 AND allocated > reading * (1 + 1e-12)").count()
+    assert bad == 0
+    assert per_meter.filter("allocated > 0").count() > 0
