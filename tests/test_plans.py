@@ -46,3 +46,12 @@ def test_reports_are_one_aggregation(plans):
         assert "SortMergeJoin" not in p, name
         # one join: building statistics x occupancy (plus the fuel-oil code map)
         assert len(re.findall(r"HashJoin", p)) <= 3, name
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as E
+
+    df = E.entry(spark)
+    assert df.columns[:2] == ["Unite", "conso_elec_m2_kWh"] and "cout_global_unite" in df.columns
+    assert df.count() > 0
+    assert set(E.queries()) == set(E.oracle_sql()) and len(E.queries()) == 42
