@@ -1,7 +1,7 @@
 """Benchmark the headline queries.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default: all
-cores), BENCH_REPEAT (default 2; the best run counts, after one untimed warm-up
+cores), BENCH_REPEAT (default 3; the best run counts, after one untimed warm-up
 pass). A timed run builds the query's plan and executes it to completion
 through the no-op sink, so nothing is pulled to the driver.
 Prints one JSON line on stdout.
@@ -42,7 +42,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     spark = local_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2), app="fluxsite-bench",
                           extra={"spark.driver.memory": "4g"})
     qs = catalog.SPARK
