@@ -45,7 +45,9 @@ def main(argv=None) -> dict[str, str]:
     inputs = load_inputs(spark, a.state, a.rooms, a.staff, _pairs(a.conso), fmt=a.format)
     ckpt = checkpoint_dir(spark)
     run = run_folder(a.out)
-    analysis = Analysis(inputs, AnalysisConfig(rates=rates), workdir=f"{ckpt}/fluxsite-work" if ckpt else None)
+    # one work folder per application, so concurrent runs never share one
+    workdir = f"{ckpt.rstrip('/')}/fluxsite-work/{spark.sparkContext.applicationId}" if ckpt else None
+    analysis = Analysis(inputs, AnalysisConfig(rates=rates), workdir=workdir)
     return write_outputs(analysis, run, fmt=a.out_format)
 
 
