@@ -119,3 +119,33 @@ def test_header_mapping_without_years():
 
 def test_same_helper():
     assert same(float("nan"), float("nan")) and same(None, None) and not same(None, 0.0)
+
+
+def _headcount_rule(s):
+    """The head-count rule in plain Python: later rules override earlier ones."""
+    import re
+
+    if s is None:
+        return None
+    n = len(re.findall(r",|/| et | - |\+|;", s)) + 1.0
+    if "Locaux" in s:
+        n = 0.0
+    if re.search(r"véhicules|\?|COMMUN", s):
+        n = 0.0
+    if re.search(r"Salle|salle", s):
+        n = 0.0
+    if "4 personnes" in s:
+        n = 4.0
+    return n
+
+
+def test_headcount_matches_the_rule_on_random_text(spark):
+    import random
+
+    pieces = ["Dupont", ", ", "/", " et ", " - ", "+", ";", "Locaux", "?", "COMMUN", "véhicules", "Salle", "salle",
+              "4 personnes", " ", "-", "et", "x"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(T.headcount_estimate("s")).collect()]
+    assert got == [_headcount_rule(t) for t in texts]
