@@ -55,3 +55,13 @@ def test_entry_contract(spark):
     assert df.columns[:2] == ["Unite", "conso_elec_m2_kWh"] and "cout_global_unite" in df.columns
     assert df.count() > 0
     assert set(E.queries()) == set(E.oracle_sql()) and len(E.queries()) == 42
+
+
+def test_shuffle_budget(plans):
+    """Exchange budget of the reports (test-data plans: the meter readings'
+    own aggregation, the building statistics, the occupancy aggregate and its
+    window, then one aggregation for the report itself)."""
+    budget = {"by_unit": 5, "by_building_unit": 5, "by_building": 5, "series_by_year": 6, "redistribute_unit_contains": 6}
+    for name, limit in budget.items():
+        n = len(re.findall(r"Exchange hashpartitioning", plans[name]))
+        assert n <= limit, f"{name}: {n} shuffles > {limit}"
