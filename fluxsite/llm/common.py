@@ -71,3 +71,13 @@ def unit_draw(*parts: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_named(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stay`` (doc_id, sha: SHA-256 of the text) names,
+    same columns; rows equal in doc_id and text are one row."""
+    id_, sha = F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.sha2(F.encode(text_or_empty(F.col("text")), "UTF-8"), 256)
+    names = stay.select(id_.alias("__id"), F.col("sha").alias("__sha"))
+    rows = docs.withColumns({"__id": id_, "__sha": sha})
+    rows = rows.join(names, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
