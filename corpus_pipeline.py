@@ -1,19 +1,44 @@
-"""Corpus pipeline: the stages applied one after another to ``documents``."""
+"""Corpus pipeline: the stages applied one after another to ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxsite.llm import mixing
+from fluxsite.llm import exact_dedup, mixing, packing, quality_fm, simhash
 from fluxsite.llm.common import table, work_table
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores 0.5 or more; it learns from
+    the labelled rows that are not held out."""
+    return quality_fm.keep_good(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, that of the largest doc_id."""
+    return exact_dedup.keep_one(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of linked fingerprints, that of the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document taken n times is n rows."""
     return mixing.emit_copies(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences."""
+    return packing.pieces(packing.pack(docs))
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
 
 # Learned scores, fingerprints and token ids are beyond SQL; tests hold the
 # pipeline against a brute-force version.

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, sharding, simhash
+from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash
 from .common import table
 
 # A conversation that holds the template's own control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_fm.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_fm.score(docs, machine)
+    return out.select(
+        "doc_id", quality_fm.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -36,6 +45,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -51,8 +64,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
