@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash, topk, url_filter
+from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash, suffix_dedup, topk, url_filter
 from .common import table
 
 # A conversation that holds the template's own control strings.
@@ -54,6 +54,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_topk": op8_topk,
     "op9_sharding": op9_sharding,
