@@ -1,0 +1,67 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from fluxsite.llm import mixing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_targets(sizes):
+    """Reshare by weight until no target is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    total, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        level = total / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * sizes[s] * (1 + 1e-12)}
+        if not over:
+            return target | {s: weight[s] * level for s in open_}
+        target |= {s: 2.0 * sizes[s] for s in over}
+        total -= sum(2 * sizes[s] for s in over)
+        open_ -= over
+    return target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_equal_resharing(spark, seed):
+    rng = random.Random(seed)
+    sizes = {(None if k == 3 else f"s{k}"): rng.choice([0, 1, 10, 1000, 10**6, rng.randrange(10**5)]) for k in range(rng.randrange(4, 12))}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def documents(rng, n=3000):
+    return [(k, "  x".join(["w"] * rng.randrange(1, 60)), "en", rng.choice(["a", "a", "a", "b", "c", None, "d"]), 0) for k in range(n)]
+
+
+def test_copies_follow_the_rates(spark):
+    rows = documents(random.Random(1))
+    docs = spark.createDataFrame(rows, DOCS).withColumn("target", F.lit("clash")).withColumn("copies", F.lit(9))
+    plan = mixing.mix_plan(docs).collect()
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in rows}
+    assert {r.doc_id: r.size for r in plan} == size
+    assert all(int(r.target / r.source_size) <= r.copies <= -(-r.target // r.source_size) <= 2 for r in plan)
+    taken = {}
+    for r in plan:
+        taken.setdefault((r.source, r.target), []).append(r.taken)
+    assert all(sum(t) == pytest.approx(target, rel=0.1) for (_, target), t in taken.items())
+    assert sorted(plan) == sorted(mixing.mix_plan(docs).collect())
+    emitted = mixing.emit_copies(docs)
+    assert emitted.columns == docs.columns
+    times = {r.doc_id: r["count"] for r in emitted.groupBy("doc_id").count().collect()}
+    assert times == {r.doc_id: r.copies for r in plan if r.copies}
+
+
+def test_defined_cases(spark):
+    rows = [(1, None, "en", "a", 0), (2, " \n", "en", "a", 0), (None, "x y", "en", None, 0), (4, "x", "en", "b", 0), (4, "x", "en", "b", 0), (5, "w " * 100_000, "en", "b", 0)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(plan) == len(rows)
+    assert all(r.target == 0 and r.taken == 0 for r in plan if r.source == "a")
+    assert len({r.copies for r in plan if r.doc_id == 4}) == 1
+    empty = spark.createDataFrame([], DOCS)
+    assert mixing.mix_plan(empty).count() == 0 and mixing.emit_copies(empty).count() == 0
