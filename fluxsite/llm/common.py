@@ -49,6 +49,11 @@ def drop_work_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
@@ -80,4 +85,4 @@ def rows_named(docs: DataFrame, stay: DataFrame) -> DataFrame:
     names = stay.select(id_.alias("__id"), F.col("sha").alias("__sha"))
     rows = docs.withColumns({"__id": id_, "__sha": sha})
     rows = rows.join(names, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[column(c) for c in docs.columns])

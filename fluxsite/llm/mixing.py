@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_draw, word_count, work_table
+from .common import column, unit_draw, word_count, work_table
 
 WEIGHTS = (5, 2, 1)  # by rank of the source, repeating
 SHARE = (3, 2)  # all targets together: 150 % of all sizes
@@ -89,4 +89,4 @@ def emit_copies(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP, s
     )
     n = copies(F.col("doc_id"), F.col("__target"), F.col("__size"), seed)
     out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n.cast("int"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[column(c) for c in docs.columns])

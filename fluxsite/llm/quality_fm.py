@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrow_text import text_bytes
-from .common import text_or_empty, work_table
+from .common import column, text_or_empty, work_table
 
 BINS = 16  # slots per binned value
 
@@ -250,7 +250,7 @@ def keep_good(docs: DataFrame, machine: Machine, shape: Shape = Shape(), least:
     model = docs.sparkSession.sparkContext.broadcast(machine)
     names = docs.columns
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_or_empty(F.col("text")).alias("text"),
+        F.struct(*[column(c) for c in names]).alias("row"), text_or_empty(F.col("text")).alias("text"),
         F.length(text_or_empty(F.col("text"))).alias("chars"),
         (F.col("n_chars").cast("long") if "n_chars" in names else F.lit(None).cast("long")).alias("declared"),
     )
@@ -262,4 +262,4 @@ def keep_good(docs: DataFrame, machine: Machine, shape: Shape = Shape(), least:
             yield pa.RecordBatch.from_arrays([row], ["row"])
 
     out = rows.mapInArrow(run, StructType([rows.schema["row"]]))
-    return out.select(*[F.col("row")[c].alias(c) for c in names])
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])

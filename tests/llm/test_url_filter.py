@@ -1,0 +1,96 @@
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from fluxsite.llm import queries, url_filter
+
+PAGES = "page_id long, url string, html string"
+SF = "/root/testdata/sf0.001"
+
+
+def parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups()
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def rule(host, path):
+    fits = [(h + p, kind) for kind, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits, key=lambda f: len(f[0]), default=(None, None))
+
+
+def brute(pages):
+    """The whole method once more, without Spark: (host, path, rule, verdict) by page."""
+    counts = Counter()
+    for _, _, html in pages:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html or "")
+        counts.update(re.findall(r"[^\W\d_]+", text.lower()))
+    total = max(1, sum(counts.values()))
+    vocabulary = dict(sorted(((w, n) for w, n in counts.items() if len(w) <= url_filter.LONGEST), key=lambda x: (-x[1], x[0]))[: url_filter.VOCABULARY])
+
+    def cost(w):
+        return math.log(total / vocabulary[w]) if w in vocabulary else math.log(total) + len(w) * math.log(10)
+
+    def segment(token):
+        best = [(0.0, ())]
+        for end in range(1, len(token) + 1):
+            best.append(min((best[a][0] + cost(token[a:end]), best[a][1] + (token[a:end],)) for a in range(max(0, end - url_filter.LONGEST), end)))
+        return best[-1][1]
+
+    def words(host, path):
+        return [k + w for k, text in (("h:", host), ("p:", path.lower())) for t in re.findall(r"\d+|[^\W\d_]+", text) for w in (("#",) if t[0].isdigit() else segment(t))]
+
+    urls = {i: (*parts(u), *rule(*parts(u))) for i, u, _ in pages}
+    seen, prior = {"allow": Counter(), "block": Counter()}, Counter(v for *_, v in urls.values() if v)
+    for host, path, _, verdict in urls.values():
+        if verdict:
+            seen[verdict].update(map(url_filter._bucket, words(host, path)))
+
+    def judge(host, path):
+        if not prior["allow"] or not prior["block"]:
+            return "block" if prior["block"] else "allow"
+        odds = math.log(prior["block"] / prior["allow"])
+        for b in map(url_filter._bucket, words(host, path)):
+            block, allow = ((seen[v][b] + 1) / (sum(seen[v].values()) + url_filter.BUCKETS) for v in ("block", "allow"))
+            odds += math.log(block / allow)
+        return "block" if odds > 0 else "allow"
+
+    return {i: (h, p, r, v or judge(h, p)) for i, (h, p, r, v) in urls.items()}
+
+
+def got(df):
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in df.collect()}
+
+
+def test_query_equals_brute_force(spark):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    assert got(queries.op10_url_filter(spark, SF)) == brute(pages)
+
+
+def test_rules_hosts_and_paths(spark):
+    urls = {
+        1: "http://A.Net/x?q#f", 2: "http://anet/x", 3: "https://m.example.net/en/1", 4: "https://example.net/EN/1", 5: "ftp://net",
+        6: "http://net?x=://org/fr/", 7: "x://y.example.com/de/#", 8: "http://é.ORG/fr/ü", 9: "no scheme org/fr/", 10: None, 11: "", 12: "http://", 13: "http://" + "a" * 3000 + ".org/" + "b" * 20000,
+    }
+    pages = [(i, u, "<p>net org</p><script>x</script>") for i, u in urls.items()]
+    out = got(url_filter.judge(spark.createDataFrame(pages, PAGES).withColumn("host", F.lit("clash"))))
+    assert {i: o[2] for i, o in out.items() if o[2]} == {1: "net/", 3: "example.net/en/", 4: "net/", 7: "example.com/de/", 8: "org/fr/"}
+    assert out[5][:2] == ("net", "") and out[6][:2] == ("net", "") and out[8][:2] == ("é.org", "/fr/ü") and out[9][:2] == out[10][:2] == ("", "")
+    assert out == brute(pages)
+
+
+def test_segmentation_prefers_frequent_words():
+    words = url_filter.Words({"news": 50, "paper": 40, "newspaper": 1, "a": 5}, 100)
+    assert words.segment("newspaper") == ("news", "paper") and words.segment("zzznews")[-1] == "news" and words.segment("") == ()
+    assert words.of("news-paper7.a", "/Paper/2024") == ["h:news", "h:paper", "h:#", "h:a", "p:paper", "p:#"]
+
+
+def test_one_class_repeats_and_empty_table(spark):
+    rows = [(1, "http://a.net/", None), (1, "http://a.net/", None), (None, "http://b.test/", None)]
+    out = url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(out) == 3 and {r.verdict for r in out} == {"block"}
+    assert url_filter.judge(spark.createDataFrame(rows[2:], PAGES)).first().verdict == "allow"
+    assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
