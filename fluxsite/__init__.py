@@ -7,4 +7,4 @@ lazy tables, ``fluxsite.sources.workbook.load_inputs`` for the sheets,
 for the command line.
 """
 
-__all__ = ["config", "functions", "operators", "plans", "sinks", "sources", "streaming"]
+__all__ = ["config", "functions", "operators", "plans", "sinks", "sources"]

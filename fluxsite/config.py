@@ -38,6 +38,8 @@ PRE_AGGREGATE = ("elec",)
 EXCLUDED_BUILDINGS = {"elec": ("irag",), "eau": ("sage",)}
 # Occupying units that are not research units.
 EXCLUDED_UNITS = ("IA", "IA COM", "INRAE")
+# Aliases of the (unreturned) surface-by-unit summary.
+SURFACE_SUMMARY_ALIASES = {"SDAR MUTUALISÉ": "SDAR", "LEPSE/IPSIM": "LEPSE/IPSiM"}
 # Site kept in the occupancy.
 SITE_PATTERN = "Gaillarde"
 # Spelling aliases applied after upper-casing a unit name.
@@ -95,7 +97,18 @@ class Rates:
     reseau: float = DEFAULT_PRICES["reseau"]
 
     def price(self, resource: str) -> float:
-        return float(getattr(self, resource))
+        return float(getattr(self, known_resource(resource)))
+
+    @classmethod
+    def of(cls, prices: dict) -> "Rates":
+        """Rates from a {resource: price} mapping; an unknown resource fails by name."""
+        return cls(**{known_resource(r): float(p) for r, p in prices.items()})
+
+
+def known_resource(resource: str) -> str:
+    if resource not in SHEET_ORDER:
+        raise ValueError(f"unknown resource {resource!r}; known: {', '.join(SHEET_ORDER)}")
+    return resource
 
 
 @dataclass(frozen=True)
@@ -114,6 +127,9 @@ class AnalysisConfig:
     excluded_units: tuple[str, ...] = EXCLUDED_UNITS
     site_pattern: str = SITE_PATTERN
     unit_aliases: dict = field(default_factory=lambda: dict(UNIT_ALIASES))
+    surface_summary_aliases: dict = field(default_factory=lambda: dict(SURFACE_SUMMARY_ALIASES))
+    na_tokens: tuple[str, ...] = NA_TOKENS
+    positional_codes: dict = field(default_factory=lambda: {"fod": FOD_POSITIONAL_CODES})
     staff_recode_unit: str = STAFF_RECODE_UNIT
     staff_recode_building: str = STAFF_RECODE_BUILDING
     soft_delete_column: str = SOFT_DELETE_COLUMN
@@ -125,9 +141,10 @@ class AnalysisConfig:
     # reference, which groups on the raw spelling and so can emit two rows
     # for one (building, unit); True merges them.
     canonicalise_first: bool = False
-    # Salt buckets of the meter x occupancy join when the occupancy is too
-    # large to broadcast (spreads a hot building over that many tasks).
-    salt_buckets: int = 64
+
+    def __post_init__(self):
+        for r in self.resources:
+            known_resource(r)
 
     def price(self, resource: str) -> float:
         return self.rates.price(resource)

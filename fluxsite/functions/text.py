@@ -83,27 +83,21 @@ def label_tokens(x) -> Column:
     return F.array_distinct(F.split(_c(x), "/"))
 
 
-def substrings_without_slash(x) -> Column:
-    """Every distinct substring of a label that holds no '/'.
+def substrings_without_slash(x, lengths: Column) -> Column:
+    """Every distinct substring of a label that holds no '/' and has one of the
+    ``lengths`` (array<int>).
 
     A name without '/' occurs in a label exactly when it equals one of these,
     so 'label contains name' becomes a hash equi-join on the exploded array.
-    The work per label is quadratic in the length of its longest member.
+    With the lengths of the names that exist, a label gives at most its length
+    times their number.
     """
-    return _subs(_c(x))
-
-
-def _subs(col: Column) -> Column:
-    def per_token(t):
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(t) - i + 1, F.lit(1))),
-                    lambda n: F.substring(t, i, n),
-                ),
-            )
-        )
-
-    subs = F.array_distinct(F.flatten(F.transform(F.split(col, "/"), per_token)))
-    return F.filter(subs, lambda s: F.length(s) > 0)
+
+    def of_length(token: Column, n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(token) - n + 1)
+        return F.when(F.length(token) >= n, F.transform(starts, lambda i: F.substring(token, i, n))).otherwise(F.array().cast("array<string>"))
+
+    def per_token(token: Column) -> Column:
+        return F.flatten(F.transform(lengths, lambda n: of_length(token, n)))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(_c(x), "/"), per_token)))

@@ -1,17 +1,16 @@
 """Enrichment, area-ratio allocation, pricing and per-building intensity.
 
-Joins here attach building dimensions (state, occupancy) to meter rows on the
-building code. By default no hint is forced: Catalyst broadcasts a side whose
-estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` and AQE
-re-plans with the measured size of a materialised shuffle. When the caller
-has written the dimensions (``Analysis(workdir=...)``), ``dimension_join``
-checks each one's size and broadcasts it, or salts the join beyond the
-threshold so a hot building is spread over many tasks.
+State and occupancy are attached to the meter rows in one left join on the
+building code. Both are small tables of buildings and units, brought together
+first. Catalyst broadcasts them when their estimated size is under
+``spark.sql.autoBroadcastJoinThreshold`` (AQE: when their measured size is);
+beyond it the join is a sort-merge join whose two inputs are fresh exchanges
+with nothing above that needs a building's rows together, so AQE splits the
+partition of a hot building, and of no other.
 """
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +21,9 @@ STATE_PREFIX_SITE = "Site_etat"
 OCCUP_PREFIX_SITE = "Site_occup"
 
 
-_PRICE_CACHE: dict = {}
-
-
 def price_factor(cfg: AnalysisConfig = AnalysisConfig()) -> tuple[Column, Column]:
     """(price, coefficient) of the row's resource as constant CASE expressions
-    (folded by Catalyst; no rates table to join). Built once per configuration."""
-    sc = SparkContext._active_spark_context
-    key = (sc.applicationId if sc else None, cfg.rates, tuple(cfg.resources), tuple(sorted(cfg.coefficients.items())))
-    if key not in _PRICE_CACHE:
-        _PRICE_CACHE[key] = _price_factor(cfg)
-    return _PRICE_CACHE[key]
-
-
-def _price_factor(cfg: AnalysisConfig) -> tuple[Column, Column]:
+    (folded by Catalyst; no rates table to join)."""
     price = coef = None
     for r in cfg.resources:
         cond = F.col("resource") == F.lit(r)
@@ -76,45 +64,19 @@ def conso_occupancy(rows: DataFrame, occ: DataFrame) -> DataFrame:
     return null_safe_left_join(rows, occupancy_dimension(occ))
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, buckets: int, key: str = "num_bat") -> DataFrame:
-    """Null-safe left join on ``key`` that spreads a hot key over ``buckets`` tasks.
-
-    A building holding a third of all meters would otherwise land in one
-    join task. Each left row gets a deterministic salt (hash of resource and
-    ordinal, so a retried task sees the same value) and every right row is
-    repeated once per salt: a left row still meets each of its key's right
-    rows exactly once.
-    """
-    salt = F.pmod(F.xxhash64("resource", "ordinal"), F.lit(buckets)).cast("int")
-    lhs = left.withColumn("_salt", salt)
-    rhs = right.withColumnRenamed(key, "_rk").withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    cond = lhs[key].eqNullSafe(rhs["_rk"]) & (lhs["_salt"] == rhs["_rsalt"])
-    return lhs.join(rhs, cond, "left").drop("_rk", "_salt", "_rsalt")
-
-
-def dimension_join(rows: DataFrame, dim: DataFrame, buckets: int) -> DataFrame:
-    """Attach a building dimension: broadcast when its size (Catalyst's
-    statistic: the file size of a written or scanned table) is under the
-    broadcast threshold, salted left join otherwise."""
-    limit = broadcast_limit(dim.sparkSession)
-    if 0 <= size_in_bytes(dim) <= limit:
-        return null_safe_left_join(rows, F.broadcast(dim))
-    return salted_left_join(rows, dim, buckets)
-
-
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's size statistic of a plan (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_limit(spark) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 when disabled)."""
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix) and raw[: -len(suffix)].strip().lstrip("-").isdigit():
-            return int(raw[: -len(suffix)]) * units[suffix]
-    return int(raw)
+def building_dimensions(state: DataFrame, occ: DataFrame) -> DataFrame:
+    """Every combination of a building's state and occupancy rows; a building
+    with only one of them keeps its rows (column ``_nb`` is the building)."""
+    st, oc = state_dimension(state).withColumnRenamed("num_bat", "_sb"), occupancy_dimension(occ).withColumnRenamed("num_bat", "_ob")
+    both = st.withColumn("_s", F.lit(True)).join(oc, st["_sb"].eqNullSafe(oc["_ob"]), "full")
+    return both.withColumn("_nb", F.when(F.col("_s"), F.col("_sb")).otherwise(F.col("_ob"))).drop("_s", "_sb", "_ob")
+
+
+def with_dimensions(rows: DataFrame, state: DataFrame, occ: DataFrame) -> DataFrame:
+    """Meter rows x state x occupancy: the two left joins of ``conso_state`` and
+    ``conso_occupancy`` as one (a building's rows meet every combination)."""
+    dims = building_dimensions(state, occ)
+    return rows.join(dims, rows["num_bat"].eqNullSafe(dims["_nb"]), "left").drop("_nb")
 
 
 def allocate(enriched: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:

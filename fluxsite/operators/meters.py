@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import not_in_null_safe, sign_class_counts, sql_name, sql_str, sum_na_rm
@@ -36,19 +37,15 @@ def assign_building_codes(
     return joined.withColumn("num_bat", F.when(positional, F.col("_mapped")).otherwise(code)).drop("_mapped")
 
 
-def latest_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, int]:
-    """Latest year per resource (the reference reads it from the sheet header).
+def latest_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """(resource, year): the latest year of each configured resource."""
+    return meters.filter(F.col("resource").isin(list(cfg.resources))).groupBy("resource").agg(F.max("year").alias("year"))
 
-    One aggregate over two columns; the result has at most one row per
-    configured resource, so collecting it is bounded by the configuration.
-    """
-    rows = (
-        meters.filter(F.col("resource").isin(list(cfg.resources)))
-        .groupBy("resource")
-        .agg(F.max("year").alias("y"))
-        .collect()
-    )
-    return {r["resource"]: int(r["y"]) for r in rows if r["y"] is not None}
+
+def latest_year_of(years: DataFrame) -> Column:
+    """map<resource, latest year> as a scalar subquery of the plan: no job runs
+    while a query is built (at most one entry per configured resource)."""
+    return years.agg(F.map_from_entries(F.collect_list(F.struct("resource", "year")))).scalar()
 
 
 def latest_predicate(years: dict[str, int]) -> Column:
@@ -58,94 +55,56 @@ def latest_predicate(years: dict[str, int]) -> Column:
     return F.expr(" OR ".join(terms) if terms else "false")
 
 
-def latest_readings(meters_coded: DataFrame, years: dict[str, int]) -> DataFrame:
+def latest_readings(meters_coded: DataFrame, years: dict[str, int] | Column) -> DataFrame:
     """Per-meter latest reading ``derniere_conso`` (one row per meter).
 
-    The latest years are literals (from the sheet headers, or one aggregate
-    collected up front), so the choice is a predicate Catalyst pushes under
-    the meters' own aggregation and to the scan: only the latest year's
-    readings are read and shuffled.
+    ``years`` holds the latest year of each resource: literals from the sheet
+    headers, or the scalar map of ``latest_year_of``. The contract of the long
+    table (one row per meter and sheet year) makes this the sheet's latest
+    column; a meter whose cell is empty has a row with NULL.
     """
-    return meters_coded.filter(latest_predicate(years)).select(
+    keep = latest_predicate(years) if isinstance(years, dict) else F.col("year") == years[F.col("resource")]
+    return meters_coded.filter(keep).select(
         "resource", "ordinal", "batiment", "num_bat", F.col("conso").alias("derniere_conso")
     )
 
 
-def sheet_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, list[int]]:
-    """Years of each resource's sheet (one small aggregate; at most one row
-    per resource and calendar year, so collecting it is bounded)."""
-    rows = (
-        meters.filter(F.col("resource").isin(list(cfg.resources)))
-        .select("resource", "year")
-        .distinct()
-        .collect()
-    )
-    out: dict[str, list[int]] = {}
-    for r in rows:
-        if r["year"] is not None:
-            out.setdefault(r["resource"], []).append(int(r["year"]))
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def yearly_readings(
+def wide_readings(
     meters_coded: DataFrame, years: dict[str, list[int]], cfg: AnalysisConfig = AnalysisConfig()
 ) -> DataFrame:
-    """Meter rows as the export shows them: one 'YYYY_conso' column per year
-    and ``derniere_conso`` = the resource's latest year.
-
-    A pivot written as conditional aggregates over the known years, in one
-    aggregation per meter (per building, NULL/NaN-skipping, for the
-    pre-aggregated resources). A resource without a year gets NULL there.
-    """
-    all_years = sorted({y for ys in years.values() for y in ys})
-    pre = F.col("resource").isin(list(cfg.pre_aggregate))
+    """The long readings as sheets hold them: one row per meter, one
+    'YYYY_conso' column per header year and ``derniere_conso`` = the latest
+    year of the resource's sheet. One aggregation over the known years."""
     yr, d = F.col("year"), F.col("conso")
-    per_meter = (
-        meters_coded.filter(~pre)
-        .groupBy("resource", "ordinal", "batiment", "num_bat")
-        .agg(*[F.max(F.when(yr == y, d)).alias(f"{y}_conso") for y in all_years])
+    wide = meters_coded.groupBy("resource", "ordinal", "batiment", "num_bat").agg(
+        *[F.max(F.when(yr == y, d)).alias(f"{y}_conso") for y in sorted({y for ys in years.values() for y in ys})]
     )
-    per_building = (
-        meters_coded.filter(pre)
-        .groupBy("resource", "num_bat")
-        .agg(
-            F.min("ordinal").alias("ordinal"),
-            *[sum_na_rm(F.when(yr == y, d)).alias(f"{y}_conso") for y in all_years],
-        )
-        .withColumn("batiment", F.lit(None).cast("string"))
-    )
-    rows = per_meter.unionByName(per_building)
-    latest = None
+    latest = F.lit(None).cast("double")
     for r, ys in sorted(years.items()):
-        if not ys:
-            continue
-        cond = F.col("resource") == F.lit(r)
-        col = F.col(f"`{max(ys)}_conso`")
-        latest = F.when(cond, col) if latest is None else latest.when(cond, col)
-    if latest is None:
-        latest = F.lit(None).cast("double")
-    return rows.withColumn("derniere_conso", latest)
-
-
-def attach_extras(
-    rows: DataFrame, meters_coded: DataFrame, extras: DataFrame, cfg: AnalysisConfig = AnalysisConfig()
-) -> DataFrame:
-    """Attach the sheets' per-meter variation columns to the export rows:
-    per meter as read, and for the pre-aggregated resources summed per
-    building (NULL/NaN-skipping, as the reference sums every numeric column)."""
-    cols = [c for c in extras.columns if c not in ("resource", "ordinal")]
+        if ys:
+            latest = F.when(F.col("resource") == F.lit(r), F.col(f"{max(ys)}_conso")).otherwise(latest)
+    return wide.withColumn("derniere_conso", latest)
+
+
+def export_rows(wide: DataFrame, held: dict[str, list[str]], cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+    """Meter rows as the joins see them, in one aggregation: the pre-aggregated
+    resources collapse to one row per building (every numeric column summed,
+    NULL and NaN skipped), the others stay per meter.
+
+    ``held`` lists the columns that each resource's sheet holds; a column that
+    the sheet lacks stays NULL instead of becoming the sum of nothing.
+    """
+    cols = [c for c in wide.columns if c not in ("resource", "ordinal", "batiment", "num_bat")]
     pre = F.col("resource").isin(list(cfg.pre_aggregate))
-    per_meter = extras.filter(~pre)
-    codes = meters_coded.filter(pre).select("resource", "ordinal", "num_bat").distinct()
-    per_building = (
-        extras.filter(pre)
-        .join(codes, ["resource", "ordinal"])
-        .groupBy("resource", "num_bat")
-        .agg(*[sum_na_rm(F.col(f"`{c}`")).alias(c) for c in cols])
-    )
-    meter_rows = rows.filter(~pre).join(per_meter, ["resource", "ordinal"], "left")
-    building_rows = rows.filter(pre).join(per_building, ["resource", "num_bat"], "left")
-    return meter_rows.unionByName(building_rows)
+
+    def value(c: str) -> Column:
+        having = [r for r in cfg.pre_aggregate if c in held.get(r, cols)]
+        x = F.col(sql_name(c))
+        return F.when(F.col("resource").isin(having), sum_na_rm(x)).otherwise(F.max(x)).alias(c)
+
+    keys = ["resource", "num_bat", F.when(~pre, F.col("ordinal")).alias("_meter"), F.when(~pre, F.col("batiment")).alias("batiment")]
+    rows = wide.groupBy(*keys).agg(F.min("ordinal").alias("ordinal"), *[value(c) for c in cols])
+    return rows.select("resource", "ordinal", "batiment", "num_bat", *[F.col(sql_name(c)) for c in cols])
 
 
 def exclusion_predicate(cfg: AnalysisConfig = AnalysisConfig()) -> Column:
@@ -163,16 +122,8 @@ def drop_excluded(df: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> Data
 
 
 def pre_aggregated(latest: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Meter rows as the joins see them: the pre-aggregated resources (elec)
-    collapse to one NULL-free row per building, the others stay per meter."""
-    pre = F.col("resource").isin(list(cfg.pre_aggregate))
-    summed = (
-        latest.filter(pre)
-        .groupBy("resource", "num_bat")
-        .agg(F.min("ordinal").alias("ordinal"), sum_na_rm("derniere_conso").alias("derniere_conso"))
-        .select("resource", "ordinal", F.lit(None).cast("string").alias("batiment"), "num_bat", "derniere_conso")
-    )
-    return latest.filter(~pre).unionByName(summed)
+    """``export_rows`` of the latest readings alone."""
+    return export_rows(latest, {}, cfg)
 
 
 def building_stats(latest: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -236,8 +187,6 @@ def sum_of_shares(mu: str, mb: str) -> Column:
 def sum_all_numeric(wide: DataFrame, key: str = "num_bat") -> DataFrame:
     """Per key, NULL/NaN-skipping sum of every numeric column (the reference's
     electricity roll-up); non-numeric columns are dropped."""
-    from pyspark.sql.types import NumericType
-
     nums = [f.name for f in wide.schema.fields if isinstance(f.dataType, NumericType) and f.name != key]
     return wide.groupBy(key).agg(*[sum_na_rm(F.col(f"`{c}`")).alias(c) for c in nums])
 

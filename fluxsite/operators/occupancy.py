@@ -27,9 +27,6 @@ OCCUPANCY_COLUMNS = [
     "count_pers",
 ]
 
-# FIXED VALUE: alias of the (unreturned) surface-by-unit summary.
-SURFACE_SUMMARY_ALIASES = {"SDAR MUTUALISÉ": "SDAR", "LEPSE/IPSIM": "LEPSE/IPSiM"}
-
 
 def filter_soft_delete(rooms: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Keep rows whose soft-delete flag equals the keep value (NULL flags go)."""
@@ -96,11 +93,11 @@ def occupancy(rooms: DataFrame, staff: DataFrame, cfg: AnalysisConfig = Analysis
     return units.join(staff_count(staff, cfg), ["num_bat", "Unite"], "left").select(*OCCUPANCY_COLUMNS)
 
 
-def surface_by_unit(occ: DataFrame) -> DataFrame:
+def surface_by_unit(occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Occupied area per unit (strict sums), the reference's diagnostic table."""
     up = F.upper("Unite")
     unit2 = up
-    for raw, canon in SURFACE_SUMMARY_ALIASES.items():
+    for raw, canon in cfg.surface_summary_aliases.items():
         unit2 = F.when(up == F.lit(raw), F.lit(canon)).otherwise(unit2)
     return (
         occ.withColumn("Unite2", unit2)

@@ -3,8 +3,9 @@
 For every standalone unit u (a label without '/'), each report row j whose
 label contains u gives ``value_j / countU_j``; a missing value poisons the
 sum. The reference tests every (unit, row) pair in an interpreted loop. Here
-every label is exploded into its distinct '/'-free substrings (a name without
-'/' occurs in a label exactly when it is one of them) and the shares are
+every label is exploded into its distinct '/'-free substrings of the lengths
+that standalone names have (a name without '/' occurs in a label exactly when
+it is one of them) and the shares are
 summed per substring in one aggregation; a substring is kept when it is
 itself a standalone unit of the report. No pair of rows is ever enumerated.
 
@@ -22,11 +23,19 @@ from fluxsite.functions.nulls import strict_sum
 from fluxsite.functions.text import label_tokens, member_count, substrings_without_slash
 
 
-def _pieces(label, method: str):
+def name_lengths(report: DataFrame):
+    """array<int> of the lengths that standalone names have, as a scalar
+    subquery (one small aggregate, at most one entry per length)."""
+    size = F.length("Unite")
+    alone = report.filter(~F.col("Unite").contains("/") & (size > 0)).select(size.alias("n")).distinct()
+    return F.coalesce(alone.agg(F.sort_array(F.collect_list("n"))).scalar(), F.array().cast("array<int>"))
+
+
+def _pieces(method: str):
     if method == "contains":
-        return substrings_without_slash(label)
+        return substrings_without_slash("Unite", F.col("_lengths"))
     if method == "token":
-        return label_tokens(label)
+        return label_tokens("Unite")
     raise ValueError(f"unknown method {method!r}")
 
 
@@ -42,7 +51,9 @@ def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig) -> Dat
     rows = report.filter(F.col("Unite").isNotNull()).select(
         *keys, "Unite", *[(F.col(v) / k).alias(v) for v in vals]
     )
-    exploded = rows.select("*", F.explode(_pieces(F.col("Unite"), method)).alias("piece"))
+    if method == "contains":
+        rows = rows.withColumn("_lengths", name_lengths(report))
+    exploded = rows.select("*", F.explode(_pieces(method)).alias("piece")).drop("_lengths")
     return exploded.withColumn("is_self", F.col("Unite") == F.col("piece"))
 
 

@@ -13,19 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
-from fluxsite.functions.nulls import present, row_sum_na_rm, sql_str, strict_sum
+from fluxsite.functions.nulls import ieee_div, present, row_sum_na_rm, sql_str, strict_sum
 from fluxsite.functions.text import member_count
-from fluxsite.functions.nulls import ieee_div
 from fluxsite.operators.allocation import null_safe_left_join, priced
 from fluxsite.operators.meters import sum_of_shares
 
 
-def unit_terms(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def unit_terms(
+    stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), state: DataFrame | None = None
+) -> DataFrame:
     """Per (resource, building, occupancy row): the building's latest readings
     allocated to the unit (sum over the meters, rebuilt from the building
-    statistics) and its cost. Buildings without occupancy keep one row with
+    statistics) and its cost, once per state row of the building (the state
+    join comes before the sums). Buildings without occupancy keep one row with
     NULL unit and NULL values, as the left join does."""
     occ_cols = occ.select("num_bat", "Unite", "metrage_unite_ajus", "metrage_batiment")
+    if state is not None:
+        occ_cols = null_safe_left_join(occ_cols, state.select("num_bat"))
     j = null_safe_left_join(stats, occ_cols)
     v = sum_of_shares("metrage_unite_ajus", "metrage_batiment")
     return j.select("resource", "num_bat", "Unite", v.alias("v")).withColumn("c", priced(F.col("v"), cfg))
@@ -70,17 +74,22 @@ def cost_columns(cfg: AnalysisConfig = AnalysisConfig()) -> list[str]:
     return [cfg.cost_columns[r] for r in cfg.resources]
 
 
-def by_unit(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def by_unit(
+    stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), state: DataFrame | None = None
+) -> DataFrame:
     """Allocated consumption and cost per unit over all buildings, member
-    count of shared labels and the total cost of the unit."""
-    rep = wide_report(unit_terms(stats, occ, cfg), ["Unite"], cfg.omit_incomplete, cfg)
+    count of shared labels and the total cost of the unit. Without ``state``
+    every building counts as having one state row."""
+    rep = wide_report(unit_terms(stats, occ, cfg, state), ["Unite"], cfg.omit_incomplete, cfg)
     return rep.withColumns({"countU": member_count("Unite"), "cout_global_unite": row_sum_na_rm(cost_columns(cfg))})
 
 
-def by_building_unit(stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def by_building_unit(
+    stats: DataFrame, occ: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), state: DataFrame | None = None
+) -> DataFrame:
     """Allocated consumption and cost per (building, unit); rows without unit
     dropped; key label ``batu`` = 'num_bat-Unite'."""
-    rep = wide_report(unit_terms(stats, occ, cfg), ["num_bat", "Unite"], (), cfg)
+    rep = wide_report(unit_terms(stats, occ, cfg, state), ["num_bat", "Unite"], (), cfg)
     rep = rep.filter(F.col("Unite").isNotNull())
     return rep.withColumns(
         {

@@ -56,7 +56,7 @@ def series_by_year(
     j = bt.join(mult, bt["num_bat"].eqNullSafe(mult["_nb"]), "left")
     weight = F.coalesce(F.col("n_occ"), F.lit(1)) * F.coalesce(F.col("n_state"), F.lit(1))
     out = j.groupBy("resource", "year").agg(F.sum(F.col("conso") * weight).alias("total"))
-    return out.withColumn("unit", unit_label(cfg))
+    return out.withColumn("unit", unit_label(cfg)).orderBy("resource", "year")
 
 
 def series_by_year_raw(meters_coded: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -67,7 +67,7 @@ def series_by_year_raw(meters_coded: DataFrame, cfg: AnalysisConfig = AnalysisCo
         .groupBy("resource", "year")
         .agg(sum_na_rm("conso").alias("total"))
     )
-    return out.withColumn("unit", unit_label(cfg))
+    return out.withColumn("unit", unit_label(cfg)).orderBy("resource", "year")
 
 
 def _long_values(report: DataFrame, key: str, cfg: AnalysisConfig) -> DataFrame:

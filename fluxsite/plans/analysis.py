@@ -3,13 +3,13 @@
 ``run_analysis`` mirrors the reference's single entry point: building state,
 room survey, staff list and the five consumption sheets in; the enriched
 allocation table and the three reports out (plus the unreturned side tables
-the reference computes). Nothing is collected to the driver except, when
-the sheet headers are not available, the years of each resource (at most one
-row per resource and calendar year).
+the reference computes). Building a table starts no job.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
+from fluxsite.functions.nulls import sql_name
 from fluxsite.operators import allocation as A
 from fluxsite.operators import meters as M
 from fluxsite.operators import occupancy as O
 from fluxsite.operators import redistribute as R
 from fluxsite.operators import reports as P
 from fluxsite.operators import series as S
+from fluxsite.session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,11 @@ class Inputs:
     code_map : optional (resource, ordinal, num_bat) for positional sheets
     latest_years : optional {resource: year} read from the sheet headers
     sheet_years : optional {resource: [years]} read from the sheet headers
-    sheet_extras : optional (resource, ordinal, Evol_*...) variation columns
+    wide : optional standardised sheets (resource, ordinal, batiment, YYYY_conso...,
+             Evol_*..., derniere_conso), a row per meter
+    held : optional {resource: [columns of ``wide`` that its sheet holds]}
+    since : optional function from a one-row table (year) to the readings of that
+             year or later, for sources that can skip the older ones at the scan
     """
 
     state: DataFrame
@@ -47,7 +53,9 @@ class Inputs:
     code_map: DataFrame | None = None
     latest_years: dict | None = None
     sheet_years: dict | None = None
-    sheet_extras: DataFrame | None = None
+    wide: DataFrame | None = None
+    held: dict | None = None
+    since: Callable[[DataFrame], DataFrame] | None = None
 
 
 class Analysis:
@@ -60,39 +68,60 @@ class Analysis:
         years: dict | None = None,
         workdir: str | None = None,
     ):
-        """``workdir``: a shared folder (e.g. under ``spark.checkpoint.dir``)
-        where the small building-level tables are written once per run. Every
-        output then reads them instead of recomputing them, a lost executor
-        does not replay the room and meter aggregations, and the joins see
-        their real on-disk size when choosing a broadcast."""
+        """``workdir``: a shared folder (e.g. ``spark.checkpoint.dir``) where the
+        small building-level tables are written once, in a folder of this run's
+        own that ``cleanup`` deletes. Every output then reads them instead of
+        recomputing them, a lost executor does not replay the room and meter
+        aggregations, and Catalyst knows their real size."""
         self.inputs = inputs
         self.cfg = cfg
         self._years = years
-        self.workdir = workdir
+        self.workdir = f"{shared_folder(inputs.state.sparkSession, workdir)}/run-{uuid.uuid4().hex}" if workdir else None
 
     def _materialize(self, name: str, df: DataFrame) -> DataFrame:
         if not self.workdir:
             return df
-        path = f"{self.workdir.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+        path = f"{self.workdir}/{name}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def cleanup(self) -> None:
+        """Delete the run's work tables (tables that read them end too)."""
+        if self.workdir:
+            spark = self.inputs.state.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.workdir)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     # -- inputs as the joins see them ------------------------------------
+    def _coded(self, meters: DataFrame) -> DataFrame:
+        m = meters.filter(F.col("resource").isin(list(self.cfg.resources)))
+        return M.assign_building_codes(m, self.inputs.code_map, self.cfg)
+
     @cached_property
     def meters(self) -> DataFrame:
-        m = self.inputs.meters.filter(F.col("resource").isin(list(self.cfg.resources)))
-        return M.assign_building_codes(m, self.inputs.code_map, self.cfg)
+        return self._coded(self.inputs.meters)
 
     @cached_property
     def years(self) -> dict[str, int]:
-        """Latest year per resource (from the headers when known, else one
-        small aggregate collected on demand)."""
+        """Latest year per resource, from the headers; without them, reading
+        this property runs one small aggregate (no table needs it)."""
         known = self._years if self._years is not None else self.inputs.latest_years
-        return dict(known) if known is not None else M.latest_years(self.inputs.meters, self.cfg)
+        if known is not None:
+            return dict(known)
+        latest = M.latest_year_of(M.latest_years(self.inputs.meters, self.cfg))
+        return dict(self.inputs.meters.sparkSession.range(1).select(latest.alias("y")).first()["y"] or {})
 
     @cached_property
     def latest(self) -> DataFrame:
-        return M.latest_readings(self.meters, self.years)
+        known = self._years if self._years is not None else self.inputs.latest_years
+        if self.inputs.wide is not None and self._years is None:
+            rows = self._coded(self.inputs.wide.select("resource", "ordinal", "batiment", "derniere_conso"))
+            return rows.select("resource", "ordinal", "batiment", "num_bat", "derniere_conso")
+        if known is not None:
+            return M.latest_readings(self.meters, dict(known))
+        per = M.latest_years(self.inputs.meters, self.cfg)
+        meters = self.meters if self.inputs.since is None else self._coded(self.inputs.since(per.agg(F.min("year").alias("year"))))
+        return M.latest_readings(meters, M.latest_year_of(per))
 
     @cached_property
     def occupancy(self) -> DataFrame:
@@ -110,41 +139,47 @@ class Analysis:
     # -- the eight returned tables ----------------------------------------
     @cached_property
     def enriched(self) -> DataFrame:
-        """Allocation table of all resources (long; one export per resource).
-
-        With a ``workdir`` the occupancy is a written table of known size: it
-        is broadcast when that size is under the broadcast threshold, and the
-        join is salted otherwise. Without one, Catalyst and AQE choose from
-        the estimated and the measured size."""
-        rows = M.drop_excluded(M.pre_aggregated(self.latest, self.cfg), self.cfg)
-        return A.allocate(self._join_dimensions(rows), self.cfg)
-
-    def _join_dimensions(self, rows: DataFrame) -> DataFrame:
-        """State and occupancy onto the meter rows. Without a ``workdir``
-        Catalyst and AQE choose the strategy; with one, the occupancy is a
-        written table of known size and each dimension is broadcast when its
-        size is under the threshold, or joined with a salt otherwise."""
-        if not self.workdir:
-            return A.conso_occupancy(A.conso_state(rows, self.inputs.state), self.occupancy)
-        buckets = self.cfg.salt_buckets
-        with_state = A.dimension_join(rows, A.state_dimension(self.inputs.state), buckets)
-        return A.dimension_join(with_state, A.occupancy_dimension(self.occupancy), buckets)
+        """Allocation table of all resources (long; latest reading only)."""
+        return self._allocated(M.pre_aggregated(self.latest, self.cfg))
+
+    def _allocated(self, rows: DataFrame) -> DataFrame:
+        rows = M.drop_excluded(rows, self.cfg)
+        return A.allocate(A.with_dimensions(rows, self.inputs.state, self.occupancy), self.cfg)
 
     @cached_property
     def sheet_years(self) -> dict[str, list[int]]:
-        known = self.inputs.sheet_years
-        return dict(known) if known is not None else M.sheet_years(self.inputs.meters, self.cfg)
+        if self.inputs.sheet_years is None:
+            raise ValueError("the yearly columns need the sheets' header years (Inputs.sheet_years)")
+        return dict(self.inputs.sheet_years)
+
+    @cached_property
+    def held(self) -> dict[str, list[str]]:
+        """The year and variation columns of each resource's sheet."""
+        if self.inputs.held is not None:
+            return self.inputs.held
+        return {r: [*[f"{y}_conso" for y in ys], "derniere_conso"] for r, ys in self.sheet_years.items()}
 
     @cached_property
     def enriched_wide(self) -> DataFrame:
-        """The enriched table with every yearly reading as a 'YYYY_conso'
-        column, as the reference exports it. The years are pivoted per meter
-        before the fan-out join, so the large table is not shuffled again."""
-        rows = M.yearly_readings(self.meters, self.sheet_years, self.cfg)
-        if self.inputs.sheet_extras is not None:
-            rows = M.attach_extras(rows, self.meters, self.inputs.sheet_extras, self.cfg)
-        rows = M.drop_excluded(rows, self.cfg)
-        return A.allocate(self._join_dimensions(rows), self.cfg)
+        """The enriched table with every column of the sheets, as the reference
+        exports it: one aggregation of the wide sheets, then the fan-out join."""
+        if self.inputs.wide is not None:
+            wide = self._coded(self.inputs.wide)
+        else:
+            wide = M.wide_readings(self.meters, self.sheet_years, self.cfg)
+        return self._allocated(M.export_rows(wide, self.held, self.cfg))
+
+    def enriched_table(self, resource: str) -> DataFrame:
+        """The resource's table as the reference returns it: its own year and
+        variation columns, ``conso_<resource>`` and ``cout_<resource>``."""
+        if resource not in self.cfg.resources:
+            raise ValueError(f"unknown resource {resource!r}; configured: {', '.join(self.cfg.resources)}")
+        own = self.held[resource]
+        others = {c for cols in self.held.values() for c in cols} - set(own)
+        gone = others | {"resource", "ordinal"} | ({"batiment"} if resource in self.cfg.pre_aggregate else set())
+        df = self.enriched_wide.filter(F.col("resource") == F.lit(resource))
+        df = df.select(*[F.col(sql_name(c)) for c in df.columns if c not in gone])
+        return df.withColumnsRenamed({"conso": f"conso_{resource}", "cout": f"cout_{resource}"})
 
     @cached_property
     def by_building(self) -> DataFrame:
@@ -152,11 +187,11 @@ class Analysis:
 
     @cached_property
     def by_unit(self) -> DataFrame:
-        return P.by_unit(self.stats, self.occupancy, self.cfg)
+        return P.by_unit(self.stats, self.occupancy, self.cfg, self.inputs.state)
 
     @cached_property
     def by_building_unit(self) -> DataFrame:
-        return P.by_building_unit(self.stats, self.occupancy, self.cfg)
+        return P.by_building_unit(self.stats, self.occupancy, self.cfg, self.inputs.state)
 
     # -- side tables --------------------------------------------------------
     @cached_property
@@ -169,7 +204,7 @@ class Analysis:
 
     @cached_property
     def surface_by_unit(self) -> DataFrame:
-        return O.surface_by_unit(self.occupancy)
+        return O.surface_by_unit(self.occupancy, self.cfg)
 
     def redistribute_by_unit(self, method: str = "contains") -> DataFrame:
         return R.redistribute_by_unit(self.by_unit, method, self.cfg)
@@ -200,7 +235,7 @@ class Analysis:
     def tables(self) -> dict[str, DataFrame]:
         """The eight tables of the reference: five per-resource enriched
         tables and the three reports."""
-        out = {f"enriched_{r}": self.enriched.filter(F.col("resource") == F.lit(r)) for r in self.cfg.resources}
+        out = {f"enriched_{r}": self.enriched_table(r) for r in self.cfg.resources}
         out.update(by_building=self.by_building, by_unit=self.by_unit, by_building_unit=self.by_building_unit)
         return out
 

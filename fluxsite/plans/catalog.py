@@ -4,12 +4,14 @@ oracle over the driver's tables.
 Every Spark query reads the whole driver tables through the bindings; its
 double columns are rounded to 4 decimals (snap to 1e-9, then
 round(x * 1e4) / 1e4) so two engines that add the same numbers in another
-order compare equal, and NaN is shown as NULL. The SQL side does the same.
+order compare equal, and a column tells each double's kind (null, nan, inf,
+-inf, num). The SQL side does the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from fluxsite.plans.analysis import Analysis
 from fluxsite.sources import bindings as B
 from fluxsite.sources import sql as S
 from fluxsite.sources.headers import standardise_headers, unpivot_years
-from fluxsite.sources.sheets import apply_na_tokens
+from fluxsite.sources.sheets import apply_na_tokens, read_sheet
 
 FLAGSHIP = "by_unit"
 
@@ -44,23 +46,38 @@ def round4(df: DataFrame) -> DataFrame:
     The value is first snapped to a 1e-9 grid, so two sums of the same
     numbers in another order (a few ulps apart) land on the same grid point
     and an exact tie such as 0.61875 rounds the same way in both engines.
-    NaN is shown as NULL in the compared output (NaN is not equal to itself,
-    so it cannot be hashed reliably); the NaN rules themselves are asserted
-    by the golden tests."""
-    cols = []
+    NaN is not equal to itself, so a cell's kind (null, nan, inf, -inf, num)
+    is a column of its own and NaN is shown as NULL beside it."""
+    cols, kinds = [], []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DoubleType):
+            kinds.append(
+                F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(c == float("inf"), "inf")
+                .when(c == float("-inf"), "-inf").otherwise("num").alias(S.kind_column(f.name))
+            )
             snapped = F.round(F.nanvl(c, F.lit(None).cast("double")) * F.lit(1e9), 0) / F.lit(1e9)
             c = F.round(snapped * F.lit(10000.0), 0) / F.lit(10000.0)
         cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *kinds)
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(B.inputs(spark, sf_dir))
 
 
+def sheet_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The analysis over wide sheets, as the workbooks give them."""
+    wide = _standardised(spark, sf_dir)
+    held = [c for c in wide.columns if c not in ("resource", "ordinal", "batiment")]
+    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=dict.fromkeys(C.SHEET_ORDER, held)))
+
+
+def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sheet = raw_wide_sheet(B.meters(spark, sf_dir), None, list(B.SHEET_YEARS))
+    return standardise_headers(sheet, keep=("resource", "ordinal"))
+
+
 # --------------------------------------------------------------------------
 # Wide sheets derived from the meter readings (one column per year), used by
 # the header, unpivot and roll-up operators.
@@ -97,9 +114,14 @@ def q_scan_na_tokens(spark, d):
     return read.select("resource", "ordinal", "year", lenient_double("cell").alias("conso"))
 
 
+def q_scan_sheet(spark, d):
+    """A whole sheet through the reader: trimmed cells, NA tokens, file order."""
+    sheet = read_sheet(spark, f"{d}/customer.parquet", "parquet", na_tokens=("BUILDING", "MACHINERY"))
+    return sheet.select("ordinal", "c_custkey", "c_name", "c_mktsegment")
+
+
 def q_standardise_headers(spark, d):
-    inp = B.inputs(spark, d)
-    return standardise_headers(raw_wide_sheet(inp.meters, "elec", inp.sheet_years["elec"]))
+    return _standardised(spark, d)
 
 
 def q_extract_years(spark, d):
@@ -117,10 +139,7 @@ def q_latest_year(spark, d):
 
 
 def q_unpivot_years(spark, d):
-    inp = B.inputs(spark, d)
-    years = sorted({y for ys in inp.sheet_years.values() for y in ys})
-    std = standardise_headers(raw_wide_sheet(inp.meters, None, years), keep=("resource", "ordinal"))
-    return unpivot_years(std, ["resource", "ordinal", "batiment"])
+    return unpivot_years(_standardised(spark, d), ["resource", "ordinal", "batiment"])
 
 
 def q_sum_all_numeric(spark, d):
@@ -243,9 +262,29 @@ def q_allocate_cost(spark, d):
 
 
 def q_export_enriched(spark, d):
-    e = analysis(spark, d).enriched_wide
-    ycols = sorted(c for c in e.columns if c.endswith("_conso") and c[:4].isdigit())
-    return e.select("resource", "ordinal", "num_bat", "Unite", "metrage_unite", *ycols, "derniere_conso", "cout")
+    e = sheet_analysis(spark, d).enriched_wide
+    own = [c for c in e.columns if c.startswith("Evol_") or c.endswith("_conso") and c[:4].isdigit()]
+    return e.select("resource", "ordinal", "num_bat", "Unite", "metrage_unite", *own, "derniere_conso", "cout")
+
+
+def q_enriched_elec(spark, d):
+    return sheet_analysis(spark, d).tables()["enriched_elec"]
+
+
+def q_enriched_gaz(spark, d):
+    return sheet_analysis(spark, d).tables()["enriched_gaz"]
+
+
+def q_enriched_eau(spark, d):
+    return sheet_analysis(spark, d).tables()["enriched_eau"]
+
+
+def q_enriched_fod(spark, d):
+    return sheet_analysis(spark, d).tables()["enriched_fod"]
+
+
+def q_enriched_reseau(spark, d):
+    return sheet_analysis(spark, d).tables()["enriched_reseau"]
 
 
 def q_first_per_building(spark, d):
@@ -308,6 +347,8 @@ def q_year_over_year(spark, d):
 
 
 # ------------------------------ SQL oracles --------------------------------
+# FIXED VALUES below (patterns, aliases, prices, shares): stated a second time
+# on purpose, so that the oracle does not depend on config.py.
 HEADCOUNT_SQL = """CASE WHEN Nom_occupants IS NULL THEN NULL
             WHEN contains(Nom_occupants, '4 personnes') THEN 4.0
             WHEN regexp_matches(Nom_occupants, 'Locaux|véhicules|\\?|COMMUN|Salle|salle') THEN 0.0
@@ -322,22 +363,21 @@ YEARS = list(range(2015, 2022))
 UNIT_SQL = "CASE {r} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.UNIT_LABELS.items()) + " END"
 
 
-def _wide_sql(resource: str) -> str:
+def _std_sql(where: str = "true") -> str:
+    """The standardised sheets: one row per meter, its years and variations."""
     cols = ", ".join(f'max(CASE WHEN year = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)
-    return f"""SELECT batiment, ordinal, {cols} FROM v_meters WHERE resource = '{resource}' GROUP BY ordinal, batiment"""
-
-
-def _std_sql() -> str:
     ycols = ", ".join(f'"{y}_conso"' for y in YEARS)
     y1, y2 = YEARS[-2], YEARS[-1]
     d = f'("{y2}_conso" - "{y1}_conso")'
     pct = f'(CASE WHEN "{y1}_conso" = 0 THEN {d} * \'inf\'::DOUBLE ELSE {d} / "{y1}_conso" END) * 100.0'
     return (
-        f'SELECT batiment, {ycols}, {d} AS "Evol_{y1}-{y2}", {pct} AS "Evol_{y1}-{y2}_p", '
-        f'"{y2}_conso" AS derniere_conso, ordinal FROM ({_wide_sql("elec")}) w'
+        f'SELECT resource, batiment, {ycols}, {d} AS "Evol_{y1}-{y2}", {pct} AS "Evol_{y1}-{y2}_p", '
+        f'"{y2}_conso" AS derniere_conso, ordinal '
+        f"FROM (SELECT resource, batiment, ordinal, {cols} FROM v_meters WHERE {where} GROUP BY resource, ordinal, batiment) w"
     )
 
 
+ELEC = "resource = 'elec'"
 STD_DOUBLES = [f'"{y}_conso"' for y in YEARS] + ['"Evol_2020-2021"', '"Evol_2020-2021_p"', "derniere_conso"]
 
 
@@ -358,6 +398,49 @@ YEAR_ROWS_SQL = """
   SELECT resource, num_bat, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0)
   FROM meters WHERE resource = 'elec' GROUP BY resource, num_bat, year"""
 
+def _export_sql(select: str) -> str:
+    """``select`` over the wide meter rows ``k`` joined with state ``s``, occupancy
+    ``o`` and prices ``p``: electricity summed per building, the others as read."""
+    sums = ", ".join(f"coalesce(sum(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 0.0) AS {c}" for c in STD_DOUBLES)
+    return f"""WITH coded AS (
+  SELECT w.*, CASE WHEN w.resource = 'fod' THEN c.num_bat ELSE substring(w.batiment, 5, 4) END AS num_bat
+  FROM ({_std_sql()}) w LEFT JOIN v_code_map c ON w.resource = c.resource AND w.ordinal = c.ordinal),
+wide AS (
+  SELECT resource, ordinal, batiment, num_bat, {", ".join(STD_DOUBLES)} FROM coded WHERE resource <> 'elec'
+  UNION ALL
+  SELECT resource, min(ordinal), NULL, num_bat, {sums} FROM coded WHERE resource = 'elec' GROUP BY resource, num_bat),
+k AS (
+  SELECT * FROM wide
+  WHERE NOT ((resource = 'elec' AND coalesce(num_bat IN ('irag'), false))
+          OR (resource = 'eau' AND coalesce(num_bat IN ('sage'), false)))),
+x AS (
+  SELECT k.*, s.Site AS Site_etat, s.nom_bat, s.etat_energie, o.Site AS Site_occup, o.Unite, o.metrage_unite,
+         o.metrage_unite_ajus, o.pers_unite, o.metrage_batiment, o.count_pers, p.price, p.coef,
+         CASE WHEN o.metrage_batiment = 0 THEN o.metrage_unite_ajus * 'inf'::DOUBLE
+              ELSE o.metrage_unite_ajus / o.metrage_batiment END AS ratio_metre
+  FROM k
+  LEFT JOIN v_state s ON k.num_bat IS NOT DISTINCT FROM s.num_bat
+  LEFT JOIN occupancy o ON k.num_bat IS NOT DISTINCT FROM o.num_bat
+  JOIN prices p ON p.resource = k.resource),
+e AS (SELECT *, derniere_conso * ratio_metre AS conso, derniere_conso * ratio_metre * price * coef AS cout FROM x)
+SELECT {select} FROM e"""
+
+
+def _enriched_sql(r: str) -> str:
+    label = "" if r in C.PRE_AGGREGATE else "batiment, "
+    return _export_sql(
+        f"""{label}num_bat, {", ".join(STD_DOUBLES)}, Site_etat, nom_bat, etat_energie, Site_occup, Unite,
+       metrage_unite, metrage_unite_ajus, pers_unite, metrage_batiment, count_pers, ratio_metre,
+       conso AS conso_{r}, cout AS cout_{r},
+       CASE WHEN metrage_unite_ajus = 0 THEN cout * 'inf'::DOUBLE ELSE cout / metrage_unite_ajus END AS cout_par_m2,
+       CASE WHEN count_pers = 0 THEN cout * 'inf'::DOUBLE ELSE cout / count_pers END AS cout_par_pers"""
+    ) + f" WHERE resource = '{r}'"
+
+
+def _enriched_doubles(r: str) -> list[str]:
+    return [*STD_DOUBLES, *OCC_COLS, "ratio_metre", f"conso_{r}", f"cout_{r}", "cout_par_m2", "cout_par_pers"]
+
+
 REPORT_DOUBLES = [x for pair in zip(S.VALUES, S.COSTS) for x in pair]
 
 
@@ -372,6 +455,12 @@ def _series_sql(key: str) -> str:
 
 
 SQL: dict[str, tuple[str, list[str]]] = {
+    "scan_sheet": (
+        """SELECT c_custkey AS ordinal, c_custkey, trim(c_name) AS c_name,
+       CASE WHEN trim(c_mktsegment) IN ('BUILDING', 'MACHINERY', '') THEN NULL ELSE trim(c_mktsegment) END AS c_mktsegment
+FROM customer""",
+        [],
+    ),
     "scan_na_tokens": (
         """SELECT resource, ordinal, year,
        CASE WHEN conso IS NULL OR (ordinal % 17 = 0 AND year = 2015) THEN NULL ELSE conso END AS conso
@@ -399,7 +488,7 @@ LEFT JOIN v_meters m ON m.resource = k.resource AND m.ordinal = k.ordinal AND m.
         + ", ".join(
             f"coalesce(sum(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 0.0) AS {c}" for c in STD_DOUBLES
         )
-        + f" FROM ({_std_sql()}) s GROUP BY 1",
+        + f" FROM ({_std_sql(ELEC)}) s GROUP BY 1",
         STD_DOUBLES,
     ),
     "filter_soft_delete": (
@@ -447,28 +536,10 @@ FROM allocated""",
         ["cout", "cout_par_m2", "cout_par_pers"],
     ),
     "export_enriched": (
-        f"""WITH wide AS (
-  SELECT resource, ordinal, num_bat, {", ".join(f'max(CASE WHEN year = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)}
-  FROM meters WHERE resource <> 'elec' GROUP BY resource, ordinal, batiment, num_bat
-  UNION ALL
-  SELECT resource, min(ordinal) AS ordinal, num_bat,
-         {", ".join(f'coalesce(sum(CASE WHEN year = {y} AND NOT isnan(conso) THEN conso END), 0.0) AS "{y}_conso"' for y in YEARS)}
-  FROM meters WHERE resource = 'elec' GROUP BY resource, num_bat),
-kept AS (
-  SELECT w.*, CASE l.y {" ".join(f'WHEN {y} THEN "{y}_conso"' for y in YEARS)} END AS derniere_conso
-  FROM wide w JOIN (SELECT resource, max(year) AS y FROM meters GROUP BY resource) l ON l.resource = w.resource
-  WHERE NOT ((w.resource = 'elec' AND coalesce(w.num_bat IN ('irag'), false))
-          OR (w.resource = 'eau' AND coalesce(w.num_bat IN ('sage'), false))))
-SELECT k.resource, k.ordinal, k.num_bat, o.Unite, o.metrage_unite,
-       {", ".join(f'k."{y}_conso"' for y in YEARS)}, k.derniere_conso,
-       k.derniere_conso * (CASE WHEN o.metrage_batiment = 0 THEN o.metrage_unite_ajus * 'inf'::DOUBLE
-                                ELSE o.metrage_unite_ajus / o.metrage_batiment END) * p.price * p.coef AS cout
-FROM kept k
-LEFT JOIN v_state s ON k.num_bat IS NOT DISTINCT FROM s.num_bat
-LEFT JOIN occupancy o ON k.num_bat IS NOT DISTINCT FROM o.num_bat
-JOIN prices p ON p.resource = k.resource""",
-        ["metrage_unite"] + [f'"{y}_conso"' for y in YEARS] + ["derniere_conso", "cout"],
+        _export_sql(f'resource, ordinal, num_bat, Unite, metrage_unite, {", ".join(STD_DOUBLES)}, cout'),
+        ["metrage_unite", *STD_DOUBLES, "cout"],
     ),
+    **{f"enriched_{r}": (_enriched_sql(r), _enriched_doubles(r)) for r in C.REPORT_ORDER},
     "first_per_building": ("SELECT resource, num_bat, derniere_conso FROM first_rows", ["derniere_conso"]),
     "building_intensity": (
         "SELECT * FROM intensity",

@@ -5,7 +5,7 @@ python -m fluxsite.plans.cli --state etat.csv --rooms occupation.csv \
 
 Prices default to the reference's values; pass --price elec=0.1 to change one.
 The small building tables are written once under the session's
-``spark.checkpoint.dir`` when it is set.
+``spark.checkpoint.dir`` when it is set, and deleted at the end of the run.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from fluxsite.config import AnalysisConfig, Rates
+from fluxsite.config import AnalysisConfig, Rates, known_resource
 from fluxsite.plans.analysis import Analysis
 from fluxsite.session import checkpoint_dir
 from fluxsite.sinks.export import run_folder, write_outputs
@@ -24,8 +24,10 @@ from fluxsite.sources.workbook import load_inputs
 def _pairs(items) -> dict[str, str]:
     out = {}
     for it in items or []:
-        k, v = it.split("=", 1)
-        out[k] = v
+        k, eq, v = it.partition("=")
+        if not eq:
+            raise ValueError(f"expected resource=value, got {it!r}")
+        out[known_resource(k)] = v
     return out
 
 
@@ -37,18 +39,25 @@ def main(argv=None) -> dict[str, str]:
     ap.add_argument("--conso", action="append", required=True, help="resource=path (five times)")
     ap.add_argument("--price", action="append", help="resource=price")
     ap.add_argument("--format", default="csv", help="format of the sheets (csv or parquet)")
+    ap.add_argument("--sep", default=",", help="separator of CSV sheets")
+    ap.add_argument("--encoding", default="UTF-8")
+    ap.add_argument("--decimal", default=".", help="decimal mark of the numbers")
+    ap.add_argument("--unparsable", default="fail", choices=["fail", "null"], help="what a cell that is no number does")
+    ap.add_argument("--one-line-records", action="store_true", help="no quoted line breaks: large CSV files are split")
     ap.add_argument("--out", required=True)
     ap.add_argument("--out-format", default="parquet")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    rates = Rates(**{k: float(v) for k, v in _pairs(a.price).items()})
-    inputs = load_inputs(spark, a.state, a.rooms, a.staff, _pairs(a.conso), fmt=a.format)
+    cfg = AnalysisConfig(rates=Rates.of(_pairs(a.price)))
+    scan = {"sep": a.sep, "encoding": a.encoding, "multiline": not a.one_line_records} if a.format == "csv" else {}
+    inputs = load_inputs(spark, a.state, a.rooms, a.staff, _pairs(a.conso), fmt=a.format, cfg=cfg,
+                         decimal=a.decimal, unparsable=a.unparsable, **scan)
     ckpt = checkpoint_dir(spark)
-    run = run_folder(a.out)
-    # one work folder per application, so concurrent runs never share one
-    workdir = f"{ckpt.rstrip('/')}/fluxsite-work/{spark.sparkContext.applicationId}" if ckpt else None
-    analysis = Analysis(inputs, AnalysisConfig(rates=rates), workdir=workdir)
-    return write_outputs(analysis, run, fmt=a.out_format)
+    analysis = Analysis(inputs, cfg, workdir=f"{ckpt.rstrip('/')}/fluxsite-work" if ckpt else None)
+    try:
+        return write_outputs(analysis, run_folder(a.out), fmt=a.out_format)
+    finally:
+        analysis.cleanup()
 
 
 if __name__ == "__main__":

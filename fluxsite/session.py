@@ -40,8 +40,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``)."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if d:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    """The shared folder named by the cluster (``spark.checkpoint.dir``)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
+def shared_folder(spark: SparkSession, folder: str) -> str:
+    """``folder``, refused where executors could not share it: outside local
+    mode a local path must lie in the folder that the cluster names."""
+    named = checkpoint_dir(spark)
+    plain = lambda p: "/" + p.removeprefix("file:").lstrip("/")
+    inside = bool(named) and f"{plain(folder)}/".startswith(f"{plain(named).rstrip('/')}/")
+    if folder.startswith("file:") and not inside and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is local to one machine; use a folder in spark.checkpoint.dir")
+    return folder.rstrip("/")

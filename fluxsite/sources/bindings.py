@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxsite import config as C
-from fluxsite.operators.meters import sheet_years
 from fluxsite.plans.analysis import Inputs
 
 N_BUILDINGS = 40
@@ -27,16 +26,13 @@ NULL_YEAR = 2021
 NULL_RESOURCE = "gaz"
 
 
-_SCANS: dict = {}
+# Header years of the stand-in sheets (line items are shipped 20 years earlier).
+SHEET_YEARS = tuple(range(2015, 2022))
+YEAR_SHIFT = 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of a driver table; the (lazy) scan plan is reused within
-    a session so repeated queries skip the file listing."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _SCANS[key]
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _code(x) -> F.Column:
@@ -79,15 +75,19 @@ def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def meters(spark: SparkSession, sf_dir: str, since: DataFrame | None = None) -> DataFrame:
     """Readings summed per (supplier, resource, year) on integer keys; the
     label, a function of the supplier, is built once per reading, not once
-    per line item."""
+    per line item. ``since`` (one row: year) bounds the scan by date."""
     li = _read(spark, sf_dir, "lineitem")
+    if since is not None:
+        zero, one = F.lit(0), F.lit(1)
+        start = F.make_timestamp_ntz(F.col("year") - YEAR_SHIFT, one, one, zero, zero, zero)
+        li = li.filter(F.col("l_shipdate") >= since.select(start).scalar())
     g = li.groupBy(
         ((F.col("l_linenumber") - 1) % 5 + 1).cast("int").alias("res_idx"),
         F.col("l_suppkey").alias("ordinal"),
-        (F.year("l_shipdate") + 20).cast("int").alias("year"),
+        (F.year("l_shipdate") + YEAR_SHIFT).cast("int").alias("year"),
     ).agg(F.sum("l_quantity").alias("conso"))
     s = F.col("ordinal")
     res = F.element_at(F.array(*[F.lit(r) for r in C.SHEET_ORDER]), F.col("res_idx"))
@@ -104,15 +104,18 @@ def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A building state per supplier; every seventh building has a second row
+    (an annex in another state)."""
     s = _read(spark, sf_dir, "supplier")
-    bal = F.col("s_acctbal")
+    bal, annex = F.col("s_acctbal"), F.col("annex")
     etat = F.when(bal < 0, F.lit("Mauvais")).when(bal < 5000, F.lit("Moyen")).otherwise(F.lit("Bon"))
-    return s.select(
+    copies = F.when(F.col("s_suppkey") % 7 == 3, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return s.withColumn("annex", F.explode(copies)).select(
         F.lit("La Gaillarde").alias("Site"),
         F.format_string("%04d", F.col("s_suppkey")).alias("num_bat"),
-        F.col("s_name").alias("nom_bat"),
-        etat.alias("etat_energie"),
-        F.col("s_suppkey").alias("ordinal"),
+        F.when(annex, F.concat("s_name", F.lit(" annexe"))).otherwise(F.col("s_name")).alias("nom_bat"),
+        F.when(annex, F.lit("Annexe")).otherwise(etat).alias("etat_energie"),
+        (F.col("s_suppkey") + F.when(annex, F.lit(1_000_000_000_000)).otherwise(F.lit(0))).alias("ordinal"),
     )
 
 
@@ -128,30 +131,14 @@ def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.lit("fod").alias("resource"), F.col("s_suppkey").alias("ordinal"), _code(F.col("s_suppkey")).alias("num_bat"))
 
 
-_INPUTS: dict = {}
-
-
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The five input views of a test-data folder. The view definitions (lazy
-    plans, no data) are built once per session and folder, like registering
-    temporary views; every query still reads the parquet files."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INPUTS:
-        _INPUTS[key] = _build_inputs(spark, sf_dir)
-    return _INPUTS[key]
-
-
-def _build_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    m = meters(spark, sf_dir)
-    # The years of each "sheet", read once when the views are defined, as the
-    # workbook loader reads them from the headers (one small aggregate).
-    years = sheet_years(m)
+    """The five input views of a test-data folder (lazy plans, no job)."""
     return Inputs(
         state=state(spark, sf_dir),
         rooms=rooms(spark, sf_dir),
         staff=staff(spark, sf_dir),
-        meters=m,
+        meters=meters(spark, sf_dir),
         code_map=code_map(spark, sf_dir),
-        latest_years={r: max(ys) for r, ys in years.items() if ys},
-        sheet_years=years,
+        sheet_years={r: list(SHEET_YEARS) for r in C.SHEET_ORDER},
+        since=lambda year: meters(spark, sf_dir, year),
     )

@@ -11,7 +11,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxsite.functions.nulls import sql_name
 from fluxsite.functions.text import extract_years
+from fluxsite.sources.sheets import number
 
 CONSO_RE = re.compile(r"^[0-9]{4}_conso$")
 
@@ -55,7 +57,7 @@ def header_mapping(columns, keep=()) -> dict[str, str]:
 def standardise_headers(df: DataFrame, keep=("ordinal",)) -> DataFrame:
     """Rename a consumption sheet to the canonical vocabulary in one select."""
     mapping = header_mapping(df.columns, keep)
-    cols = [F.col(f"`{src}`").alias(tgt) for tgt, src in mapping.items()]
+    cols = [F.col(sql_name(src)).alias(tgt) for tgt, src in mapping.items()]
     cols += [F.col(k) for k in keep if k in df.columns]
     return df.select(*cols)
 
@@ -71,16 +73,17 @@ def latest_year_column(df: DataFrame) -> str:
     return max(cols, key=lambda t: int(t[:4]))
 
 
-def unpivot_years(df: DataFrame, ids, value: str = "conso") -> DataFrame:
+def unpivot_years(df: DataFrame, ids, value: str = "conso", decimal: str = ".") -> DataFrame:
     """Wide 'YYYY_conso' columns to long (ids..., year int, conso double).
 
-    Values are cast leniently first (mixed types cannot be unpivoted), and
-    NULL cells are kept so a missing reading stays a NULL row.
+    Values are cast leniently first (mixed types cannot be unpivoted; the
+    reference reads the charts' years this way), and NULL cells are kept so a
+    missing reading stays a NULL row.
     """
     ycols = year_columns(df)
     if not ycols:
         raise ValueError("no 'YYYY_conso' column to unpivot")
-    typed = df.select(*[F.col(i) for i in ids], *[F.col(f"`{c}`").try_cast("double").alias(c) for c in ycols])
+    typed = df.select(*[F.col(i) for i in ids], *[number(F.col(c), decimal, "null").alias(c) for c in ycols])
     long = typed.unpivot(list(ids), ycols, "year_col", value)
     return long.select(
         *[F.col(i) for i in ids],

@@ -1,59 +1,98 @@
 """Sheet scans: one CSV or Parquet path per workbook sheet.
 
-A sheet is read with its header row, every cell as a string, then the NA
-tokens become NULL in one projection. Typed casts are lenient (``try_cast``).
+A sheet is read with its header row, every cell as a string; cells are
+trimmed, blank cells and NA tokens become NULL in one projection. Records that
+do not fit the header fail the read instead of losing cells, and so do numbers
+that cannot be read, unless the caller asks for NULL.
 Column positions only matter where the input layout is positional; they are
 resolved to names on the driver before planning, never inside a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fluxsite import config as C
+from fluxsite.functions.nulls import sql_name
+
+WHITE = " \t\r\n\u00a0"
+_ROW_MASK = (1 << 33) - 1  # monotonically_increasing_id: row in its partition
+_FILE_SHIFT = 44  # bits of an ordinal below the file's number
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name (headers may hold dots and backticks)."""
+    return F.col(sql_name(name))
 
 
 def apply_na_tokens(df: DataFrame, tokens=C.NA_TOKENS) -> DataFrame:
-    """Every string cell equal to a token becomes NULL (blank cells already are)."""
-    tokens = list(tokens)
+    """String cells without the white space around them; blank cells and the
+    tokens become NULL."""
+    missing = ["", *tokens]
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = named(f.name)
         if isinstance(f.dataType, StringType):
-            c = F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
+            c = F.btrim(c, F.lit(WHITE))
+            c = F.when(~c.isin(missing), c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def _csv(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> DataFrame:
+    """Every record of a CSV sheet. A quoted cell may hold separators, quotes
+    (doubled) and line breaks; with ``multiline`` a file is one split, without
+    it large files are split and such breaks are not allowed. All columns are
+    parsed whatever the plan needs, so a ragged record is always found."""
+    options = {"header": True, "sep": sep, "encoding": encoding, "multiLine": multiline, "quote": '"', "escape": '"'}
+    header = spark.read.options(**options).csv(path).columns
+    schema = StructType([StructField(c, StringType()) for c in header])
+    return spark.read.options(**options, mode="FAILFAST", enforceSchema=False, columnPruning=False).schema(schema).csv(path)
+
+
+def _with_ordinal(df: DataFrame, fmt: str, ordinal: str) -> DataFrame:
+    """Add the key of file order: files by path, then blocks, then rows.
+
+    Within a file a row's key is the start of its block plus its number in its
+    task; a task's rows are fewer than the bytes of a block, so keys grow with
+    the row. Parquet has the row number itself."""
+    if fmt == "parquet":
+        at = F.col("_metadata.row_index")
+    else:
+        at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    files = sorted(df.inputFiles())
+    cells = df.columns
+    out = df.select("*", plain(F.col("_metadata.file_path")).alias("_file"), at.alias(ordinal))
+    if len(files) > 1:
+        numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _path string")
+        numbers = numbers.select("_number", plain(F.col("_path")).alias("_path"))
+        out = out.join(numbers, F.col("_file") == F.col("_path"))
+        out = out.withColumn(ordinal, F.shiftleft("_number", _FILE_SHIFT) + F.col(ordinal))
+    return out.select(*[named(c) for c in cells], ordinal)
+
+
 def read_sheet(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
     na_tokens=C.NA_TOKENS,
     ordinal: str | None = "ordinal",
+    sep: str = ",",
+    encoding: str = "UTF-8",
+    multiline: bool = True,
 ) -> DataFrame:
-    """Scan one sheet; string cells, header row, NA tokens as NULL.
+    """Scan one sheet; trimmed string cells, header row, NA tokens as NULL.
 
     ``ordinal`` keeps the file order (the reference addresses some rows by
-    position and keeps the first of duplicates); ids grow with the split
-    index and the row position, so they follow the file order.
+    position and keeps the first of duplicates).
     """
-    if fmt == "csv":
-        df = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("mode", "PERMISSIVE")
-            .option("multiLine", False)
-            .csv(path)
-        )
-    else:
-        df = spark.read.format(fmt).load(path)
-    df = apply_na_tokens(df, na_tokens)
+    df = _csv(spark, path, sep, encoding, multiline) if fmt == "csv" else spark.read.format(fmt).load(path)
     if ordinal:
-        df = df.withColumn(ordinal, F.monotonically_increasing_id())
-    return df
+        df = _with_ordinal(df, fmt, ordinal)
+    return apply_na_tokens(df, na_tokens)
 
 
 def apply_schema(df: DataFrame, names, keep=()) -> DataFrame:
@@ -62,20 +101,33 @@ def apply_schema(df: DataFrame, names, keep=()) -> DataFrame:
     body = [c for c in df.columns if c not in keep]
     if len(body) != len(names):
         raise ValueError(f"sheet has {len(body)} columns, expected {len(names)}: {body}")
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(body, names)], *[F.col(k) for k in keep])
+    return df.select(*[named(c).alias(n) for c, n in zip(body, names)], *[F.col(k) for k in keep])
 
 
 def drop_positions(df: DataFrame, positions, keep=()) -> DataFrame:
     """Drop columns by 1-based position (among the non-``keep`` columns)."""
     body = [c for c in df.columns if c not in keep]
     gone = {body[p - 1] for p in positions if 0 < p <= len(body)}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in gone])
+    return df.select(*[named(c) for c in df.columns if c not in gone])
+
+
+def number(cell: Column, decimal: str = ".", unparsable: str = "fail") -> Column:
+    """A cell as a double. ``decimal`` is its decimal mark; a cell that is no
+    number fails the job, or becomes NULL with ``unparsable="null"``."""
+    if unparsable not in ("fail", "null"):
+        raise ValueError(f"unparsable must be 'fail' or 'null', not {unparsable!r}")
+    text = cell.cast("string")
+    read = (text if decimal == "." else F.replace(text, F.lit(decimal), F.lit("."))).try_cast("double")
+    if unparsable == "null":
+        return read
+    refused = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")
+    return F.when(cell.isNotNull() & read.isNull(), refused).otherwise(read)
 
 
-def cast_columns(df: DataFrame, types: dict) -> DataFrame:
-    """Lenient typed casts by name (unparsable text becomes NULL)."""
+def cast_columns(df: DataFrame, columns, decimal: str = ".", unparsable: str = "fail") -> DataFrame:
+    """The named columns as numbers, the others as they are."""
     return df.select(
-        *[(F.col(f"`{c}`").try_cast(types[c]) if c in types else F.col(f"`{c}`")).alias(c) for c in df.columns]
+        *[(number(named(c), decimal, unparsable) if c in columns else named(c)).alias(c) for c in df.columns]
     )
 
 

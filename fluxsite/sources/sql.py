@@ -8,6 +8,8 @@ shortcuts of the Spark plans. Every query reads the driver's tables whole.
 
 from __future__ import annotations
 
+# FIXED VALUES below (vocabulary, patterns, prices, shares): stated a second
+# time on purpose, so that the oracle does not depend on config.py.
 # Ordered CTEs; a query names the last one it needs and all are emitted
 # (DuckDB plans only the referenced ones).
 CTES: list[tuple[str, str]] = [
@@ -59,7 +61,10 @@ FROM (
 SELECT 'La Gaillarde' AS Site, printf('%04d', s_suppkey) AS num_bat, s_name AS nom_bat,
        CASE WHEN s_acctbal < 0 THEN 'Mauvais' WHEN s_acctbal < 5000 THEN 'Moyen' ELSE 'Bon' END AS etat_energie,
        s_suppkey AS ordinal
-FROM supplier""",
+FROM supplier
+UNION ALL
+SELECT 'La Gaillarde', printf('%04d', s_suppkey), s_name || ' annexe', 'Annexe', s_suppkey + 1000000000000
+FROM supplier WHERE s_suppkey % 7 = 3""",
     ),
     (
         "v_staff",
@@ -293,9 +298,12 @@ FROM bu_sums WHERE Unite IS NOT NULL GROUP BY num_bat, Unite""",
     (
         "first_rows",
         """
-SELECT resource, num_bat, derniere_conso, etat_energie, metrage_batiment FROM (
+SELECT f.resource, f.num_bat, f.derniere_conso, t.etat_energie, f.metrage_batiment FROM (
   SELECT *, row_number() OVER (PARTITION BY resource, num_bat ORDER BY ordinal, Site_occup, Unite) AS rn
-  FROM joined) WHERE rn = 1""",
+  FROM joined) f
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY num_bat ORDER BY ordinal) AS rn FROM v_state) t
+  ON f.num_bat IS NOT DISTINCT FROM t.num_bat AND t.rn = 1
+WHERE f.rn = 1""",
     ),
     (
         "intensity",
@@ -350,14 +358,28 @@ def with_ctes(final: str) -> str:
     return f"WITH {body}\n{final}"
 
 
+def kind_column(name: str) -> str:
+    """Name of the column that tells what kind of double a cell is."""
+    return name.strip('"') + "__kind"
+
+
+def kind(c: str) -> str:
+    return (
+        f"CASE WHEN {c} IS NULL THEN 'null' WHEN isnan({c}) THEN 'nan' WHEN {c} = 'inf'::DOUBLE THEN 'inf' "
+        f"WHEN {c} = '-inf'::DOUBLE THEN '-inf' ELSE 'num' END"
+    )
+
+
 def rounded(final: str, doubles) -> str:
     """Wrap a query so its double columns are rounded to 4 decimals the way
-    the Spark side rounds them (snap to 1e-9, then round(x * 1e4) / 1e4),
-    with NaN shown as NULL."""
+    the Spark side rounds them (snap to 1e-9, then round(x * 1e4) / 1e4).
+    NaN is not equal to itself, so a cell's kind (null, nan, inf, -inf, num)
+    is a column of its own and NaN is shown as NULL beside it."""
     if not doubles:
         return with_ctes(final)
     rep = ", ".join(
         f"round(round(CASE WHEN isnan({c}) THEN NULL ELSE {c} END * 1e9) / 1e9 * 10000.0) / 10000.0 AS {c}"
         for c in doubles
     )
-    return with_ctes(f"SELECT * REPLACE ({rep}) FROM ({final}) AS q")
+    kinds = ", ".join(f'{kind(c)} AS "{kind_column(c)}"' for c in doubles)
+    return with_ctes(f"SELECT * REPLACE ({rep}), {kinds} FROM ({final}) AS q")

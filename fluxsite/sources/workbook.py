@@ -4,95 +4,84 @@ building state   : 1 sheet, positional names
 room survey      : rooms sheet (positional names, soft-delete flag kept by
                    name) and staff sheet (two positions dropped)
 consumption      : five sheets (elec, eau, gaz, reseau, fod), free headers,
-                   standardised then turned long; the fuel-oil sheet takes its
-                   building codes by row position
+                   standardised; kept wide for the export and turned long for
+                   the yearly series. The fuel-oil sheet takes its building
+                   codes by row position
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxsite import config as C
+from fluxsite.config import AnalysisConfig
 from fluxsite.plans.analysis import Inputs
 from fluxsite.sources.headers import latest_year_column, standardise_headers, unpivot_years, year_columns
-from fluxsite.sources.sheets import apply_schema, cast_columns, drop_positions, read_sheet, require_columns
-
-_ROW_BITS = 33  # monotonically_increasing_id = partition id << 33 | row in partition
+from fluxsite.sources.sheets import apply_schema, cast_columns, drop_positions, named, number, read_sheet, require_columns
 
 
-def file_position(df: DataFrame, ordinal: str = "ordinal", out: str = "position") -> DataFrame:
-    """1-based contiguous row position in file order, computed distributedly.
+def positional_code_map(sheet: DataFrame, resource: str, codes) -> DataFrame:
+    """(resource, ordinal, num_bat): the i-th row of ``sheet`` takes the i-th code.
 
-    ``ordinal`` must be ``monotonically_increasing_id()`` taken at the scan.
-    Rows per split are counted (one row per split), their running offsets
-    are computed on that tiny table, and every row adds its offset to its
-    row number inside the split; no task ever sees the whole sheet.
+    The sheet must hold exactly as many rows as there are codes; any other
+    number fails the job. Only one row more than the codes is ever looked at.
+    ``codes`` may also be a {label: code} mapping, which needs no positions.
     """
-    pid = F.shiftrightunsigned(F.col(ordinal), _ROW_BITS)
-    row = F.col(ordinal).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    counts = df.select(pid.alias("_pid")).groupBy("_pid").count()
-    offsets = counts.select(
-        "_pid", (F.sum("count").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
-    )
-    j = df.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
-    return j.withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + row + 1).drop("_pid", "_off")
-
-
-def positional_code_map(spark: SparkSession, sheet: DataFrame, resource: str, codes) -> DataFrame:
-    """(resource, ordinal, num_bat) giving the i-th row of ``sheet`` the i-th
-    code; the code list is a configuration value (a handful of entries)."""
-    pos = file_position(sheet.select("ordinal"))
-    code_df = spark.createDataFrame([(i + 1, c) for i, c in enumerate(codes)], "position long, num_bat string")
-    return pos.join(F.broadcast(code_df), "position").select(F.lit(resource).alias("resource"), "ordinal", "num_bat")
-
-
-def load_state(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    df = apply_schema(read_sheet(spark, path, fmt), C.STATE_COLUMNS, keep=("ordinal",))
-    return df
-
-
-def load_rooms(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Room survey: first 13 columns by position, soft-delete flag by name."""
-    raw = read_sheet(spark, path, fmt)
-    require_columns(raw, [C.SOFT_DELETE_COLUMN], "room survey")
-    body = [c for c in raw.columns if c != "ordinal"]
-    gone = {body[p - 1] for p in C.ROOM_DROPPED_POSITIONS if p <= len(body)} | {C.SOFT_DELETE_COLUMN}
-    kept = [c for c in body if c not in gone]
-    if len(kept) != len(C.ROOM_COLUMNS):
-        raise ValueError(f"room survey has {len(kept)} data columns, expected {len(C.ROOM_COLUMNS)}: {kept}")
-    named = raw.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, C.ROOM_COLUMNS)],
-        F.col(f"`{C.SOFT_DELETE_COLUMN}`"),
-        "ordinal",
-    )
-    return cast_columns(named, {"Surface_sol": "double", "Surface_ajus": "double"})
-
-
-def load_staff(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    raw = drop_positions(read_sheet(spark, path, fmt), C.STAFF_DROPPED_POSITIONS, keep=("ordinal",))
-    first = raw.columns[0]
-    df = raw.withColumnRenamed(first, C.STAFF_FIRST_COLUMN)
-    require_columns(df, ["Unite", "Bat"], "staff sheet")
-    return df
-
-
-def load_meter_sheet(spark: SparkSession, path: str, resource: str, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
-    """(standardised wide sheet, long readings) of one consumption sheet."""
-    std = standardise_headers(read_sheet(spark, path, fmt))
-    long = unpivot_years(std, ["ordinal", "batiment"]).withColumn("resource", F.lit(resource))
-    return std, long.select("resource", "ordinal", "batiment", "year", "conso")
-
-
-def sheet_extras(std: DataFrame, resource: str) -> DataFrame | None:
-    """The sheet's variation columns ('Evol_*') per meter, as doubles; None
-    when the sheet has none. Sheets differ in which they hold."""
-    cols = [c for c in std.columns if c.startswith("Evol_")]
-    if not cols:
-        return None
-    return std.select(
-        F.lit(resource).alias("resource"), "ordinal", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in cols]
-    )
+    if isinstance(codes, dict):
+        label = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("batiment")]
+        return sheet.select(F.lit(resource).alias("resource"), "ordinal", label.alias("num_bat"))
+    k = len(codes)
+    first = sheet.select("ordinal").orderBy("ordinal").limit(k + 1)
+    position = F.row_number().over(Window.orderBy("ordinal"))
+    rows = F.count(F.lit(1)).over(Window.partitionBy())
+    numbered = first.select("ordinal", position.alias("position"), rows.alias("rows"))
+    wrong = F.raise_error(F.lit(f"the {resource} sheet must hold exactly {k} rows, one per positional building code"))
+    code = F.when(F.col("rows") != k, wrong.cast("string")).otherwise(F.get(F.array(*map(F.lit, codes)), F.col("position") - 1))
+    return numbered.select(F.lit(resource).alias("resource"), "ordinal", code.alias("num_bat"))
+
+
+class Sheets:
+    """How the sheets are to be read: format, tokens, decimal mark and the like."""
+
+    def __init__(self, spark: SparkSession, fmt: str = "csv", cfg: AnalysisConfig = AnalysisConfig(), decimal: str = ".",
+                 unparsable: str = "fail", **scan):
+        self.spark, self.fmt, self.cfg, self.decimal, self.unparsable, self.scan = spark, fmt, cfg, decimal, unparsable, scan
+
+    def read(self, path: str) -> DataFrame:
+        return read_sheet(self.spark, path, self.fmt, self.cfg.na_tokens, **self.scan)
+
+    def state(self, path: str) -> DataFrame:
+        return apply_schema(self.read(path), C.STATE_COLUMNS, keep=("ordinal",))
+
+    def rooms(self, path: str) -> DataFrame:
+        """Room survey: first 13 columns by position, soft-delete flag by name."""
+        raw, flag = self.read(path), self.cfg.soft_delete_column
+        require_columns(raw, [flag], "room survey")
+        body = [c for c in raw.columns if c != "ordinal"]
+        gone = {body[p - 1] for p in C.ROOM_DROPPED_POSITIONS if p <= len(body)} | {flag}
+        kept = [c for c in body if c not in gone]
+        if len(kept) != len(C.ROOM_COLUMNS):
+            raise ValueError(f"room survey has {len(kept)} data columns, expected {len(C.ROOM_COLUMNS)}: {kept}")
+        table = raw.select(*[named(c).alias(n) for c, n in zip(kept, C.ROOM_COLUMNS)], named(flag), "ordinal")
+        return cast_columns(table, ("Surface_sol", "Surface_ajus"), self.decimal, self.unparsable)
+
+    def staff(self, path: str) -> DataFrame:
+        raw = drop_positions(self.read(path), C.STAFF_DROPPED_POSITIONS, keep=("ordinal",))
+        df = raw.withColumnRenamed(raw.columns[0], C.STAFF_FIRST_COLUMN)
+        require_columns(df, ["Unite", "Bat"], "staff sheet")
+        return df
+
+    def meters(self, path: str) -> DataFrame:
+        """A standardised consumption sheet, as wide as it is. The latest reading
+        must be a number; older years and variations are read leniently."""
+        std = standardise_headers(self.read(path))
+        latest_year_column(std)
+        kinds = {"derniere_conso": self.unparsable}
+        cells = [c for c in std.columns if c not in ("ordinal", "batiment")]
+        return std.select("ordinal", "batiment", *[number(named(c), self.decimal, kinds.get(c, "null")).alias(c) for c in cells])
 
 
 def load_inputs(
@@ -102,37 +91,32 @@ def load_inputs(
     staff_path: str,
     conso_paths: dict[str, str],
     fmt: str = "csv",
-    positional_codes: dict[str, tuple] | None = None,
+    positional_codes: dict | None = None,
+    cfg: AnalysisConfig = AnalysisConfig(),
+    **sheets,
 ) -> Inputs:
-    """All inputs of one analysis run; every sheet is read lazily."""
+    """All inputs of one analysis run; every sheet is read lazily. ``sheets``
+    takes what ``Sheets`` does: decimal, unparsable, sep, encoding, multiline."""
+    for r in conso_paths:
+        C.known_resource(r)
     missing = [r for r in C.SHEET_ORDER if r not in conso_paths]
     if missing:
         raise ValueError(f"missing consumption sheet(s): {missing}")
-    positional_codes = {"fod": C.FOD_POSITIONAL_CODES} if positional_codes is None else positional_codes
-    meters = None
-    code_map = None
-    extras = None
-    years = {}
-    all_years = {}
-    for r in C.SHEET_ORDER:
-        std, long = load_meter_sheet(spark, conso_paths[r], r, fmt)
-        years[r] = int(latest_year_column(std)[:4])
-        all_years[r] = sorted(int(c[:4]) for c in year_columns(std))
-        meters = long if meters is None else meters.unionByName(long)
-        ex = sheet_extras(std, r)
-        if ex is not None:
-            # schema drift: each sheet has its own variation columns
-            extras = ex if extras is None else extras.unionByName(ex, allowMissingColumns=True)
-        if r in positional_codes:
-            cm = positional_code_map(spark, std, r, positional_codes[r])
-            code_map = cm if code_map is None else code_map.unionByName(cm)
+    positional_codes = cfg.positional_codes if positional_codes is None else positional_codes
+    read = Sheets(spark, fmt, cfg, **sheets)
+    std = {r: read.meters(conso_paths[r]) for r in C.SHEET_ORDER}
+    tagged = [df.withColumn("resource", F.lit(r)) for r, df in std.items()]
+    long = [unpivot_years(df, ["resource", "ordinal", "batiment"]) for df in tagged]
+    maps = [positional_code_map(std[r], r, codes) for r, codes in positional_codes.items()]
     return Inputs(
-        state=load_state(spark, state_path, fmt),
-        rooms=load_rooms(spark, rooms_path, fmt),
-        staff=load_staff(spark, staff_path, fmt),
-        meters=meters,
-        code_map=code_map,
-        latest_years=years,
-        sheet_years=all_years,
-        sheet_extras=extras,
+        state=read.state(state_path),
+        rooms=read.rooms(rooms_path),
+        staff=read.staff(staff_path),
+        meters=reduce(DataFrame.unionByName, long).select("resource", "ordinal", "batiment", "year", "conso"),
+        code_map=reduce(DataFrame.unionByName, maps) if maps else None,
+        latest_years={r: int(latest_year_column(df)[:4]) for r, df in std.items()},
+        sheet_years={r: sorted(int(c[:4]) for c in year_columns(df)) for r, df in std.items()},
+        # schema drift: each sheet has its own years and variation columns
+        wide=reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged),
+        held={r: [c for c in df.columns if c not in ("ordinal", "batiment")] for r, df in std.items()},
     )

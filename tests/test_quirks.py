@@ -1,7 +1,10 @@
 """Small cases for rules the worked example does not reach."""
 
+from pyspark.sql import functions as F
+
 from conftest import same
 from fluxsite.config import AnalysisConfig
+from fluxsite.functions.text import substrings_without_slash
 from fluxsite.operators import meters as M
 from fluxsite.operators import occupancy as O
 from fluxsite.operators import reports as P
@@ -35,3 +38,15 @@ def test_q3_no_shared_labels(spark):
     rep = spark.createDataFrame([("A", *[1.0] * 5), ("B", *[2.0] * 5), (None, *[3.0] * 5)], schema)
     rows = {r["Unite"]: r["conso_elec_m2_kWhb"] for r in redistribute_by_unit(rep, "contains", CFG).collect()}
     assert rows == {"A": 1.0, "B": 2.0}
+
+
+def test_long_labels_give_few_pieces(spark):
+    """Only substrings as long as a real name are made of a label."""
+    vals = list(CFG.value_columns.values())
+    schema = "Unite string, " + ", ".join(f"{c} double" for c in vals)
+    label = "/".join(["AGAP", "x" * 400, "LEPSE"])
+    rep = spark.createDataFrame([("AGAP", *[1.0] * 5), ("LEPSE", *[2.0] * 5), (label, *[3.0] * 5)], schema)
+    rows = {r["Unite"]: r["conso_elec_m2_kWhb"] for r in redistribute_by_unit(rep, "contains", CFG).collect()}
+    assert rows == {"AGAP": 2.0, "LEPSE": 3.0}
+    lengths = F.array(F.lit(4), F.lit(5))
+    assert rep.select(F.size(substrings_without_slash("Unite", lengths)).alias("n")).filter("n > 10").count() == 0
