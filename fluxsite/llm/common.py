@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _LOCAL_WORK: dict[str, str] = {}
+_SENT: set[str] = set()
+PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def work_root(spark: SparkSession) -> str:
@@ -31,6 +36,20 @@ def work_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{sc.applicationId}"
 
 
+def send_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application: as a zip that
+    Spark distributes, unless PYTHONPATH already names the folder it lies in."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SENT or str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp(prefix="llm-package-")) / f"{PACKAGE.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(PACKAGE.rglob("*.py")):
+            z.write(f, f.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(target))
+    _SENT.add(sc.applicationId)
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder, and reread.
 
@@ -38,6 +57,7 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     and every reader sees the same rows whatever the plan above it does.
     """
     spark = df.sparkSession
+    send_package(spark)
     path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +95,8 @@ def unit_draw(*parts: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of an input folder; the workers are given this package first."""
+    send_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
