@@ -32,6 +32,8 @@ HEADLINE = [
     "year_over_year",
     "occupancy_staff",
     "standardise_headers",
+    "export_enriched",
+    "unpivot_years",
 ]
 
 
