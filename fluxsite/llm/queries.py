@@ -147,5 +147,40 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
 )
 SELECT * FROM ranked WHERE rank <= 20
+""",
+    # CRC-32 by its byte table; the draws of the tree by list functions
+    "op9_sharding": """
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda acc, j: xor(acc >> 1, (acc & 1) * 3988292384), i) ORDER BY i) AS t FROM range(256) r(i)
+), d AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '~') AS k, encode(coalesce(text, '')) AS raw FROM documents
+), bytes AS (
+  SELECT doc_id, k, octet_length(raw) + 1 AS size,
+    list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d
+), regions AS (
+  SELECT doc_id, k, size, b,
+    list_transform([8.0, 8.0, 1.0], lambda w, i:
+      -ln((('0x' || md5('tree-1/' || k || '/r.' || (i - 1)::VARCHAR)[1:13])::BIGINT + 1) / 4503599627370496.0::DOUBLE) / w::DOUBLE) AS draws
+  FROM bytes
+), region AS (
+  SELECT *, list_position(draws[1:2], list_min(draws[1:2])) - 1 AS r, list_min(draws) = draws[3] AS moves FROM regions
+), racks AS (
+  SELECT *, list_transform([0, 1], lambda i:
+      -ln((('0x' || md5('tree-1/' || k || '/r.' || r::VARCHAR || '.' || i::VARCHAR)[1:13])::BIGINT + 1) / 4503599627370496.0::DOUBLE) / 4.0::DOUBLE) AS rack_draws
+  FROM region
+), rack AS (
+  SELECT *, list_position(rack_draws, list_min(rack_draws)) - 1 AS j FROM racks
+), leaves AS (
+  SELECT *, list_transform([0, 1, 2, 3], lambda i:
+      -ln((('0x' || md5('tree-1/' || k || '/r.' || r::VARCHAR || '.' || j::VARCHAR || '.' || i::VARCHAR)[1:13])::BIGINT + 1) / 4503599627370496.0::DOUBLE)) AS leaf_draws
+  FROM rack
+), placed AS (
+  SELECT *, (8 * r + 4 * j + list_position(leaf_draws, list_min(leaf_draws)) - 1)::INTEGER AS shard FROM leaves
+)
+SELECT doc_id, size::BIGINT AS size,
+  coalesce(xor(list_reduce(b, lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1]), 4294967295::BIGINT), 4294967295), 0)::BIGINT AS text_crc32,
+  'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id) - 1 AS slot,
+  CASE WHEN moves THEN 16 ELSE shard END::INTEGER AS grown_shard
+FROM placed, crc
 """,
 }
