@@ -182,5 +182,29 @@ SELECT doc_id, size::BIGINT AS size,
   'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id) - 1 AS slot,
   CASE WHEN moves THEN 16 ELSE shard END::INTEGER AS grown_shard
 FROM placed, crc
+""",
+    # every window of 200 bytes as 400 hex digits; spans are islands of their starts
+    "op6_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(n - 199)) AS i FROM d)
+), again AS (
+  SELECT s FROM w GROUP BY s HAVING count(*) > 1
+), starts AS (
+  SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS gap FROM w JOIN again USING (s)
+), islands AS (
+  SELECT doc_id, i, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM starts
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY doc_id, island
+), around AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), found AS (
+  SELECT d.doc_id, d.n, count(a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed,
+    coalesce(string_agg(substring(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a), '')
+      || substring(any_value(h), 2 * coalesce(max(b), 0) + 1, 2 * n) AS kept
+  FROM d LEFT JOIN around USING (doc_id) GROUP BY d.doc_id, d.n
+)
+SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM found
 """,
 }
