@@ -12,8 +12,8 @@ files are merged by a priority queue) and resolved by induction: the order and
 common-prefix lengths of the suffixes at the anchors give those of the suffixes
 one byte before, and so on. A window is a repeat where a neighbour shares
 LENGTH bytes. Groups of more than CROWDED different surroundings (a passage
-that very many texts share) are resolved window by window instead, by counts
-that collapse within each task; the result is the same.
+that very many texts share) are resolved by blocks of windows instead, by
+counts that collapse within each task; the result is the same.
 
 Defined cases: a NULL text is empty; texts shorter than LENGTH keep everything;
 repeated rows are copies of each other; an empty table gives an empty result;
@@ -25,6 +25,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +147,59 @@ def _resolve(batches: Iterator[pa.RecordBatch]):
         yield done(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]):
-    """Rows (digest, single, row, start) of every window of the contexts."""
-    for batch in batches:
-        out: list[tuple] = []
-        for single, row, place, raw in zip(*[batch.column(c).to_pylist() for c in ("single", "row", "place", "bytes")], strict=True):
-            first = (place >> 16) - (place >> 8 & 255)
-            out += [(xxhash.xxh3_128_digest(raw[i : i + LENGTH]), single, row, first + i) for i in range(len(raw) - LENGTH + 1)]
-        kinds = (pa.binary(), pa.bool_(), pa.int64(), pa.int64())
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "single", "row", "first"])
+# -- crowded anchors -------------------------------------------------------
+PART = "row long, at long, low long, high long, single boolean, bytes binary, core binary, whole binary"
+WIDTHS = (43, 11, 3, 1)  # distances of a block in each round; the first round has SPREAD / 43 blocks
+
+
+def _parts(width: int):
+    """The windows of each context, dealt to blocks of ``width`` distances.
+
+    core: digest of the bytes that all windows of the block have in common;
+    whole: digest of the bytes that the context's own windows of it cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("row", "at", "low", "high", "single", "bytes")]
+            for row, at, low, high, single, raw in zip(*columns, strict=True):
+                for start in range(low - low % width, high + 1, width):
+                    first, last = max(low, start), min(high, start + width - 1)
+                    own = raw[high - last : high - first + LENGTH]
+                    core = raw[high - start : high - start - width + 1 + LENGTH]
+                    out.append((row, at, first, last, single, own, digest(core), digest(own)))
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = (*[pa.int64()] * 4, pa.bool_(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["row", "at", "low", "high", "single", "bytes", "core", "whole"])
+
+    return run
+
+
+def resolve_crowded(open_: DataFrame) -> DataFrame:
+    """(row, first, last) of repeated windows of contexts (row, at, low, high, single,
+    bytes): block by block, with finer blocks where that leaves it open.
+
+    Two that agree in a block's whole bytes repeat all its windows; one that
+    shares the core with no other repeats none of them. Of equal parts one goes
+    on as evidence for others with the same core. Counts collapse within each
+    task, so one passage in very many texts never meets in one."""
+    found = []
+    for width in WIDTHS:
+        parts = work_table(open_.mapInArrow(_parts(width), PART), "suffix-parts")
+        one = F.min(F.struct("row", "at", "low", "high", "single", "bytes")).alias("one")
+        classes = work_table(parts.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), one), "suffix-part-classes")
+        twice = classes.where("n > 1").select(F.col("core").alias("c"), F.col("whole").alias("w"))
+        same = parts.where("single").join(work_table(twice, "suffix-part-repeats"), (F.col("core") == F.col("c")) & (F.col("whole") == F.col("w")), "left_semi")
+        found.append(same.select("row", (F.col("at") - F.col("high")).alias("first"), (F.col("at") - F.col("low")).alias("last")))
+        shared = classes.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c")
+        shared = work_table(shared, "suffix-part-cores")
+        if shared.isEmpty():
+            break
+        rest = classes.join(shared, F.col("core") == F.col("c"), "left_semi")
+        open_ = rest.select("one.row", "one.at", "one.low", "one.high", (F.col("one.single") & (F.col("n") == 1)).alias("single"), "one.bytes")
+    return reduce(DataFrame.union, found)
 
 
 # -- removal ---------------------------------------------------------------
@@ -204,10 +248,12 @@ def remove_repeats(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     contexts = _step(contexts, "contexts")
     some = contexts.where(F.col("k") <= crowded).repartition("hash").sortWithinPartitions("hash")
     ends = some.mapInArrow(_resolve, "row long, first long, last long")
-    windows = contexts.where(F.col("k") > crowded).mapInArrow(_windows, "digest binary, single boolean, row long, first long")
-    twice = windows.groupBy(F.col("digest").alias("of")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("of")
-    many = windows.where("single").join(_step(twice, "windows"), F.col("digest") == F.col("of"), "left_semi")
-    ends = _step(ends.union(many.select("row", "first", F.col("first").alias("last"))), "ends")
+    place = F.col("place")
+    many = contexts.where(F.col("k") > crowded).select(
+        "row", F.shiftright(place, 16).alias("at"), place.bitwiseAND(255).alias("low"),
+        F.shiftright(place, 8).bitwiseAND(255).alias("high"), "single", "bytes",
+    )
+    ends = _step(ends.union(resolve_crowded(many)), "ends")
 
     by_row = lambda df, value, name: df.groupBy(F.col("row").alias(f"{name}_row")).agg(F.collect_list(value).alias(name))
     open_ = classes.where("n = 1").select(F.col("one.row").alias("row"), F.col("one.place").alias("place"))
