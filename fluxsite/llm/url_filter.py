@@ -22,13 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import work_table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-VOCABULARY = 50_000  # most frequent words that a task gets
+VOCABULARY = 50_000  # most words that a task gets
 LONGEST = 24  # characters of a word in a host
 BUCKETS = 1 << 16  # hashed words of the classifier
 ALLOW, BLOCK = "allow", "block"
@@ -55,13 +55,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 # -- words -----------------------------------------------------------------
 def unigrams(html: Column, pages: DataFrame, size: int = VOCABULARY) -> tuple[dict[str, int], int]:
-    """Counts of the most frequent words of all pages' text, and of all words together."""
+    """Counts of the most frequent words of all pages' text (all words above the
+    frequency at which they would be more than ``size``), and of all words together.
+
+    The frequencies' own counts tell that level, so only the words above it
+    leave the tasks."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
     counts = work_table(pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "unigrams")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    usable_ = counts.where(F.length("word") <= LONGEST)
-    return {r.word: r.n for r in usable_.orderBy(F.col("n").desc(), "word").limit(size).collect()}, total
+    fitting = counts.where(F.length("word") <= LONGEST)
+    levels = fitting.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    upto = F.sum("words").over(Window.orderBy(F.col("n").desc()))
+    least = levels.withColumn("upto", upto).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    kept = fitting.where(F.col("n") >= least).collect() if least else []
+    return {r.word: r.n for r in kept}, total
 
 
 class Words:
