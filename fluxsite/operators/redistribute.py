@@ -23,11 +23,12 @@ from fluxsite.functions.nulls import strict_sum
 from fluxsite.functions.text import label_tokens, member_count, substrings_without_slash
 
 
-def name_lengths(report: DataFrame):
-    """array<int> of the lengths that standalone names have, as a scalar
-    subquery (one small aggregate, at most one entry per length)."""
+def name_lengths(names: DataFrame):
+    """array<int> of the lengths that the names without '/' have (column
+    ``Unite``), as a scalar subquery: one small aggregate, at most one entry per
+    length. Names beyond the standalone units of a report only add lengths."""
     size = F.length("Unite")
-    alone = report.filter(~F.col("Unite").contains("/") & (size > 0)).select(size.alias("n")).distinct()
+    alone = names.filter(~F.col("Unite").contains("/") & (size > 0)).select(size.alias("n")).distinct()
     return F.coalesce(alone.agg(F.sort_array(F.collect_list("n"))).scalar(), F.array().cast("array<int>"))
 
 
@@ -43,7 +44,7 @@ def redistributed_names(cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, str
     return {r: cfg.value_columns[r] + "b" for r in cfg.resources}
 
 
-def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig) -> DataFrame:
+def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig, names: DataFrame | None) -> DataFrame:
     """One row per (report row, distinct '/'-free piece of its label), with
     the row's shares and whether the row *is* that piece (a standalone unit)."""
     vals = [cfg.value_columns[r] for r in cfg.resources]
@@ -52,7 +53,7 @@ def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig) -> Dat
         *keys, "Unite", *[(F.col(v) / k).alias(v) for v in vals]
     )
     if method == "contains":
-        rows = rows.withColumn("_lengths", name_lengths(report))
+        rows = rows.withColumn("_lengths", name_lengths(report if names is None else names))
     exploded = rows.select("*", F.explode(_pieces(method)).alias("piece")).drop("_lengths")
     return exploded.withColumn("is_self", F.col("Unite") == F.col("piece"))
 
@@ -62,20 +63,24 @@ def _strict_shares(cfg: AnalysisConfig):
     return [strict_sum(F.col(cfg.value_columns[r])).alias(names[r]) for r in cfg.resources]
 
 
-def redistribute_by_unit(report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
+def redistribute_by_unit(
+    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig(), names: DataFrame | None = None
+) -> DataFrame:
     """Per standalone unit of ``report`` (the per-unit report): the sum of the
-    shares of every row whose label contains it (consumption only).
+    shares of every row whose label contains it (consumption only). ``names``
+    (column ``Unite``) holds at least the report's units and spares reading the
+    report a second time for their lengths.
 
     One aggregation keyed by the piece: a piece is output when one of its rows
     is the standalone unit itself, so the report is read once and no join is
     needed. Partial aggregation combines frequent pieces before the shuffle."""
-    p = _pieces_of(report, [], method, cfg)
+    p = _pieces_of(report, [], method, cfg, names)
     g = p.groupBy("piece").agg(F.max("is_self").alias("_unit"), *_strict_shares(cfg))
     return g.filter(F.col("_unit")).drop("_unit").withColumnRenamed("piece", "Unite")
 
 
 def redistribute_by_building_unit(
-    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig()
+    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig(), names: DataFrame | None = None
 ) -> DataFrame:
     """Per standalone (building, unit) key of ``report`` (the per building and
     unit report): the same sum restricted to rows of that building.
@@ -83,7 +88,7 @@ def redistribute_by_building_unit(
     Building containment is taken as code equality (codes are fixed-width
     and cannot occur inside a unit label); unit containment is exact. The
     key's label 'num_bat-Unite' must hold no '/'."""
-    p = _pieces_of(report, ["num_bat"], method, cfg)
+    p = _pieces_of(report, ["num_bat"], method, cfg, names)
     bat_ok = ~F.coalesce(F.col("num_bat").contains("/"), F.lit(False))
     g = p.groupBy("num_bat", "piece").agg(F.max(F.col("is_self") & bat_ok).alias("_key"), *_strict_shares(cfg))
     batu = F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("piece"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import sql_name
+from fluxsite.functions.text import canonical_unit
 from fluxsite.operators import allocation as A
 from fluxsite.operators import meters as M
 from fluxsite.operators import occupancy as O
@@ -206,11 +207,16 @@ class Analysis:
     def surface_by_unit(self) -> DataFrame:
         return O.surface_by_unit(self.occupancy, self.cfg)
 
+    @property
+    def _unit_names(self) -> DataFrame:
+        """Unit spellings of the survey: every unit of the reports is one of them."""
+        return self.inputs.rooms.select(canonical_unit("Unite", self.cfg.unit_aliases).alias("Unite"))
+
     def redistribute_by_unit(self, method: str = "contains") -> DataFrame:
-        return R.redistribute_by_unit(self.by_unit, method, self.cfg)
+        return R.redistribute_by_unit(self.by_unit, method, self.cfg, self._unit_names)
 
     def redistribute_by_building_unit(self, method: str = "contains") -> DataFrame:
-        return R.redistribute_by_building_unit(self.by_building_unit, method, self.cfg)
+        return R.redistribute_by_building_unit(self.by_building_unit, method, self.cfg, self._unit_names)
 
     @cached_property
     def series_by_year(self) -> DataFrame:
