@@ -31,8 +31,21 @@ SHEET_YEARS = tuple(range(2015, 2022))
 YEAR_SHIFT = 20
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class _Opened:
+    """The tables of one set of inputs, each opened (listed, schema read) once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, {}
+
+    def table(self, path: str) -> DataFrame:
+        if path not in self.tables:
+            self.tables[path] = self.spark.read.parquet(path)
+        return self.tables[path]
+
+
+def _read(source: SparkSession | _Opened, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return source.table(path) if isinstance(source, _Opened) else source.read.parquet(path)
 
 
 def _code(x) -> F.Column:
@@ -132,13 +145,15 @@ def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """The five input views of a test-data folder (lazy plans, no job)."""
+    """The five input views of a test-data folder (lazy plans, no job beyond
+    opening each file once)."""
+    tables = _Opened(spark)
     return Inputs(
-        state=state(spark, sf_dir),
-        rooms=rooms(spark, sf_dir),
-        staff=staff(spark, sf_dir),
-        meters=meters(spark, sf_dir),
-        code_map=code_map(spark, sf_dir),
+        state=state(tables, sf_dir),
+        rooms=rooms(tables, sf_dir),
+        staff=staff(tables, sf_dir),
+        meters=meters(tables, sf_dir),
+        code_map=code_map(tables, sf_dir),
         sheet_years={r: list(SHEET_YEARS) for r in C.SHEET_ORDER},
-        since=lambda year: meters(spark, sf_dir, year),
+        since=lambda year: meters(tables, sf_dir, year),
     )
