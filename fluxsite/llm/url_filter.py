@@ -18,18 +18,21 @@ import math
 import re
 import string
 import zlib
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import work_table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-VOCABULARY = 50_000  # most words that a task gets
-LONGEST = 24  # characters of a word in a host
+# Former bounds, which nothing here reads: the brute force of the tests names them.
+VOCABULARY = 50_000
+LONGEST = 24
+PIECES = 1 << 18  # substrings of a part of the tokens, or those of one token
+LETTERS = 1 << 17  # size of a part of the urls: their characters and 64 for each
 BUCKETS = 1 << 16  # hashed words of the classifier
 ALLOW, BLOCK = "allow", "block"
 VERDICTS = (ALLOW, BLOCK)
@@ -54,47 +57,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 # -- words -----------------------------------------------------------------
-def unigrams(html: Column, pages: DataFrame, size: int = VOCABULARY) -> tuple[dict[str, int], int]:
-    """Counts of the most frequent words of all pages' text (all words above the
-    frequency at which they would be more than ``size``), and of all words together.
-
-    The frequencies' own counts tell that level, so only the words above it
-    leave the tasks."""
+def unigrams(html: Column, pages: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """(word, n) of all words of all pages' text, the count of all words together,
+    and the lengths that words have."""
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
     counts = work_table(pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "unigrams")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    fitting = counts.where(F.length("word") <= LONGEST)
-    levels = fitting.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    upto = F.sum("words").over(Window.orderBy(F.col("n").desc()))
-    least = levels.withColumn("upto", upto).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    kept = fitting.where(F.col("n") >= least).collect() if least else []
-    return {r.word: r.n for r in kept}, total
+    facts = counts.agg(F.sum("n").alias("total"), F.collect_set(F.length("word")).alias("lengths")).first()
+    return counts, facts["total"] or 0, sorted(facts["lengths"])
+
+
+def tokens_of(host: str, path: str) -> list[str]:
+    """Tokens of a host (``h:``) and path (``p:``); every run of digits is ``#``."""
+    return [
+        kind + ("#" if token[0].isdigit() else token)
+        for kind, text in (("h:", host), ("p:", path.lower()))
+        for token in re.findall(r"\d+|[^\W\d_]+", text)
+    ]
 
 
 class Words:
     """Unigram Viterbi segmentation."""
 
     def __init__(self, counts: dict[str, int], total: int):
-        self.counts, self.total = counts, max(1, total)
+        self.total = max(1, total)
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
-        self.segment = lru_cache(200_000)(self._segment)
-
-    def __reduce__(self):  # the cache stays where it is
-        return Words, (self.counts, self.total)
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def _unknown(self, n: int) -> float:
         """A word not seen: the less likely, the longer."""
         return math.log(self.total) + n * math.log(10)
 
-    def _segment(self, token: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(token), [0] * (len(token) + 1)
+    def segment(self, token: str) -> tuple[str, ...]:
+        # An unknown word costs the same wherever it ends but for its length, so the best
+        # start of one is the least of best[start] - start * log(10). A known word
+        # costs less than it would unknown, so every start may count as unknown.
+        best, back, least, start_of_least = [0.0], [0], math.inf, 0
         for end in range(1, len(token) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                known = self.cost.get(token[start:end])
-                cost = best[start] + (self._unknown(end - start) if known is None else known)
-                if cost < best[end]:
-                    best[end], back[end] = cost, start
+            if (x := best[-1] - (end - 1) * math.log(10)) < least:
+                least, start_of_least = x, end - 1
+            cost, start = best[start_of_least] + self._unknown(end - start_of_least), start_of_least
+            for n in self.lengths:
+                if n <= end and (known := self.cost.get(token[end - n : end])) is not None and best[end - n] + known < cost:
+                    cost, start = best[end - n] + known, end - n
+            best.append(cost)
+            back.append(start)
         out, at = [], len(token)
         while at:
             out.append(token[back[at] : at])
@@ -103,73 +110,133 @@ class Words:
 
     def of(self, host: str, path: str) -> list[str]:
         """Words of a host (``h:``) and path (``p:``); runs of digits are one word."""
-        found = []
-        for kind, text in (("h:", host), ("p:", path.lower())):
-            for token in re.findall(r"\d+|[^\W\d_]+", text):
-                found += [kind + w for w in (("#",) if token[0].isdigit() else self.segment(token))]
-        return found
+        return [t[:2] + w for t in tokens_of(host, path) for w in ((t[2:],) if t[2:] == "#" else self.segment(t[2:]))]
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) % BUCKETS
+def _parts(size: Callable[[pa.RecordBatch], list[int]], most: int):
+    """Adds ``part``: the next rows of a task whose sizes are ``most`` at most together, or one row."""
 
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
 
-# -- naive Bayes -----------------------------------------------------------
-def _count_words(words):
-    def run(batches):
+        number, fill = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
-            columns = [batch.column(c).to_pylist() for c in ("host", "path", "verdict")]
-            for host, path, verdict in zip(*columns, strict=True):
-                for at in (-1, *map(_bucket, words.value.of(host, path))):  # -1: the url itself
-                    counts[verdict, at] = counts.get((verdict, at), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(counts.values(), pa.int64())],
-                ["verdict", "bucket", "n"])
+            numbers = []
+            for n in size(batch):
+                if fill and fill + n > most:
+                    number, fill = number + 1, 0
+                fill += n
+                numbers.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "part"])
 
     return run
 
 
-def learn(urls: DataFrame, words) -> tuple[float, np.ndarray]:
-    """(log odds of the classes, log odds of each bucket), block against allow."""
-    counted = urls.where(F.col("verdict").isNotNull()).select("host", "path", "verdict")
-    counted = counted.mapInArrow(_count_words(words), "verdict string, bucket long, n long").groupBy("verdict", "bucket").agg(F.sum("n").alias("n"))
-    counts = {v: np.ones(BUCKETS) for v in VERDICTS}
-    prior = dict.fromkeys(VERDICTS, 0)
-    for r in counted.collect():  # at most (BUCKETS + 1) rows a class
-        if r.bucket < 0:
-            prior[r.verdict] = r.n
-        else:
-            counts[r.verdict][r.bucket] += r.n
-    if not all(prior.values()):  # one kind or none: that kind, or allow
-        return (math.inf if prior[BLOCK] else -math.inf), np.zeros(BUCKETS)
-    odds = np.log(counts[BLOCK] / counts[BLOCK].sum()) - np.log(counts[ALLOW] / counts[ALLOW].sum())
-    return math.log(prior[BLOCK] / prior[ALLOW]), odds
-
-
-def _judge(words, model):
-    def run(batches):
-        prior, odds = model.value
+def _pieces(lengths: list[int]):
+    """(part, piece): substrings of a part's tokens that have the length of a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(held), pa.int64()), pa.array(held, pa.string())], ["part", "piece"])
+
+        part, held = None, set()
         for batch in batches:
-            verdicts = []
-            for host, path, verdict in zip(*[batch.column(c).to_pylist() for c in ("host", "path", "verdict")], strict=True):
-                if verdict is None:
-                    score = prior + float(sum(odds[_bucket(w)] for w in words.value.of(host, path)))
-                    verdict = BLOCK if score > 0 else ALLOW
-                verdicts.append(verdict)
-            columns = [batch.column(c) for c in ("page_id", "host", "path", "rule")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            for token, at in zip(batch.column("token").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                for n in lengths:
+                    if held and (at != part or len(held) > PIECES):
+                        yield rows()
+                        held = set()
+                    part = at
+                    held.update(token[k : k + n] for k in range(len(token) - n + 1))
+        if held:
+            yield rows()
+
+    return run
+
+
+def _segments(total: int):
+    def run(key: tuple[pa.Scalar, ...], tokens: pa.Table, known: pa.Table) -> pa.Table:
+        words = Words(dict(zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True)), total)
+        found = [words.segment(t) for t in tokens["token"].to_pylist()]
+        return pa.table({"text": tokens["token"].cast(pa.string()), "words": pa.array(found, pa.list_(pa.string()))})
+
+    return run
+
+
+def segments(tokens: DataFrame, counts: DataFrame, total: int, lengths: list[int]) -> DataFrame:
+    """(text, words): the segmentation of every distinct token (column ``token``)."""
+    size = lambda batch: [1 + len(t) * len(lengths) for t in batch.column("token").to_pylist()]
+    tokens = work_table(tokens.distinct().mapInArrow(_parts(size, PIECES), "token string, part long"), "tokens")
+    pieces = tokens.mapInArrow(_pieces(lengths), "part long, piece string")
+    known = pieces.join(counts, F.col("piece") == F.col("word")).select("part", "word", "n")
+    found = tokens.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_segments(total), "text string, words array<string>")
+    return work_table(found, "segments")
+
+
+# -- naive Bayes -----------------------------------------------------------
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def _uses(batches: Iterator[pa.RecordBatch]):
+    """(part, token, verdict, n): how often a part's urls of a verdict (NULL: still open) hold a token."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for part, host, path, verdict in zip(*[batch.column(c).to_pylist() for c in ("part", "host", "path", "verdict")], strict=True):
+            counts.update((part, token, verdict) for token in tokens_of(host, path))
+        columns = zip(*counts, strict=True) if counts else ([], [], [])
+        types = (pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array(counts.values(), pa.int64())], ["part", "token", "verdict", "n"])
+
+
+def learn(uses: DataFrame, split: DataFrame) -> DataFrame:
+    """(token, odds): log odds, block against allow, of the words of each token."""
+    times = lambda verdict: F.sum(F.when(F.col("verdict") == verdict, F.col("n")).otherwise(0))
+    tokens = uses.groupBy("token").agg(*[times(v).alias(v) for v in VERDICTS])
+    text = F.expr("substring(token, 3)")
+    tokens = tokens.join(split, text == F.col("text"), "left")
+    own = F.when(text == "#", F.array(F.lit("#"))).otherwise(F.col("words"))
+    words = tokens.select("token", *VERDICTS, F.explode(own).alias("word"))
+    words = words.withColumn("word", F.crc32(F.concat(F.substring("token", 1, 2), "word")) % BUCKETS)
+    words = work_table(words, "url-words")
+    counts = work_table(words.groupBy(F.col("word").alias("of")).agg(*[F.sum(v).alias(v) for v in VERDICTS]), "word-counts")
+    sums = counts.agg(*[F.sum(v).alias(v) for v in VERDICTS]).first()
+    share = lambda verdict: F.log((F.col(verdict) + 1) / F.lit(float((sums[verdict] or 0) + BUCKETS)))
+    odds = counts.select("of", (share(BLOCK) - share(ALLOW)).alias("odds"))
+    return words.select("token", "word").join(odds, F.col("word") == F.col("of")).groupBy("token").agg(F.collect_list("odds").alias("odds"))
+
+
+def _judge(prior: float):
+    def run(key: tuple[pa.Scalar, ...], urls: pa.Table, known: pa.Table) -> pa.Table:
+        odds = dict(zip(known["token"].to_pylist(), known["odds"].to_pylist(), strict=True))
+        verdicts = []
+        for host, path in zip(urls["host"].to_pylist(), urls["path"].to_pylist(), strict=True):
+            # fsum: the order of a token's odds does not matter
+            score = math.fsum([prior, *[x for t in tokens_of(host, path) for x in odds[t]]])
+            verdicts.append(BLOCK if score > 0 else ALLOW)
+        return urls.select(["page_id", "host", "path", "rule"]).append_column("verdict", pa.array(verdicts, pa.string()))
 
     return run
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per page."""
-    spark = pages.sparkSession
-    words = spark.sparkContext.broadcast(Words(*unigrams(F.col("html"), pages)))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "verdict": verdict})
-    model = spark.sparkContext.broadcast(learn(urls, words))
     key = pages.schema["page_id"].dataType.simpleString()
-    return urls.mapInArrow(_judge(words, model), f"page_id {key}, host string, path string, rule string, verdict string")
+    columns = f"page_id {key}, host string, path string, rule string, verdict string"
+    size = lambda batch: [64 + len(h) + len(p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+    urls = work_table(urls.mapInArrow(_parts(size, LETTERS), f"{columns}, part long"), "urls")
+    prior = dict.fromkeys(VERDICTS, 0) | {r.verdict: r.n for r in urls.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not all(prior[v] for v in VERDICTS):  # one kind or none: that kind, or allow
+        return urls.withColumn("verdict", F.coalesce("verdict", F.lit(BLOCK if prior[BLOCK] else ALLOW))).drop("part")
+    uses = work_table(urls.select("part", "host", "path", "verdict").mapInArrow(_uses, "part long, token string, verdict string, n long"), "url-tokens")
+    tokens = uses.select(F.expr("substring(token, 3)").alias("token")).where(F.col("token") != "#")
+    odds = learn(uses, segments(tokens, *unigrams(F.col("html"), pages)))
+    known = uses.where(F.col("verdict").isNull()).select("part", F.col("token").alias("of")).join(odds, F.col("of") == F.col("token"))
+    known = known.select("part", "token", "odds")
+    opened = urls.where(F.col("verdict").isNull())
+    judged = opened.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_judge(math.log(prior[BLOCK] / prior[ALLOW])), columns)
+    return urls.where(F.col("verdict").isNotNull()).drop("part").unionByName(judged)

@@ -94,3 +94,26 @@ def test_one_class_repeats_and_empty_table(spark):
     assert len(out) == 3 and {r.verdict for r in out} == {"block"}
     assert url_filter.judge(spark.createDataFrame(rows[2:], PAGES)).first().verdict == "allow"
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_words_of_every_frequency_and_length_reach_the_segmenter(spark, monkeypatch):
+    """More than 50,000 distinct words, all of one frequency, and one of over 24 characters."""
+    letters = "bcdfghjklm"
+    rare = ["".join(letters[int(d)] for d in f"{k:05d}") for k in range(60_000)]
+    long = "x" + "yz" * 15
+    pages = [(k, None, " ".join(rare[k * 1000 : k * 1000 + 1000])) for k in range(60)] + [(60, None, f"{long} shop {long}")]
+    pages += [
+        (100, f"http://{rare[7]}{rare[59_999]}.net/", None), (101, f"http://{long}shop.net/", None), (102, "http://shop.org/fr/", None),
+        (103, f"http://{rare[59_999]}.{rare[7]}.test/", None), (104, "http://shop.test/", None), (105, f"http://{long}.test/", None),
+        (106, "http://shop.org/fr/", None), (107, "http://shop.org/fr/", None),
+    ]
+    df = spark.createDataFrame(pages, PAGES).repartition(4)
+    out = got(url_filter.judge(df))
+    assert {i: o[3] for i, o in out.items() if i >= 100} == {100: "block", 101: "block", 102: "allow", 103: "block", 104: "allow", 105: "block", 106: "allow", 107: "allow"}
+    counts, total, lengths = url_filter.unigrams(F.col("html"), df)
+    assert counts.count() == 60_002 and total == 60_003 and lengths == [4, 5, 31]
+    tokens = spark.createDataFrame([(rare[7] + rare[59_999],), (long + "shop",), ("q" * 3000,)], "token string")
+    for size in (1, url_filter.PIECES):
+        monkeypatch.setattr(url_filter, "PIECES", size)
+        split = {r.text: r.words for r in url_filter.segments(tokens, counts, total, lengths).collect()}
+        assert split == {rare[7] + rare[59_999]: [rare[7], rare[59_999]], long + "shop": [long, "shop"], "q" * 3000: ["q" * 3000]}
