@@ -223,8 +223,10 @@ def _fit_shard(start, shape: Shape, k: int):
 def train(docs: DataFrame, labels: DataFrame, shape: Shape = Shape()) -> Machine:
     spark = docs.sparkSession
     rows, machine = sample(docs, labels, shape), Machine(shape)
-    kinds = rows.agg(F.countDistinct("label")).first()[0]
-    for k in range(shape.rounds if kinds == 2 else 0):
+    if rows.agg(F.countDistinct("label")).first()[0] < 2:
+        machine.factors[:] = 0  # nothing to tell apart: 0.5 for every row
+        return machine
+    for k in range(shape.rounds):
         start = spark.sparkContext.broadcast(machine)
         done = rows.groupBy("shard").applyInArrow(_fit_shard(start, shape, k), "shard long, n long, model binary").collect()
         done.sort(key=lambda r: r.shard)

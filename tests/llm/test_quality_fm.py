@@ -88,3 +88,13 @@ def test_defined_cases(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality_fm.score(empty, machine, SMALL).count() == 0 and quality_fm.keep_good(empty, machine, SMALL).count() == 0
     assert quality_fm.train(empty, labels, SMALL).bias == 0
+
+
+@pytest.mark.parametrize("usable", [[], [(k, 1, 0) for k in range(80)], [(k, 0, 0) for k in range(80)]])
+def test_without_both_classes_every_score_is_one_half(spark, usable):
+    rows, _ = toy(random.Random(4), 80)
+    docs = spark.createDataFrame(rows, DOCS)
+    machine = quality_fm.train(docs, spark.createDataFrame(usable, LABELS), SMALL)
+    scores = quality_fm.score(docs, machine, SMALL).collect()
+    assert len(scores) == 80 and {r.score for r in scores} == {0.5}
+    assert sorted(r.doc_id for r in quality_fm.keep_good(docs, machine, SMALL).collect()) == list(range(80))
