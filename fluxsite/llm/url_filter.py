@@ -4,7 +4,12 @@ A rule (verdict, host, path) fits its host and all subdomains where the url's
 path starts with the rule's; the longest wins. Other urls are judged by a
 multinomial naive Bayes over words: unigram Viterbi splits each host and path
 token into words (unigrams counted over the text of all pages), and the classes
-are learned from all urls that a rule decides.
+are learned from all urls that a rule decides. Each word has its own counts.
+
+The unigram table stays whole and in Spark. Each distinct token is segmented once:
+the distinct substrings of a part (a bounded number of tokens) are joined with the
+table, so a task holds the counts that its own tokens can use and no others. Urls
+are judged in parts as well, by the log odds of the tokens that occur in them.
 
 Defined cases: a NULL url or one without ``://`` has empty host and path and
 is judged by the class counts alone; NULL html holds no words; ties, and tables
@@ -33,7 +38,7 @@ VOCABULARY = 50_000
 LONGEST = 24
 PIECES = 1 << 18  # substrings of a part of the tokens, or those of one token
 LETTERS = 1 << 17  # size of a part of the urls: their characters and 64 for each
-BUCKETS = 1 << 16  # hashed words of the classifier
+BUCKETS = 1 << 16  # words that the smoothing reckons with: (n + 1) / (all + BUCKETS)
 ALLOW, BLOCK = "allow", "block"
 VERDICTS = (ALLOW, BLOCK)
 
@@ -175,6 +180,7 @@ def segments(tokens: DataFrame, counts: DataFrame, total: int, lengths: list[int
 
 # -- naive Bayes -----------------------------------------------------------
 def _bucket(word: str) -> int:
+    """Former hash of a word, read by the tests only."""
     return zlib.crc32(word.encode()) % BUCKETS
 
 
@@ -198,7 +204,7 @@ def learn(uses: DataFrame, split: DataFrame) -> DataFrame:
     tokens = tokens.join(split, text == F.col("text"), "left")
     own = F.when(text == "#", F.array(F.lit("#"))).otherwise(F.col("words"))
     words = tokens.select("token", *VERDICTS, F.explode(own).alias("word"))
-    words = words.withColumn("word", F.crc32(F.concat(F.substring("token", 1, 2), "word")) % BUCKETS)
+    words = words.withColumn("word", F.concat(F.substring("token", 1, 2), "word"))
     words = work_table(words, "url-words")
     counts = work_table(words.groupBy(F.col("word").alias("of")).agg(*[F.sum(v).alias(v) for v in VERDICTS]), "word-counts")
     sums = counts.agg(*[F.sum(v).alias(v) for v in VERDICTS]).first()

@@ -117,3 +117,17 @@ def test_words_of_every_frequency_and_length_reach_the_segmenter(spark, monkeypa
         monkeypatch.setattr(url_filter, "PIECES", size)
         split = {r.text: r.words for r in url_filter.segments(tokens, counts, total, lengths).collect()}
         assert split == {rare[7] + rare[59_999]: [rare[7], rare[59_999]], long + "shop": [long, "shop"], "q" * 3000: ["q" * 3000]}
+
+
+def test_words_of_one_hash_have_their_own_counts(spark):
+    """Two words that share a bucket of crc32: only one of them was blocked."""
+    first, blocked, other = {}, None, None
+    for k in range(1 << 16):
+        word = "".join("bcdfghjklmnpqrst"[k >> s & 15] for s in (0, 4, 8, 12))
+        if url_filter._bucket("h:" + word) in first:
+            blocked, other = first[url_filter._bucket("h:" + word)], word
+            break
+        first[url_filter._bucket("h:" + word)] = word
+    urls = [f"http://{blocked}.net/"] * 2 + ["http://plain.org/fr/"] * 3 + [f"http://{blocked}.test/", f"http://{other}.test/"]
+    out = got(url_filter.judge(spark.createDataFrame([(k, u, "some page") for k, u in enumerate(urls)], PAGES)))
+    assert [out[k][3] for k in range(7)] == ["block"] * 2 + ["allow"] * 3 + ["block", "allow"]
