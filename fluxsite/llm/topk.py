@@ -6,7 +6,8 @@ indexed under its nearest pivot by its distance to it, in sorted blocks: a
 block is an annulus around its pivot. A query first expands the annuli nearest
 to it until they hold k vectors; the k-th best score of these is its bound.
 Then it visits the annuli that the triangle inequality can't exclude, and no
-others. Scores are integer; the distances only decide what is skipped, with a
+others. The queries of an annulus that many visit are dealt out by hash to groups,
+each with its own copy of the annulus. Scores are integer; the distances only decide what is skipped, with a
 margin above their rounding error.
 
 Defined cases: vectors that are NULL or hold NULL or non-finite components take
@@ -29,6 +30,7 @@ from .common import work_table
 PIVOTS = 64  # fitted on that many vectors (those of smallest hash); every vector is indexed
 BLOCK = 1024  # vectors of an annulus, more once the blocks would pass MAX_BLOCKS
 MAX_BLOCKS = 1 << 16  # bounds the table of annuli that every task gets: about 3 MB
+VISITS = 1024  # queries that meet an annulus in one group, about; more of them share it out
 MARGIN = 1e-6
 
 
@@ -169,7 +171,7 @@ def _cut(block: int):
     return run
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 20, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 20, n_pivots: int = PIVOTS, block: int = BLOCK, most_visits: int = VISITS) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row (vec_id, v: array<bigint>)
     where ``is_query`` holds, the k other rows of the largest inner product."""
     rows = rows.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.max("v").alias("v"))
@@ -201,8 +203,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, n_pivots: int = PIVOTS
     block_rows = index.select("block", "vec_id", "v")
 
     def visit(queries: DataFrame, again: bool) -> DataFrame:
-        visits = queries.mapInArrow(_visits(pivots, annuli, dim, k, again), "block long, query_id long, q array<bigint>")
-        found = visits.groupBy("block").cogroup(block_rows.groupBy("block")).applyInArrow(_score(dim, k), "query_id long, vec_id long, score long")
+        visits = work_table(queries.mapInArrow(_visits(pivots, annuli, dim, k, again), "block long, query_id long, q array<bigint>"), "visits")
+        crowded = visits.groupBy(F.col("block").alias("of")).agg(F.ceil(F.count(F.lit(1)) / most_visits).cast("int").alias("groups"))
+        crowded = F.broadcast(work_table(crowded.where(F.col("groups") > 1), "crowded"))  # at most one row a block
+        dealt = lambda rows: rows.join(crowded, F.col("block") == F.col("of"), "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+        salted = dealt(visits).select("block", F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("salt"), "query_id", "q")
+        copies = dealt(block_rows).select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "vec_id", "v")
+        by = ["block", "salt"]
+        found = salted.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_score(dim, k), "query_id long, vec_id long, score long")
         return work_table(found, "scored")
 
     queries = rows.where("query").select("vec_id", "v")

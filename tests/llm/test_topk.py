@@ -71,3 +71,24 @@ def test_few_candidates_uneven_lengths_and_empty_table(spark):
     assert got(topk.top_k(df, F.col("vec_id") == 0)) == [(0, 1, 3, 15), (0, 2, 1, 3), (0, 3, 2, 0)]
     assert topk.top_k(df.where("vec_id = 0"), F.lit(True)).count() == 0
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_no_group_holds_all_queries_of_an_annulus(spark, monkeypatch):
+    """A third of the vectors is equal, so their queries visit the same annuli."""
+    rng = random.Random(9)
+    vectors = {k: [5, 5, 5] if k % 3 == 0 else [rng.randrange(-9, 10) for _ in range(3)] for k in range(600)}
+    real = topk._score
+
+    def watched(dim, k):
+        score = real(dim, k)
+
+        def run(key, queries, block):
+            assert queries.num_rows <= 60, f"{queries.num_rows} queries in a group"
+            return score(key, queries, block)
+
+        return run
+
+    monkeypatch.setattr(topk, "_score", watched)
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<bigint>")
+    out = topk.top_k(df, F.col("vec_id") % 2 == 0, k=5, n_pivots=4, block=50, most_visits=20)
+    assert got(out) == brute(vectors, lambda q: q % 2 == 0, 5)
