@@ -88,3 +88,26 @@ def test_defined_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7, 8]
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_the_bound_filters_pairs_before_their_bits_are_checked(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    prints = np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64) & np.uint64(0x1111222244448888))
+    prints = np.unique(np.concatenate([prints, prints ^ np.uint64(3 << 40)]))
+    counts = simhash.segment_counts(prints).astype(int)
+    distance = np.abs(counts[:, None] - counts[None, :]).sum(axis=2)
+    bits = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    half = np.triu(np.ones_like(bits, bool), 1)
+    checked, real = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: checked.append(x) or real(x))
+    a, b = simhash._links_of(prints, prints, np.ones(len(prints), bool), 3)
+    pairs = sum(x.size for x in checked if x.ndim == 1)  # bits of single pairs
+    assert pairs == (half & (distance <= 3)).sum() < half.sum() / 2
+    whole = [x for x in checked if x.ndim == 2 and x.shape == bits.shape]
+    assert len(whole) == 1 and (real(whole[0]) == distance).all()
+    i, j = np.nonzero(half & (bits <= 3))
+    label = simhash.spanning(len(prints), i, j)
+    moved = label != np.arange(len(prints))
+    assert (a == prints[moved]).all() and (b == prints[label[moved]]).all() and moved.any()
