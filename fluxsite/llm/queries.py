@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash, suffix_dedup, topk, url_filter
-from .common import table
+from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash, suffix_dedup, token_file, topk, url_filter
+from .common import table, work_root
 
 # A conversation that holds the template's own control strings.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -77,6 +79,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_root(spark)}/token-file-{uuid.uuid4().hex}"
+    token_file.write_ids(table(spark, sf_dir, "documents"), path)
+    return token_file.documents(spark, path)
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_chat_format": op2_chat_format,
@@ -88,6 +96,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
+    "op11_token_file": op11_token_file,
 }
 
 ORACLES = {
