@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_fm, sharding, simhash, suffix_dedup, token_file, topk, url_filter
+from . import chat_format, exact_dedup, mixing, packing, quality_fm, ranked_search, sharding, simhash, suffix_dedup, token_file, topk, url_filter
 from .common import table, work_root
 
 # A conversation that holds the template's own control strings.
@@ -85,6 +85,10 @@ def op11_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.documents(spark, path)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_chat_format": op2_chat_format,
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
     "op11_token_file": op11_token_file,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLES = {
@@ -215,5 +220,30 @@ WITH d AS (
   FROM d LEFT JOIN around USING (doc_id) GROUP BY d.doc_id, d.n
 )
 SELECT doc_id, n::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM found
+""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), facts AS (
+  SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS documents, sum(len(t))::BIGINT AS total FROM d
+), hits AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM hits, facts GROUP BY term
+), norms AS (
+  SELECT r, doc_id, 100 - 50 + ((50 * len(t)::BIGINT * documents) // total) AS m FROM d, facts WHERE len(t) > 0
+), scored AS (
+  SELECT item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN hits USING (term) JOIN weights USING (term) JOIN norms USING (r) GROUP BY item_id, doc_id, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
 """,
 }
