@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_fm, ranked_search, sharding, simhash, suffix_dedup, token_file, topk, url_filter
+from . import chat_format, exact_dedup, mixing, packing, quality_fm, ranked_search, sharding, simhash, spelling_variants, suffix_dedup, token_file, topk, url_filter
 from .common import table, work_root
 
 # A conversation that holds the template's own control strings.
@@ -89,6 +89,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
     "op2_chat_format": op2_chat_format,
@@ -102,6 +106,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_token_file": op11_token_file,
     "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -245,5 +250,40 @@ WITH d AS (
   SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
 )
 SELECT * FROM ranked WHERE rank <= 50
+""",
+    # CRC-32 by its byte table; near words share what is left of them without one letter
+    "op13_spelling_variants": """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda acc, j: xor(acc >> 1, (acc & 1) * 3988292384), i) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), per AS (
+  SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run
+), bytes AS (
+  SELECT run, n, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM per
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5
+), cut AS (
+  SELECT word, n, i, left(word, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+), best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM pairs
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word AND b.k = 1
+), chain AS (
+  SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.at FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NULL
+)
+SELECT f.word, f.form, coalesce(e.at, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN ends e USING (word)
 """,
 }
