@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import send_package, text_or_empty, work_table
 
 TOP = 50
-ITEMS = 4096  # items of a block at most
-TERMS = 1 << 18  # terms of a block's items together at most, or those of one item
+WEIGHT = 1 << 18  # of a block's items together: their terms, and ITEM for each
+ITEM = 64
 POSTINGS = 1 << 22  # of a shard, about
 SLICE = 1 << 22  # bytes of a text that are split at a time
 
@@ -62,28 +62,32 @@ def _item_terms(batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(found, pa.list_(pa.binary()))], ["item_id", "terms"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]):
-    """Adds ``block``: the next items of a task that keep the bounds together, or one item."""
+def _weighed(batches: Iterator[pa.RecordBatch]):
+    """Adds the task and the weight of its items before each: its terms and ``ITEM``."""
     from pyspark import TaskContext
 
-    block, items, terms = TaskContext.get().partitionId() << 32, 0, 0
+    part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        numbers = []
-        for n in batch.column("terms").value_lengths().to_pylist():
-            if items and (items == ITEMS or terms + n > TERMS):
-                block, items, terms = block + 1, 0, 0
-            items, terms = items + 1, terms + n
-            numbers.append(block)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "block"])
+        weights = ITEM + batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        before = at + np.cumsum(weights) - weights
+        at += int(weights.sum())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(len(batch), part, np.int64)), pa.array(before), pa.array(weights)], [*batch.schema.names, "part", "before", "weight"])
 
 
-def item_blocks(items: DataFrame) -> DataFrame:
-    """(item_id, terms, block) of the items that have terms."""
+def item_blocks(items: DataFrame, most: int = WEIGHT) -> DataFrame:
+    """(item_id, terms, block) of the items that have terms. A block's items weigh
+    ``most`` at most, but for the last of them."""
     key = items.schema["item_id"].dataType.simpleString()
     texts = items.select("item_id", text_or_empty(F.col("text")).alias("text"))
     terms = texts.mapInArrow(_item_terms, f"item_id {key}, terms array<binary>")
     terms = terms.select("item_id", F.explode("terms").alias("term")).groupBy("item_id").agg(F.collect_set("term").alias("terms"))
-    return work_table(terms.mapInArrow(_dealt, f"item_id {key}, terms array<binary>, block long"), "items")
+    run = work_table(terms.mapInArrow(_weighed, f"item_id {key}, terms array<binary>, part long, before long, weight long"), "items")
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    places = run.groupBy(F.col("part").alias("of")).agg(F.sum("weight").alias("total"))
+    places = places.select("of", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("place"))
+    dealt = run.join(places, F.col("part") == F.col("of")).withColumn("block", F.floor((F.col("place") + F.col("before")) / most))
+    return work_table(dealt.select("item_id", "terms", "block"), "item-blocks")
 
 
 # -- index -------------------------------------------------------------------
@@ -252,8 +256,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, postings: int = POST
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     blocks = item_blocks(items)
     found = spark.createDataFrame([], f"item_id {key.simpleString()}, doc_id long, score long")
-    for block in blocks.select("block").distinct().orderBy("block").collect():  # one row per ITEMS items or TERMS terms
-        rows = blocks.where(F.col("block") == block.block).collect()  # bounded by ITEMS and TERMS
+    for block in blocks.select("block").distinct().orderBy("block").collect():  # one row per WEIGHT of the items
+        rows = blocks.where(F.col("block") == block.block).collect()  # bounded by WEIGHT
         names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], f"of long, item_id {key.simpleString()}")
         ranked = work_table(search_block(texts, rows, k, postings), "ranked")
         found = found.unionByName(ranked.join(names, F.col("item") == F.col("of")).select("item_id", "doc_id", "score"))

@@ -104,7 +104,14 @@ def test_blocks_of_items(spark, monkeypatch):
     items = [(i, words(rng, 9)) for i in range(12)]
     table, asked = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS).coalesce(1)
     held = ranked_search.item_blocks
-    monkeypatch.setattr(ranked_search, "item_blocks", lambda items: held(items).withColumn("block", F.col("item_id") % 3))
+    weights = {i: 64 + len(set(terms(t))) for i, t in items}
+    for parts in (1, 4, 30):  # however the items lie, blocks fill up
+        blocks = {}
+        for r in held(asked.repartition(parts), 200).collect():
+            blocks.setdefault(r.block, []).append(weights[r.item_id])
+        assert len(blocks) == -(-sum(weights.values()) // 200) or len(blocks) == sum(weights.values()) // 200
+        assert all(sum(w) - max(w) < 200 for w in blocks.values())
+    monkeypatch.setattr(ranked_search, "item_blocks", lambda items: held(items, 200))
     assert by_item(rows(ranked_search.search(table, asked, 5))) == by_item(brute(docs, items, 5))
 
 
