@@ -45,14 +45,16 @@ LOW = 1 << 31  # states lie in [LOW, LOW << 32)
 MAGIC = b"rANS"
 HEADER = struct.Struct("<4sIIIIIIII")  # magic, ids, lanes, rows of a span, spans, words, CRC-32 of table, of ids, of the rest
 
-CACHED = 500_000  # segments whose ids a worker keeps at most
+CACHED = 1_000_000  # segments whose ids a worker keeps at most
 SLICE = 1 << 20  # characters of a text that are split at a time
 
 
 # -- tokens ------------------------------------------------------------------
 class Tokens:
     """Ids of texts. No token reaches across a space that follows other than white
-    space, so texts are split there and the ids of each segment are kept."""
+    space, so texts are split there, and the ids of each segment are kept. A new segment
+    is put together from its parts, which are kept as well; new parts are encoded in one
+    string, which the lengths of its tokens take apart again."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,15 +64,51 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kept: dict[str, bytes] = {}
-
-    def _learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.kept]
-        if len(self.kept) + len(new) > CACHED:
-            self.kept.clear()
-            new = list(segments)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.kept.update(zip(new, (np.array(e.ids, f"<u{self.width}").tobytes() for e in found), strict=True))
+        self.sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)  # a character of a byte-level token is a byte
+        self.parts: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}  # segments without the space before them
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+
+    def _encode_joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that begin with a space or a line break, alone, and don't end
+        in white space: their tokens are the same when one follows the other."""
+        if not texts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        reached = np.append(0, np.cumsum(self.sizes[ids]))
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        cuts = np.searchsorted(reached, ends)
+        if reached[-1] != ends[-1] or (reached[cuts] != ends).any():  # not a byte-level vocabulary
+            return self._encode(texts)
+        raw, w, cuts = ids.astype(f"<u{self.width}").tobytes(), self.width, cuts.tolist()
+        return [raw[w * a : w * b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of segments."""
+        words, parts = [], {}
+        for s in new:
+            if s[1:].isalnum() and s[0] == " ":  # most
+                words.append(s)
+            else:
+                parts[s] = _PART.findall(s) if _SAFE.fullmatch(s) else [s]
+        need = {p for own in parts.values() for p in own}
+        if len(self.parts) + len(need) > CACHED:
+            self.parts.clear()
+        todo = need - self.parts.keys()
+        alone = [p for p in todo if not p or p[-1].isspace() or p[0].isspace() and p[0] != " "]
+        first = [p for p in todo.difference(alone) if p[0] != " "]
+        joined = list(todo.difference(alone, first).union(words))
+        ids = dict(zip(joined, self._encode_joined(joined), strict=True))
+        # a line break before a part is a token of its own
+        ids.update((p, own[self.width :]) for p, own in zip(first, self._encode_joined(["\n" + p for p in first]), strict=True))
+        ids.update(zip(alone, self._encode(alone), strict=True))
+        self.parts.update((p, ids[p]) for p in todo)
+        return [b"".join(map(self.parts.__getitem__, parts[s])) if s in parts else ids[s] for s in new]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian."""
@@ -90,16 +128,33 @@ class Tokens:
         yield from self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> list[bytes]:
-        self._learn(set().union(*held))
-        return [b"".join(map(self.kept.__getitem__, parts)) for parts in held]
-
-
-_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
+        firsts = self._learn([own.pop(0) for own in held])
+        if len(self.later) > CACHED:
+            self.later.clear()
+        found = [list(map(self.later.get, own)) for own in held]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
+        new = list({own[k] for own, gap in zip(held, gaps, strict=True) for k in gap})
+        self.later.update(zip(new, self._learn([" " + s for s in new]), strict=True))
+        for own, row, gap in zip(held, found, gaps, strict=True):
+            for k in gap:
+                row[k] = self.later[own[k]]
+        return [first + b"".join(row) for first, row in zip(firsts, found, strict=True)]
+
+
+# A text is cut at a space that follows other than white space, which is left out;
+# a run of white space is never cut.
+_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
+_RUN = re.compile(r"[\s\x1c-\x1f] ")
+# Segments of which each part has its own tokens: between letters or digits, other
+# marks and single line breaks there is always a cut, but at an apostrophe.
+_SAFE = re.compile(r" ?(?:[^\W_]+|[^\w\s\x1c-\x1f']+|\n(?=[^\s\x1c-\x1f]))+")
+_PART = re.compile(r" ?[^\W_]+| ?[^\w\s\x1c-\x1f']+|\n")
 
 
 def segments(text: str) -> list[str]:
-    """The text cut before each space that follows other than white space."""
-    return _BREAK.split(text)
+    """The text cut at each space that follows other than white space; all segments
+    but the first begin with such a space, which is left out."""
+    return _BREAK.split(text) if text.startswith(" ") or _RUN.search(text) else text.split(" ")
 
 
 def slices(text: str) -> Iterator[list[str]]:
@@ -108,7 +163,7 @@ def slices(text: str) -> Iterator[list[str]]:
     while at < len(text):
         cut = _BREAK.search(text, at + SLICE) if at + SLICE < len(text) else None
         end = cut.start() if cut else len(text)
-        yield segments(text[at:end])
+        yield segments(text[at:end])  # the next slice begins with the space
         at = end
 
 
