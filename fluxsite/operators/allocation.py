@@ -11,7 +11,7 @@ partition of a hot building, and of no other.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
@@ -97,14 +97,21 @@ def allocate(enriched: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> Dat
     )
 
 
+def first_rows(rows: DataFrame, order: str) -> DataFrame:
+    """The first row of each building. Spark keeps one row per building and task before
+    the shuffle (a window group limit), and no aggregate has to carry strings."""
+    first = Window.partitionBy("num_bat").orderBy(F.col(order).asc_nulls_last())
+    return rows.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") == 1).drop("_first")
+
+
 def building_occupancy(occ: DataFrame) -> DataFrame:
-    """Floor area of each building as the first occupancy row gives it."""
-    return occ.groupBy("num_bat").agg(F.min_by("metrage_batiment", F.col("Site")).alias("metrage_batiment"))
+    """Floor area of each building as the first occupancy row (by site) gives it."""
+    return first_rows(occ, "Site").select("num_bat", "metrage_batiment")
 
 
 def first_state(state: DataFrame, order: str = "ordinal") -> DataFrame:
     """First state row per building (file order)."""
-    return state.groupBy("num_bat").agg(F.min_by("etat_energie", F.col(order)).alias("etat_energie"))
+    return first_rows(state, order).select("num_bat", "etat_energie")
 
 
 def building_intensity(stats: DataFrame, occ: DataFrame, state: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -121,10 +128,13 @@ def global_cost(stats: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), with_t
     """Per resource: priced total of all latest readings (any NULL reading
     makes it NULL) and the research-unit share of it.
 
-    ``with_total`` adds the all-resource total (``resource`` NULL) through a
-    rollup of the same aggregation; a NULL resource total poisons it."""
+    ``with_total`` adds the all-resource total (``resource`` NULL, ``is_total`` 1) as a
+    second grouping set of the same aggregation; a NULL resource total poisons it."""
     building_total = F.when(F.col("n_null") == 0, priced(F.col("d_sum"), cfg))
     per_res = stats.select("resource", building_total.alias("t"))
     total = F.when(F.count("t") == F.count(F.lit(1)), F.sum("t"))
-    grouped = per_res.rollup("resource") if with_total else per_res.groupBy("resource")
-    return grouped.agg(total.alias("total")).withColumn("share", F.col("total") * F.lit(cfg.global_share))
+    share = F.col("total") * F.lit(cfg.global_share)
+    if not with_total:
+        return per_res.groupBy("resource").agg(total.alias("total")).withColumn("share", share)
+    sets = per_res.groupingSets([["resource"], []], "resource")
+    return sets.agg(F.grouping("resource").cast("int").alias("is_total"), total.alias("total")).withColumn("share", share)

@@ -12,6 +12,8 @@ one task, and every later step runs on buildings instead of meters.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -23,18 +25,26 @@ from fluxsite.functions.text import meter_building_code
 METER_COLUMNS = ["resource", "ordinal", "batiment", "year", "conso"]
 
 
+def rows_of(df: DataFrame, resources) -> DataFrame:
+    """The rows of some resources. Of a union of sheets only those sheets are read."""
+    return df.filter(F.col("resource").isin(list(resources)))
+
+
 def assign_building_codes(
     meters: DataFrame, code_map: DataFrame | None = None, cfg: AnalysisConfig = AnalysisConfig()
 ) -> DataFrame:
     """Add ``num_bat``: chars 5-8 of the label, or, for the positional
-    resources, the code that ``code_map`` (resource, ordinal, num_bat) gives."""
-    code = meter_building_code("batiment")
-    if code_map is None or not cfg.positional_code_resources:
-        return meters.withColumn("num_bat", code)
-    mapped = code_map.select("resource", "ordinal", F.col("num_bat").alias("_mapped"))
-    joined = meters.join(mapped, ["resource", "ordinal"], "left")
-    positional = F.col("resource").isin(list(cfg.positional_code_resources))
-    return joined.withColumn("num_bat", F.when(positional, F.col("_mapped")).otherwise(code)).drop("_mapped")
+    resources, the code that ``code_map`` (resource, ordinal, num_bat) gives.
+
+    Only the rows of the positional resources go through the join; the others
+    pass it by. Rows of resources that the analysis does not know are left out."""
+    positional = [r for r in cfg.resources if code_map is not None and r in cfg.positional_code_resources]
+    plain = rows_of(meters, [r for r in cfg.resources if r not in positional]).withColumn("num_bat", meter_building_code("batiment"))
+    if not positional:
+        return plain
+    codes = rows_of(code_map, positional).select("resource", "ordinal", "num_bat")
+    mapped = rows_of(meters, positional).join(codes, ["resource", "ordinal"], "left")
+    return plain.unionByName(mapped)
 
 
 def latest_years(meters: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
@@ -64,9 +74,8 @@ def latest_readings(meters_coded: DataFrame, years: dict[str, int] | Column) ->
     column; a meter whose cell is empty has a row with NULL.
     """
     keep = latest_predicate(years) if isinstance(years, dict) else F.col("year") == years[F.col("resource")]
-    return meters_coded.filter(keep).select(
-        "resource", "ordinal", "batiment", "num_bat", F.col("conso").alias("derniere_conso")
-    )
+    keys = [c for c in ("resource", "ordinal", "batiment", "num_bat") if c in meters_coded.columns]
+    return meters_coded.filter(keep).select(*keys, F.col("conso").alias("derniere_conso"))
 
 
 def wide_readings(
@@ -76,7 +85,8 @@ def wide_readings(
     'YYYY_conso' column per header year and ``derniere_conso`` = the latest
     year of the resource's sheet. One aggregation over the known years."""
     yr, d = F.col("year"), F.col("conso")
-    wide = meters_coded.groupBy("resource", "ordinal", "batiment", "num_bat").agg(
+    keys = [c for c in ("resource", "ordinal", "batiment", "num_bat") if c in meters_coded.columns]
+    wide = meters_coded.groupBy(*keys).agg(
         *[F.max(F.when(yr == y, d)).alias(f"{y}_conso") for y in sorted({y for ys in years.values() for y in ys})]
     )
     latest = F.lit(None).cast("double")
@@ -86,25 +96,44 @@ def wide_readings(
     return wide.withColumn("derniere_conso", latest)
 
 
-def export_rows(wide: DataFrame, held: dict[str, list[str]], cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Meter rows as the joins see them, in one aggregation: the pre-aggregated
-    resources collapse to one row per building (every numeric column summed,
-    NULL and NaN skipped), the others stay per meter.
+def export_rows(
+    wide: DataFrame,
+    held: dict[str, list[str]],
+    cfg: AnalysisConfig = AnalysisConfig(),
+    code_map: DataFrame | None = None,
+    coded: bool = True,
+) -> DataFrame:
+    """Meter rows as the joins see them: the pre-aggregated resources collapse to
+    one row per building (every numeric column summed, NULL and NaN skipped), the
+    others stay per meter. Each resource takes its own way, so only the rows that are
+    summed are shuffled for it; with ``coded`` off the rows get their building codes
+    on that way as well.
 
     ``held`` lists the columns that each resource's sheet holds; a column that
     the sheet lacks stays NULL instead of becoming the sum of nothing.
     """
-    cols = [c for c in wide.columns if c not in ("resource", "ordinal", "batiment", "num_bat")]
-    pre = F.col("resource").isin(list(cfg.pre_aggregate))
+    keys = ("resource", "ordinal", "batiment", "num_bat")
+    cols = [c for c in wide.columns if c not in keys]
+
+    def with_codes(resources) -> DataFrame:
+        rows = rows_of(wide, resources)
+        return rows if coded else assign_building_codes(rows, code_map, replace(cfg, resources=tuple(resources)))
 
     def value(c: str) -> Column:
         having = [r for r in cfg.pre_aggregate if c in held.get(r, cols)]
-        x = F.col(sql_name(c))
-        return F.when(F.col("resource").isin(having), sum_na_rm(x)).otherwise(F.max(x)).alias(c)
-
-    keys = ["resource", "num_bat", F.when(~pre, F.col("ordinal")).alias("_meter"), F.when(~pre, F.col("batiment")).alias("batiment")]
-    rows = wide.groupBy(*keys).agg(F.min("ordinal").alias("ordinal"), *[value(c) for c in cols])
-    return rows.select("resource", "ordinal", "batiment", "num_bat", *[F.col(sql_name(c)) for c in cols])
+        return F.when(F.col("resource").isin(having), sum_na_rm(F.col(sql_name(c)))).alias(c)
+
+    order = [*keys, *cols]
+    select = lambda df: df.select(*[F.col(sql_name(c)) for c in order])
+    summed = [r for r in cfg.resources if r in cfg.pre_aggregate]
+    kept = [r for r in cfg.resources if r not in cfg.pre_aggregate]
+    parts = []
+    if kept:
+        parts.append(select(with_codes(kept)))
+    if summed:
+        rows = with_codes(summed).groupBy("resource", "num_bat").agg(F.min("ordinal").alias("ordinal"), *[value(c) for c in cols])
+        parts.append(select(rows.withColumn("batiment", F.lit(None).cast(wide.schema["batiment"].dataType))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def exclusion_predicate(cfg: AnalysisConfig = AnalysisConfig()) -> Column:

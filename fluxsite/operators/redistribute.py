@@ -3,59 +3,53 @@
 For every standalone unit u (a label without '/'), each report row j whose
 label contains u gives ``value_j / countU_j``; a missing value poisons the
 sum. The reference tests every (unit, row) pair in an interpreted loop. Here
-every label is exploded into its distinct '/'-free substrings of the lengths
-that standalone names have (a name without '/' occurs in a label exactly when
-it is one of them) and the shares are
-summed per substring in one aggregation; a substring is kept when it is
-itself a standalone unit of the report. No pair of rows is ever enumerated.
+an automaton over the unit names finds all units of a label in one pass
+(``matching``), and the shares are summed per unit in one aggregation; a unit
+is kept when a row of the report is that unit itself. No pair of rows is ever
+enumerated.
+
+The building and unit form tests both the unit and the building code against
+the whole label 'num_bat-Unite', as the reference does: a code inside the label
+of another building counts.
 
 ``method="token"`` matches whole '/'-separated members instead; it equals
-the substring form when no unit name is a proper substring of another.
+the contained form when no unit name is a proper substring of another.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import strict_sum
-from fluxsite.functions.text import label_tokens, member_count, substrings_without_slash
-
-
-def name_lengths(names: DataFrame):
-    """array<int> of the lengths that the names without '/' have (column
-    ``Unite``), as a scalar subquery: one small aggregate, at most one entry per
-    length. Names beyond the standalone units of a report only add lengths."""
-    size = F.length("Unite")
-    alone = names.filter(~F.col("Unite").contains("/") & (size > 0)).select(size.alias("n")).distinct()
-    return F.coalesce(alone.agg(F.sort_array(F.collect_list("n"))).scalar(), F.array().cast("array<int>"))
-
+from fluxsite.functions.text import label_tokens, member_count
+from fluxsite.operators.matching import NAMES, names_in_labels
 
-def _pieces(method: str):
-    if method == "contains":
-        return substrings_without_slash("Unite", F.col("_lengths"))
-    if method == "token":
-        return label_tokens("Unite")
-    raise ValueError(f"unknown method {method!r}")
+METHODS = ("contains", "token")
 
 
 def redistributed_names(cfg: AnalysisConfig = AnalysisConfig()) -> dict[str, str]:
     return {r: cfg.value_columns[r] + "b" for r in cfg.resources}
 
 
-def _pieces_of(report: DataFrame, keys, method: str, cfg: AnalysisConfig, names: DataFrame | None) -> DataFrame:
-    """One row per (report row, distinct '/'-free piece of its label), with
-    the row's shares and whether the row *is* that piece (a standalone unit)."""
-    vals = [cfg.value_columns[r] for r in cfg.resources]
+def building_label(num_bat: Column) -> Column:
+    """A building code as the labels show it: NULL is written 'NA'."""
+    return F.coalesce(num_bat, F.lit("NA"))
+
+
+def _rows(report: DataFrame, keys, method: str, cfg: AnalysisConfig) -> DataFrame:
+    """The report's rows with a unit: keys, unit and each value's share of one member."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
     k = member_count("Unite")
-    rows = report.filter(F.col("Unite").isNotNull()).select(
-        *keys, "Unite", *[(F.col(v) / k).alias(v) for v in vals]
-    )
-    if method == "contains":
-        rows = rows.withColumn("_lengths", name_lengths(report if names is None else names))
-    exploded = rows.select("*", F.explode(_pieces(method)).alias("piece")).drop("_lengths")
-    return exploded.withColumn("is_self", F.col("Unite") == F.col("piece"))
+    vals = [cfg.value_columns[r] for r in cfg.resources]
+    return report.filter(F.col("Unite").isNotNull()).select(*keys, "Unite", *[(F.col(v) / k).alias(v) for v in vals])
+
+
+def standalone(names: DataFrame, column: str = "Unite") -> DataFrame:
+    """(name): the labels without '/'."""
+    return names.filter(~F.col(column).contains("/")).select(F.col(column).alias("name"))
 
 
 def _strict_shares(cfg: AnalysisConfig):
@@ -64,33 +58,52 @@ def _strict_shares(cfg: AnalysisConfig):
 
 
 def redistribute_by_unit(
-    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig(), names: DataFrame | None = None
+    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig(), names: DataFrame | None = None, most: int = NAMES
 ) -> DataFrame:
     """Per standalone unit of ``report`` (the per-unit report): the sum of the
     shares of every row whose label contains it (consumption only). ``names``
     (column ``Unite``) holds at least the report's units and spares reading the
-    report a second time for their lengths.
+    report a second time for them.
 
-    One aggregation keyed by the piece: a piece is output when one of its rows
-    is the standalone unit itself, so the report is read once and no join is
-    needed. Partial aggregation combines frequent pieces before the shuffle."""
-    p = _pieces_of(report, [], method, cfg, names)
-    g = p.groupBy("piece").agg(F.max("is_self").alias("_unit"), *_strict_shares(cfg))
-    return g.filter(F.col("_unit")).drop("_unit").withColumnRenamed("piece", "Unite")
+    One aggregation keyed by the unit found: it is output when one of its rows
+    is the standalone unit itself, so the report is read once and joined with
+    nothing. Partial aggregation combines frequent units before the shuffle."""
+    rows = _rows(report, [], method, cfg)
+    if method == "contains":
+        found = names_in_labels(rows, "Unite", standalone(report if names is None else names), most)
+        p = found.select("*", F.explode("names").alias("piece"))
+    else:
+        p = rows.select("*", F.explode(label_tokens("Unite")).alias("piece"))
+    g = p.groupBy("piece").agg(F.max(F.col("Unite") == F.col("piece")).alias("_unit"), *_strict_shares(cfg))
+    g = g.filter(F.col("_unit") & ~F.col("piece").contains("/"))
+    return g.drop("_unit").withColumnRenamed("piece", "Unite")
 
 
 def redistribute_by_building_unit(
-    report: DataFrame, method: str = "contains", cfg: AnalysisConfig = AnalysisConfig(), names: DataFrame | None = None
+    report: DataFrame,
+    method: str = "contains",
+    cfg: AnalysisConfig = AnalysisConfig(),
+    names: DataFrame | None = None,
+    codes: DataFrame | None = None,
+    most: int = NAMES,
 ) -> DataFrame:
-    """Per standalone (building, unit) key of ``report`` (the per building and
-    unit report): the same sum restricted to rows of that building.
-
-    Building containment is taken as code equality (codes are fixed-width
-    and cannot occur inside a unit label); unit containment is exact. The
-    key's label 'num_bat-Unite' must hold no '/'."""
-    p = _pieces_of(report, ["num_bat"], method, cfg, names)
-    bat_ok = ~F.coalesce(F.col("num_bat").contains("/"), F.lit(False))
-    g = p.groupBy("num_bat", "piece").agg(F.max(F.col("is_self") & bat_ok).alias("_key"), *_strict_shares(cfg))
-    batu = F.concat(F.coalesce(F.col("num_bat"), F.lit("NA")), F.lit("-"), F.col("piece"))
-    names = redistributed_names(cfg)
-    return g.filter(F.col("_key")).select(batu.alias("batu"), *[names[r] for r in cfg.resources])
+    """Per standalone (building, unit) key of ``report`` (the per building and unit
+    report): the shares of every row whose label 'num_bat-Unite' contains both the
+    unit and the building code (``token``: whose building it is and of whose members
+    the unit is one). The key's own label must hold no '/'. ``names`` (``Unite``) and
+    ``codes`` (``num_bat``) hold at least the units and buildings of the report."""
+    rows = _rows(report, ["num_bat"], method, cfg).withColumn("_code", building_label(F.col("num_bat")))
+    rows = rows.withColumn("_label", F.concat("_code", F.lit("-"), F.col("Unite")))
+    if method == "contains":
+        units = standalone(report if names is None else names)
+        known = (report if codes is None else codes).select(building_label(F.col("num_bat")).alias("num_bat"))
+        # each unit and each code of a label meet in one pair of parts
+        found = names_in_labels(rows, "_label", units, most).withColumnRenamed("names", "units").filter(F.size("units") > 0)
+        found = names_in_labels(found, "_label", standalone(known, "num_bat"), most)
+        pairs = found.withColumn("unit", F.explode("units")).withColumn("code", F.explode("names"))
+    else:
+        pairs = rows.withColumn("unit", F.explode(label_tokens("Unite"))).withColumn("code", F.col("_code"))
+    own = (F.col("Unite") == F.col("unit")) & (F.col("_code") == F.col("code")) & ~F.col("_label").contains("/")
+    g = pairs.groupBy("code", "unit").agg(F.max(own).alias("_key"), *_strict_shares(cfg))
+    out = redistributed_names(cfg)
+    return g.filter(F.col("_key")).select(F.concat_ws("-", "code", "unit").alias("batu"), *[out[r] for r in cfg.resources])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import ieee_div, present, row_sum_na_rm, sql_str, strict_sum
 from fluxsite.functions.text import member_count
-from fluxsite.operators.allocation import null_safe_left_join, priced
+from fluxsite.operators.allocation import building_occupancy, first_state, null_safe_left_join, priced
 from fluxsite.operators.meters import sum_of_shares
 
 
@@ -106,26 +106,18 @@ def by_building(
     """Per building: consumption and cost per m2 of each resource from its
     first meter, with state and floor area taken from the electricity rows.
 
-    The building statistics, the occupancy rows and the state rows are
-    tagged, unioned and reduced by ONE ``groupBy(num_bat)``: the floor area
-    is the first occupancy row's (by site), the state the first state row's
-    (by ordinal), each resource's reading its first meter's. ``min_by`` skips
-    the rows of the other inputs because their ordering value is NULL.
+    One ``groupBy(num_bat)`` sets the resources side by side; the floor area (first
+    occupancy row by site) and the state (first state row by ordinal) are joined to
+    the few rows of its result.
     """
-    s = stats.select("num_bat", "resource", F.col("d_first").alias("d"))
-    o = occ.select("num_bat", F.col("Site").alias("_occ_site"), "metrage_batiment")
-    st = state.select("num_bat", "etat_energie", F.col("ordinal").alias("_state_ord"))
-    # missing columns of each input come in as typed NULLs
-    u = s.unionByName(o, allowMissingColumns=True).unionByName(st, allowMissingColumns=True)
-    aggs = [
-        F.min_by("metrage_batiment", "_occ_site").alias("_mb"),
-        F.min_by("etat_energie", "_state_ord").alias("_etat"),
-    ]
+    aggs = []
     for r in cfg.resources:
         is_r = f"resource = {sql_str(r)}"
-        aggs += [F.expr(f"max(CASE WHEN {is_r} THEN d END)").alias(f"_d_{r}"), present(is_r).alias(f"_n_{r}")]
-    g = u.groupBy("num_bat").agg(*aggs)
+        aggs += [F.expr(f"max(CASE WHEN {is_r} THEN d_first END)").alias(f"_d_{r}"), present(is_r).alias(f"_n_{r}")]
+    g = stats.groupBy("num_bat").agg(*aggs)
     g = g.filter(" OR ".join(f"_n_{r}" for r in cfg.resources))
+    g = null_safe_left_join(g, building_occupancy(occ).withColumnRenamed("metrage_batiment", "_mb"))
+    g = null_safe_left_join(g, first_state(state).withColumnRenamed("etat_energie", "_etat"))
     first = cfg.resources[0]
     out = [
         F.col("num_bat"),

@@ -93,12 +93,14 @@ def series_by_unit(report_bu: DataFrame, cfg: AnalysisConfig = AnalysisConfig())
 
 
 def year_over_year(meters_coded: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
-    """Absolute and percent change of each building's yearly consumption.
+    """Absolute and percent change of each building's consumption against the
+    calendar year before; NULL where that year has no reading.
 
     The window is partitioned by (resource, building), so each task holds
-    one building's handful of years."""
+    one building's handful of years; its frame is the previous year by value,
+    not the previous row."""
     bt = building_year_totals(meters_coded, cfg)
-    w = Window.partitionBy("resource", "num_bat").orderBy("year")
-    prev = F.lag("conso").over(w)
+    w = Window.partitionBy("resource", "num_bat").orderBy("year").rangeBetween(-1, -1)
+    prev = F.first("conso").over(w)
     evol = F.col("conso") - prev
     return bt.withColumns({"conso_prev": prev, "evol": evol, "evol_pct": ieee_div(evol, prev) * F.lit(100.0)})

@@ -11,10 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fluxsite.config import AnalysisConfig
 from fluxsite.functions.nulls import sql_name
@@ -22,6 +23,7 @@ from fluxsite.functions.text import canonical_unit
 from fluxsite.operators import allocation as A
 from fluxsite.operators import meters as M
 from fluxsite.operators import occupancy as O
+from fluxsite.operators import positions as X
 from fluxsite.operators import redistribute as R
 from fluxsite.operators import reports as P
 from fluxsite.operators import series as S
@@ -38,6 +40,8 @@ class Inputs:
     staff  : Unite, Bat, ...
     meters : long readings (resource, ordinal, batiment, year, conso)
     code_map : optional (resource, ordinal, num_bat) for positional sheets
+    code_lists : optional {resource: codes by row position, or by label} of such sheets,
+             from which the map is made where ``code_map`` is not given
     latest_years : optional {resource: year} read from the sheet headers
     sheet_years : optional {resource: [years]} read from the sheet headers
     wide : optional standardised sheets (resource, ordinal, batiment, YYYY_conso...,
@@ -57,6 +61,7 @@ class Inputs:
     wide: DataFrame | None = None
     held: dict | None = None
     since: Callable[[DataFrame], DataFrame] | None = None
+    code_lists: dict | None = None
 
 
 class Analysis:
@@ -69,22 +74,24 @@ class Analysis:
         years: dict | None = None,
         workdir: str | None = None,
     ):
-        """``workdir``: a shared folder (e.g. ``spark.checkpoint.dir``) where the
-        small building-level tables are written once, in a folder of this run's
-        own that ``cleanup`` deletes. Every output then reads them instead of
-        recomputing them, a lost executor does not replay the room and meter
-        aggregations, and Catalyst knows their real size."""
+        """``workdir``: a shared folder (e.g. ``spark.checkpoint.dir``) where what
+        several tables need is written once, in a folder of this run's own that
+        ``cleanup`` deletes: the sheets' rows and the allocated rows by resource, the
+        building state, the occupancy and the building statistics. The eight tables then
+        read each input file once, a lost executor does not replay the room and meter
+        aggregations, and Catalyst knows the real sizes."""
         self.inputs = inputs
         self.cfg = cfg
         self._years = years
         self.workdir = f"{shared_folder(inputs.state.sparkSession, workdir)}/run-{uuid.uuid4().hex}" if workdir else None
 
-    def _materialize(self, name: str, df: DataFrame) -> DataFrame:
+    def _materialize(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         if not self.workdir:
             return df
         path = f"{self.workdir}/{name}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        columns = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
+        return df.sparkSession.read.schema(StructType(columns)).parquet(path).select(*[F.col(sql_name(c)) for c in df.columns])
 
     def cleanup(self) -> None:
         """Delete the run's work tables (tables that read them end too)."""
@@ -94,9 +101,38 @@ class Analysis:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     # -- inputs as the joins see them ------------------------------------
+    @cached_property
+    def state(self) -> DataFrame:
+        return self._materialize("state", self.inputs.state)
+
+    @cached_property
+    def sheet_rows(self) -> DataFrame | None:
+        """The standardised sheets, a row per meter, read from the files once; None
+        where the inputs come as long readings without header years."""
+        if self.inputs.wide is not None:
+            return self._materialize("sheets", self.inputs.wide, "resource")
+        if self.inputs.sheet_years is None:
+            return None
+        return self._materialize("sheets", M.wide_readings(self.inputs.meters, self.sheet_years, self.cfg), "resource")
+
+    def _coded_sheets(self) -> dict:
+        """{resource: codes} of the sheets whose rows take their codes from a list."""
+        lists = self.inputs.code_lists or {}
+        return {r: codes for r, codes in lists.items() if self.inputs.code_map is None and r in self.cfg.resources}
+
+    @cached_property
+    def code_map(self) -> DataFrame | None:
+        maps = [X.positional_code_map(M.rows_of(self.sheet_rows, [r]), r, codes) for r, codes in self._coded_sheets().items()]
+        return reduce(DataFrame.unionByName, maps) if maps else self.inputs.code_map
+
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """``rows``, unless a sheet has more or fewer rows than its list has codes."""
+        for r, codes in self._coded_sheets().items():
+            rows = rows.filter(X.as_many_rows(M.rows_of(self.sheet_rows, [r]), r, codes))
+        return rows
+
     def _coded(self, meters: DataFrame) -> DataFrame:
-        m = meters.filter(F.col("resource").isin(list(self.cfg.resources)))
-        return M.assign_building_codes(m, self.inputs.code_map, self.cfg)
+        return self._checked(M.assign_building_codes(meters, self.code_map, self.cfg))
 
     @cached_property
     def meters(self) -> DataFrame:
@@ -113,17 +149,22 @@ class Analysis:
         return dict(self.inputs.meters.sparkSession.range(1).select(latest.alias("y")).first()["y"] or {})
 
     @cached_property
-    def latest(self) -> DataFrame:
+    def _latest_rows(self) -> DataFrame:
+        """The latest reading of each meter, before the building codes."""
         known = self._years if self._years is not None else self.inputs.latest_years
-        if self.inputs.wide is not None and self._years is None:
-            rows = self._coded(self.inputs.wide.select("resource", "ordinal", "batiment", "derniere_conso"))
-            return rows.select("resource", "ordinal", "batiment", "num_bat", "derniere_conso")
+        if self._years is None and (self.inputs.wide is not None or self.workdir and self.sheet_rows is not None):
+            return self.sheet_rows.select("resource", "ordinal", "batiment", "derniere_conso")
         if known is not None:
-            return M.latest_readings(self.meters, dict(known))
+            return M.latest_readings(self.inputs.meters, dict(known))
         per = M.latest_years(self.inputs.meters, self.cfg)
-        meters = self.meters if self.inputs.since is None else self._coded(self.inputs.since(per.agg(F.min("year").alias("year"))))
+        meters = self.inputs.meters if self.inputs.since is None else self.inputs.since(per.agg(F.min("year").alias("year")))
         return M.latest_readings(meters, M.latest_year_of(per))
 
+    @cached_property
+    def latest(self) -> DataFrame:
+        coded = self._coded(self._latest_rows)
+        return coded.select("resource", "ordinal", "batiment", "num_bat", "derniere_conso")
+
     @cached_property
     def occupancy(self) -> DataFrame:
         return self._materialize("occupancy", O.occupancy(self.inputs.rooms, self.inputs.staff, self.cfg))
@@ -141,11 +182,12 @@ class Analysis:
     @cached_property
     def enriched(self) -> DataFrame:
         """Allocation table of all resources (long; latest reading only)."""
-        return self._allocated(M.pre_aggregated(self.latest, self.cfg))
+        return self._allocated(self._latest_rows, {})
 
-    def _allocated(self, rows: DataFrame) -> DataFrame:
+    def _allocated(self, rows: DataFrame, held: dict[str, list[str]]) -> DataFrame:
+        rows = self._checked(M.export_rows(rows, held, self.cfg, self.code_map, coded=False))
         rows = M.drop_excluded(rows, self.cfg)
-        return A.allocate(A.with_dimensions(rows, self.inputs.state, self.occupancy), self.cfg)
+        return A.allocate(A.with_dimensions(rows, self.state, self.occupancy), self.cfg)
 
     @cached_property
     def sheet_years(self) -> dict[str, list[int]]:
@@ -163,12 +205,11 @@ class Analysis:
     @cached_property
     def enriched_wide(self) -> DataFrame:
         """The enriched table with every column of the sheets, as the reference
-        exports it: one aggregation of the wide sheets, then the fan-out join."""
-        if self.inputs.wide is not None:
-            wide = self._coded(self.inputs.wide)
-        else:
-            wide = M.wide_readings(self.meters, self.sheet_years, self.cfg)
-        return self._allocated(M.export_rows(wide, self.held, self.cfg))
+        exports it: the sheets' rows, then the fan-out join. With a work folder it is
+        computed once and written by resource; each resource's table reads its part."""
+        if self.sheet_rows is None:
+            raise ValueError("the yearly columns need the sheets' header years (Inputs.sheet_years)")
+        return self._materialize("allocated", self._allocated(self.sheet_rows, self.held), "resource")
 
     def enriched_table(self, resource: str) -> DataFrame:
         """The resource's table as the reference returns it: its own year and
@@ -184,15 +225,15 @@ class Analysis:
 
     @cached_property
     def by_building(self) -> DataFrame:
-        return P.by_building(self.stats, self.occupancy, self.inputs.state, self.cfg)
+        return P.by_building(self.stats, self.occupancy, self.state, self.cfg)
 
     @cached_property
     def by_unit(self) -> DataFrame:
-        return P.by_unit(self.stats, self.occupancy, self.cfg, self.inputs.state)
+        return P.by_unit(self.stats, self.occupancy, self.cfg, self.state)
 
     @cached_property
     def by_building_unit(self) -> DataFrame:
-        return P.by_building_unit(self.stats, self.occupancy, self.cfg, self.inputs.state)
+        return P.by_building_unit(self.stats, self.occupancy, self.cfg, self.state)
 
     # -- side tables --------------------------------------------------------
     @cached_property
@@ -216,11 +257,12 @@ class Analysis:
         return R.redistribute_by_unit(self.by_unit, method, self.cfg, self._unit_names)
 
     def redistribute_by_building_unit(self, method: str = "contains") -> DataFrame:
-        return R.redistribute_by_building_unit(self.by_building_unit, method, self.cfg, self._unit_names)
+        # units only come with buildings of the survey
+        return R.redistribute_by_building_unit(self.by_building_unit, method, self.cfg, self._unit_names, self.inputs.rooms)
 
     @cached_property
     def series_by_year(self) -> DataFrame:
-        return S.series_by_year(self.meters, self.occupancy, self.inputs.state, self.cfg)
+        return S.series_by_year(self.meters, self.occupancy, self.state, self.cfg)
 
     @cached_property
     def series_by_year_raw(self) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ from fluxsite.functions.text import (
 from fluxsite.operators import allocation as A
 from fluxsite.operators import meters as M
 from fluxsite.operators import occupancy as O
+from fluxsite.operators import positions as X
 from fluxsite.plans.analysis import Analysis
+from fluxsite.session import scratch_folder
 from fluxsite.sources import bindings as B
 from fluxsite.sources import sql as S
 from fluxsite.sources.headers import standardise_headers, unpivot_years
@@ -67,37 +70,40 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
 
 
 def sheet_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    """The analysis over wide sheets, as the workbooks give them."""
-    wide = _standardised(spark, sf_dir)
-    held = [c for c in wide.columns if c not in ("resource", "ordinal", "batiment")]
-    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=dict.fromkeys(C.SHEET_ORDER, held)))
+    """The analysis over wide sheets, as the workbooks give them: each sheet has its
+    own year and variation columns."""
+    sheets = _sheets(spark, sf_dir)
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("resource", F.lit(r)) for r, df in sheets.items()])
+    held = {r: [c for c in df.columns if c not in ("ordinal", "batiment")] for r, df in sheets.items()}
+    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=held))
 
 
-def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheet = raw_wide_sheet(B.meters(spark, sf_dir), None, list(B.SHEET_YEARS))
-    return standardise_headers(sheet, keep=("resource", "ordinal"))
+def _sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five standardised sheets."""
+    meters = B.meters(spark, sf_dir)
+    raw = {r: raw_wide_sheet(meters, r, B.sheet_years(r), r not in B.SHEETS_WITHOUT_VARIATION) for r in C.SHEET_ORDER}
+    return {r: standardise_headers(df) for r, df in raw.items()}
 
 
 # --------------------------------------------------------------------------
 # Wide sheets derived from the meter readings (one column per year), used by
 # the header, unpivot and roll-up operators.
 # --------------------------------------------------------------------------
-def raw_wide_sheet(meters: DataFrame, resource: str | None, years: list[int]) -> DataFrame:
-    """The resource's sheet with free-text headers, as a workbook holds it
-    (all resources in one sheet with a ``resource`` column when None)."""
-    m = meters if resource is None else meters.filter(F.col("resource") == resource)
-    keys = ["ordinal", "batiment"] if resource is not None else ["resource", "ordinal", "batiment"]
-    wide = m.groupBy(*keys).pivot("year", years).agg(F.first("conso"))
+def raw_wide_sheet(meters: DataFrame, resource: str, years: list[int], variation: bool = True) -> DataFrame:
+    """The resource's sheet with free-text headers, as a workbook holds it. Readings
+    of years before the sheet's first count into that."""
+    m = M.rows_of(meters, [resource]).withColumn("year", F.greatest("year", F.lit(years[0])))
+    wide = m.groupBy("ordinal", "batiment").pivot("year", years).agg(F.sum("conso"))
     y1, y2 = years[-2], years[-1]
     c1, c2 = F.col(f"`{y1}`"), F.col(f"`{y2}`")
+    changes = [(c2 - c1).alias(f"Différence {y1} et {y2}"), (ieee_div(c2 - c1, c1) * F.lit(100.0)).alias(f"Evol {y1}/{y2} en %")]
     return wide.select(
         F.col("batiment").alias("Bâtiment"),
         *[F.col(f"`{y}`").alias(f"Conso {y} (kWh)") for y in years],
-        (c2 - c1).alias(f"Différence {y1} et {y2}"),
-        (ieee_div(c2 - c1, c1) * F.lit(100.0)).alias(f"Evol {y1}/{y2} en %"),
+        *(changes if variation else []),
         F.lit("relevé").alias("Commentaire"),
         F.lit(None).cast("double").alias(f"Surface {y2}"),
-        *keys[:-1],
+        "ordinal",
     )
 
 
@@ -120,8 +126,19 @@ def q_scan_sheet(spark, d):
     return sheet.select("ordinal", "c_custkey", "c_name", "c_mktsegment")
 
 
+def q_scan_csv_breaks(spark, d):
+    """A sheet of line items as CSV, line breaks and quotes in its cells, read by many tasks a file."""
+    note = F.concat("l_returnflag", F.lit(' "'), "l_linestatus", F.lit('"\n'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(", "), F.col("l_partkey").cast("string"))
+    sheet = B._read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", note.alias("note"), "l_quantity")
+    path = scratch_folder(spark, "sheet")
+    sheet.write.options(header=True, quote='"', escape='"').csv(path)
+    back = read_sheet(spark, path, split=True)
+    numbers = [lenient_double(c).cast("long").alias(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey")]
+    return back.select(*numbers, "note", lenient_double("l_quantity").alias("l_quantity"))
+
+
 def q_standardise_headers(spark, d):
-    return _standardised(spark, d)
+    return sheet_analysis(spark, d).inputs.wide
 
 
 def q_extract_years(spark, d):
@@ -139,12 +156,13 @@ def q_latest_year(spark, d):
 
 
 def q_unpivot_years(spark, d):
-    return unpivot_years(_standardised(spark, d), ["resource", "ordinal", "batiment"])
+    long = [unpivot_years(df.withColumn("resource", F.lit(r)), ["resource", "ordinal", "batiment"]) for r, df in _sheets(spark, d).items()]
+    return reduce(DataFrame.unionByName, long)
 
 
 def q_sum_all_numeric(spark, d):
     inp = B.inputs(spark, d)
-    std = standardise_headers(raw_wide_sheet(inp.meters, "elec", inp.sheet_years["elec"]))
+    std = standardise_headers(raw_wide_sheet(inp.meters, "elec", B.sheet_years("elec")))
     coded = std.withColumn("num_bat", meter_building_code("batiment")).drop("ordinal")
     return M.sum_all_numeric(coded, "num_bat")
 
@@ -238,6 +256,13 @@ def _rows(a: Analysis):
     return M.drop_excluded(M.pre_aggregated(a.latest, a.cfg), a.cfg)
 
 
+def q_positional_codes(spark, d):
+    """The i-th row of a sheet takes the i-th code of a list as long as the sheet."""
+    sheet = read_sheet(spark, f"{d}/supplier.parquet", "parquet")
+    codes = B.code_map(spark, d).select(F.col("ordinal").alias("position"), "num_bat")
+    return X.positional_code_map(sheet, "fod", codes).filter(X.as_many_rows(sheet, "fod", codes))
+
+
 def q_conso_state(spark, d):
     a = analysis(spark, d)
     return A.conso_state(_rows(a), a.inputs.state)
@@ -302,6 +327,11 @@ def q_global_cost(spark, d):
     return analysis(spark, d).global_cost
 
 
+def q_global_cost_total(spark, d):
+    a = analysis(spark, d)
+    return A.global_cost(a.stats_all, a.cfg, with_total=True)
+
+
 def q_by_building(spark, d):
     return analysis(spark, d).by_building
 
@@ -322,7 +352,7 @@ def q_redistribute_unit_token(spark, d):
     return analysis(spark, d).redistribute_by_unit("token")
 
 
-def q_redistribute_building_unit(spark, d):
+def q_redistribute_building_unit(spark, d):  # labels hold codes of other buildings
     return analysis(spark, d).redistribute_by_building_unit("contains")
 
 
@@ -363,21 +393,30 @@ YEARS = list(range(2015, 2022))
 UNIT_SQL = "CASE {r} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.UNIT_LABELS.items()) + " END"
 
 
-def _std_sql(where: str = "true") -> str:
-    """The standardised sheets: one row per meter, its years and variations."""
-    cols = ", ".join(f'max(CASE WHEN year = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)
-    ycols = ", ".join(f'"{y}_conso"' for y in YEARS)
+FIRST_YEARS = {"elec": 2015, "eau": 2016, "gaz": 2015, "reseau": 2017, "fod": 2019}
+WITHOUT_VARIATION = ("reseau",)
+
+
+def _std_sql(resources=tuple(FIRST_YEARS)) -> str:
+    """The standardised sheets: one row per meter, the years and variations of its
+    sheet, NULL in the columns that the sheet lacks."""
     y1, y2 = YEARS[-2], YEARS[-1]
-    d = f'("{y2}_conso" - "{y1}_conso")'
-    pct = f'(CASE WHEN "{y1}_conso" = 0 THEN {d} * \'inf\'::DOUBLE ELSE {d} / "{y1}_conso" END) * 100.0'
-    return (
-        f'SELECT resource, batiment, {ycols}, {d} AS "Evol_{y1}-{y2}", {pct} AS "Evol_{y1}-{y2}_p", '
-        f'"{y2}_conso" AS derniere_conso, ordinal '
-        f"FROM (SELECT resource, batiment, ordinal, {cols} FROM v_meters WHERE {where} GROUP BY resource, ordinal, batiment) w"
-    )
+    parts = []
+    for r in resources:
+        first = FIRST_YEARS[r]
+        sums = ", ".join(f'sum(CASE WHEN greatest(year, {first}) = {y} THEN conso END) AS "{y}_conso"' for y in YEARS)
+        ycols = ", ".join(f'"{y}_conso"' for y in YEARS)
+        d = f'("{y2}_conso" - "{y1}_conso")'
+        pct = f'(CASE WHEN "{y1}_conso" = 0 THEN {d} * \'inf\'::DOUBLE ELSE {d} / "{y1}_conso" END) * 100.0'
+        if r in WITHOUT_VARIATION:
+            d = pct = "CAST(NULL AS DOUBLE)"
+        parts.append(
+            f'SELECT resource, batiment, {ycols}, {d} AS "Evol_{y1}-{y2}", {pct} AS "Evol_{y1}-{y2}_p", "{y2}_conso" AS derniere_conso, ordinal '
+            f"FROM (SELECT resource, batiment, ordinal, {sums} FROM v_meters WHERE resource = '{r}' GROUP BY resource, ordinal, batiment) w"
+        )
+    return " UNION ALL ".join(parts)
 
 
-ELEC = "resource = 'elec'"
 STD_DOUBLES = [f'"{y}_conso"' for y in YEARS] + ['"Evol_2020-2021"', '"Evol_2020-2021_p"', "derniere_conso"]
 
 
@@ -426,10 +465,16 @@ e AS (SELECT *, derniere_conso * ratio_metre AS conso, derniere_conso * ratio_me
 SELECT {select} FROM e"""
 
 
+def _sheet_doubles(r: str) -> list[str]:
+    """The number columns that a resource's sheet holds."""
+    gone = [f'"{y}_conso"' for y in YEARS if y < FIRST_YEARS[r]] + (['"Evol_2020-2021"', '"Evol_2020-2021_p"'] if r in WITHOUT_VARIATION else [])
+    return [c for c in STD_DOUBLES if c not in gone]
+
+
 def _enriched_sql(r: str) -> str:
     label = "" if r in C.PRE_AGGREGATE else "batiment, "
     return _export_sql(
-        f"""{label}num_bat, {", ".join(STD_DOUBLES)}, Site_etat, nom_bat, etat_energie, Site_occup, Unite,
+        f"""{label}num_bat, {", ".join(_sheet_doubles(r))}, Site_etat, nom_bat, etat_energie, Site_occup, Unite,
        metrage_unite, metrage_unite_ajus, pers_unite, metrage_batiment, count_pers, ratio_metre,
        conso AS conso_{r}, cout AS cout_{r},
        CASE WHEN metrage_unite_ajus = 0 THEN cout * 'inf'::DOUBLE ELSE cout / metrage_unite_ajus END AS cout_par_m2,
@@ -438,7 +483,7 @@ def _enriched_sql(r: str) -> str:
 
 
 def _enriched_doubles(r: str) -> list[str]:
-    return [*STD_DOUBLES, *OCC_COLS, "ratio_metre", f"conso_{r}", f"cout_{r}", "cout_par_m2", "cout_par_pers"]
+    return [*_sheet_doubles(r), *OCC_COLS, "ratio_metre", f"conso_{r}", f"cout_{r}", "cout_par_m2", "cout_par_pers"]
 
 
 REPORT_DOUBLES = [x for pair in zip(S.VALUES, S.COSTS) for x in pair]
@@ -461,6 +506,13 @@ SQL: dict[str, tuple[str, list[str]]] = {
 FROM customer""",
         [],
     ),
+    "scan_csv_breaks": (
+        """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_suppkey AS BIGINT) AS l_suppkey,
+       l_returnflag || ' "' || l_linestatus || '"' || chr(10) || strftime(l_shipdate, '%Y-%m-%d') || ', ' || CAST(l_partkey AS VARCHAR) AS note,
+       CAST(l_quantity AS DOUBLE) AS l_quantity
+FROM lineitem""",
+        ["l_quantity"],
+    ),
     "scan_na_tokens": (
         """SELECT resource, ordinal, year,
        CASE WHEN conso IS NULL OR (ordinal % 17 = 0 AND year = 2015) THEN NULL ELSE conso END AS conso
@@ -477,10 +529,13 @@ FROM v_meters""",
     ),
     "latest_year": ("SELECT * FROM latest", ["derniere_conso"]),
     "unpivot_years": (
-        """SELECT k.resource, k.ordinal, k.batiment, y.year, m.conso
+        f"""SELECT k.resource, k.ordinal, k.batiment, y.year, sum(m.conso) AS conso
 FROM (SELECT DISTINCT resource, ordinal, batiment FROM v_meters) k
-JOIN (SELECT DISTINCT resource, year FROM v_meters) y ON y.resource = k.resource
-LEFT JOIN v_meters m ON m.resource = k.resource AND m.ordinal = k.ordinal AND m.batiment = k.batiment AND m.year = y.year""",
+JOIN (SELECT resource, unnest(range(first, {YEARS[-1] + 1}))::INTEGER AS year, first
+      FROM (VALUES {", ".join(f"('{r}', {y})" for r, y in FIRST_YEARS.items())}) AS f(resource, first)) y ON y.resource = k.resource
+LEFT JOIN v_meters m ON m.resource = k.resource AND m.ordinal = k.ordinal AND m.batiment = k.batiment
+  AND greatest(m.year, y.first) = y.year
+GROUP BY k.resource, k.ordinal, k.batiment, y.year""",
         ["conso"],
     ),
     "sum_all_numeric": (
@@ -488,7 +543,7 @@ LEFT JOIN v_meters m ON m.resource = k.resource AND m.ordinal = k.ordinal AND m.
         + ", ".join(
             f"coalesce(sum(CASE WHEN isnan({c}) THEN NULL ELSE {c} END), 0.0) AS {c}" for c in STD_DOUBLES
         )
-        + f" FROM ({_std_sql(ELEC)}) s GROUP BY 1",
+        + f" FROM ({_std_sql(("elec",))}) s GROUP BY 1",
         STD_DOUBLES,
     ),
     "filter_soft_delete": (
@@ -524,6 +579,11 @@ FROM occupancy GROUP BY 1""",
         [],
     ),
     "map_building_codes": ("SELECT DISTINCT resource, ordinal, num_bat FROM meters", []),
+    "positional_codes": (
+        """SELECT 'fod' AS resource, row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal, lpad(CAST(s_suppkey % 40 AS VARCHAR), 4, '0') AS num_bat
+FROM supplier""",
+        [],
+    ),
     "conso_state": ("SELECT * FROM conso_state", ["derniere_conso"]),
     "conso_occupancy": ("SELECT * FROM joined", ["derniere_conso"] + OCC_COLS),
     "allocate_area": (
@@ -552,6 +612,13 @@ FROM (SELECT r.resource, r.derniere_conso * p.price * p.coef AS x FROM conso_row
 GROUP BY resource""",
         ["total", "share"],
     ),
+    "global_cost_total": (
+        """SELECT resource, CAST(grouping(resource) AS INTEGER) AS is_total, CASE WHEN count(x) = count(*) THEN sum(x) END AS total,
+       (CASE WHEN count(x) = count(*) THEN sum(x) END) * 0.6::DOUBLE AS share
+FROM (SELECT r.resource, r.derniere_conso * p.price * p.coef AS x FROM conso_rows r JOIN prices p ON p.resource = r.resource) c
+GROUP BY GROUPING SETS ((resource), ())""",
+        ["total", "share"],
+    ),
     "by_building": (
         f"SELECT *, {S.row_sum(S.COSTS)} AS cout_global_bat FROM by_building",
         ["metrage_batiment"] + REPORT_DOUBLES + ["cout_global_bat"],
@@ -577,7 +644,7 @@ GROUP BY resource""",
     "redistribute_building_unit": (
         _redistribute_sql(
             f"(SELECT DISTINCT num_bat, Unite, batu FROM ({BY_BU_SQL}) x WHERE NOT contains(batu, '/')) k",
-            f"JOIN ({BY_BU_SQL}) r ON contains(r.batu, k.Unite) AND contains(r.batu, k.num_bat)",
+            f"JOIN ({BY_BU_SQL}) r ON contains(r.batu, k.Unite) AND contains(r.batu, coalesce(k.num_bat, 'NA'))",
             "k.batu",
         ),
         [v + "b" for v in S.VALUES],
@@ -605,10 +672,12 @@ FROM meters GROUP BY resource, year""",
     "year_over_year": (
         """SELECT resource, num_bat, year, conso, conso_prev, evol,
        (CASE WHEN conso_prev = 0 THEN evol * 'inf'::DOUBLE ELSE evol / conso_prev END) * 100.0 AS evol_pct
-FROM (SELECT *, conso - conso_prev AS evol FROM (
-  SELECT *, lag(conso) OVER (PARTITION BY resource, num_bat ORDER BY year) AS conso_prev FROM (
-    SELECT resource, num_bat, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0) AS conso
-    FROM meters GROUP BY resource, num_bat, year)))""",
+FROM (SELECT y.*, p.conso AS conso_prev, y.conso - p.conso AS evol
+      FROM (SELECT resource, num_bat, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0) AS conso
+            FROM meters GROUP BY resource, num_bat, year) y
+      LEFT JOIN (SELECT resource, num_bat, year, coalesce(sum(CASE WHEN isnan(conso) THEN NULL ELSE conso END), 0.0) AS conso
+                 FROM meters GROUP BY resource, num_bat, year) p
+        ON p.resource = y.resource AND p.num_bat IS NOT DISTINCT FROM y.num_bat AND p.year = y.year - 1)""",
         ["conso", "conso_prev", "evol", "evol_pct"],
     ),
 }

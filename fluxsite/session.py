@@ -8,6 +8,7 @@ and a scratch folder is chosen only when the setting is absent (local runs).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names; in a machine-local
+    folder only where the session is local and none is named."""
+    base = checkpoint_dir(spark)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        base = tempfile.mkdtemp(prefix="fluxsite-scratch-")
+    return f"{base.rstrip('/')}/fluxsite-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_folder(spark: SparkSession, folder: str) -> str:
     """``folder``, refused where executors could not share it: outside local
     mode a local path must lie in the folder that the cluster names."""

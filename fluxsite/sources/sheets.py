@@ -16,10 +16,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from fluxsite import config as C
 from fluxsite.functions.nulls import sql_name
+from fluxsite.operators.positions import FILE_SHIFT
+from fluxsite.sources.records import SPLITTABLE, csv_cells, csv_records, file_key, plain_path
 
 WHITE = " \t\r\n\u00a0"
 _ROW_MASK = (1 << 33) - 1  # monotonically_increasing_id: row in its partition
-_FILE_SHIFT = 44  # bits of an ordinal below the file's number
+MOST_FILES = 1 << (63 - FILE_SHIFT)
 
 
 def named(name: str) -> Column:
@@ -42,9 +44,8 @@ def apply_na_tokens(df: DataFrame, tokens=C.NA_TOKENS) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> DataFrame:
-    """Every record of a CSV sheet. A quoted cell may hold separators, quotes
-    (doubled) and line breaks; with ``multiline`` a file is one split, without
-    it large files are split and such breaks are not allowed. All columns are
+    """Every record of a CSV sheet, read by Spark's own reader: with ``multiline`` a file
+    is one split, without it quoted line breaks are not allowed. All columns are
     parsed whatever the plan needs, so a ragged record is always found."""
     options = {"header": True, "sep": sep, "encoding": encoding, "multiLine": multiline, "quote": '"', "escape": '"'}
     header = spark.read.options(**options).csv(path).columns
@@ -52,6 +53,44 @@ def _csv(spark: SparkSession, path: str, sep: str, encoding: str, multiline: boo
     return spark.read.options(**options, mode="FAILFAST", enforceSchema=False, columnPruning=False).schema(schema).csv(path)
 
 
+def _file_numbers(df: DataFrame) -> DataFrame | None:
+    """(_number, _path) of the files of ``df`` in order of their paths; None for one file."""
+    files = sorted(df.inputFiles())
+    if len(files) > MOST_FILES:
+        raise ValueError(f"a sheet of {len(files)} files; its row keys have room for {MOST_FILES}")
+    if len(files) < 2:
+        return None
+    return df.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _path string")
+
+
+def _numbered(df: DataFrame, numbers: DataFrame | None, on: Column, at: Column, ordinal: str) -> DataFrame:
+    """Add the key of file order: the file's number, then the place in the file."""
+    if numbers is None:
+        return df.withColumn(ordinal, at)
+    return df.join(numbers, on).withColumn(ordinal, F.shiftleft("_number", FILE_SHIFT) + at)
+
+
+def _beyond_a_split(spark: SparkSession, files: list[str]) -> bool:
+    """Whether a file is larger than what one task reads."""
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return any(Path(f).getFileSystem(conf).getFileStatus(Path(f)).getLen() > most for f in files)
+
+
+def _split_csv(spark: SparkSession, path: str, sep: str, encoding: str, ordinal: str | None) -> DataFrame:
+    """A CSV sheet whose quoted cells may hold line breaks, read by many tasks a file."""
+    options = {"sep": sep, "encoding": encoding, "multiLine": True, "quote": '"', "escape": '"'}
+    reader = spark.read.options(header=True, **options).csv(path)
+    names = reader.columns  # Spark numbers names that repeat
+    spelled = [c or "" for c in spark.read.options(header=False, **options).csv(path).first()]
+    cells = csv_cells(csv_records(spark, path, encoding), spelled, names, sep)
+    if ordinal:
+        numbers = _file_numbers(reader)
+        on = None if numbers is None else F.col("_file") == file_key(F.col("_path"))
+        cells = _numbered(cells, numbers, on, F.col("_at"), ordinal)
+    return cells.select(*[named(c) for c in names], *([ordinal] if ordinal else []))
+
+
 def _with_ordinal(df: DataFrame, fmt: str, ordinal: str) -> DataFrame:
     """Add the key of file order: files by path, then blocks, then rows.
 
@@ -62,15 +101,9 @@ def _with_ordinal(df: DataFrame, fmt: str, ordinal: str) -> DataFrame:
         at = F.col("_metadata.row_index")
     else:
         at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
-    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
-    files = sorted(df.inputFiles())
     cells = df.columns
-    out = df.select("*", plain(F.col("_metadata.file_path")).alias("_file"), at.alias(ordinal))
-    if len(files) > 1:
-        numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "_number long, _path string")
-        numbers = numbers.select("_number", plain(F.col("_path")).alias("_path"))
-        out = out.join(numbers, F.col("_file") == F.col("_path"))
-        out = out.withColumn(ordinal, F.shiftleft("_number", _FILE_SHIFT) + F.col(ordinal))
+    out = df.select("*", plain_path(F.col("_metadata.file_path")).alias("_file"), at.alias("_at"))
+    out = _numbered(out, _file_numbers(df), F.col("_file") == plain_path(F.col("_path")), F.col("_at"), ordinal)
     return out.select(*[named(c) for c in cells], ordinal)
 
 
@@ -83,15 +116,27 @@ def read_sheet(
     sep: str = ",",
     encoding: str = "UTF-8",
     multiline: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """Scan one sheet; trimmed string cells, header row, NA tokens as NULL.
 
     ``ordinal`` keeps the file order (the reference addresses some rows by
-    position and keeps the first of duplicates).
+    position and keeps the first of duplicates). A quoted cell of a CSV sheet may hold
+    separators, quotes (doubled) and, with ``multiline``, line breaks. ``split`` lets many
+    tasks read such a file (see ``records``); by default that is done where a file is
+    larger than a task's share and its encoding allows it.
     """
-    df = _csv(spark, path, sep, encoding, multiline) if fmt == "csv" else spark.read.format(fmt).load(path)
-    if ordinal:
-        df = _with_ordinal(df, fmt, ordinal)
+    if fmt != "csv":
+        df = spark.read.format(fmt).load(path)
+        df = _with_ordinal(df, fmt, ordinal) if ordinal else df
+    else:
+        df = _csv(spark, path, sep, encoding, multiline)
+        if split is None:
+            split = multiline and encoding.upper() in SPLITTABLE and _beyond_a_split(spark, df.inputFiles())
+        if split:
+            df = _split_csv(spark, path, sep, encoding, ordinal)
+        elif ordinal:
+            df = _with_ordinal(df, fmt, ordinal)
     return apply_na_tokens(df, na_tokens)
 
 

@@ -22,6 +22,7 @@ SELECT CASE WHEN p_partkey % 40 < 32 THEN 'La Gaillarde' ELSE 'Lavalette' END AS
        CAST(p_size AS DOUBLE) AS Surface_sol,
        CASE WHEN p_partkey % 23 = 0 THEN NULL
             WHEN p_partkey % 19 = 0 THEN 'IA'
+            WHEN p_partkey % 29 = 0 THEN p_brand || '/B' || lpad(CAST(p_partkey * 7 % 40 AS VARCHAR), 4, '0')
             WHEN p_partkey % 13 = 0 THEN p_brand || '/Brand#' || CAST(p_size % 25 + 1 AS VARCHAR)
             WHEN p_partkey % 7 = 0 THEN lower(p_brand)
             ELSE p_brand END AS Unite,
@@ -50,7 +51,8 @@ FROM (
                         WHEN l_suppkey % 43 = 5 THEN 'sage'
                         ELSE lpad(CAST(l_suppkey % 40 AS VARCHAR), 4, '0') END
                 || ' compteur ' || CAST(l_suppkey AS VARCHAR) AS batiment,
-         CAST(year(l_shipdate) + 20 AS INTEGER) AS year,
+         CAST(CASE WHEN l_suppkey % 8 = 3 AND year(l_shipdate) + 20 = 2018 THEN 2017
+                   ELSE year(l_shipdate) + 20 END AS INTEGER) AS year,
          sum(l_quantity) AS conso
   FROM lineitem
   GROUP BY 1, 2, 3, 4)""",

@@ -13,36 +13,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxsite import config as C
 from fluxsite.config import AnalysisConfig
+from fluxsite.operators.positions import positional_code_map  # noqa: F401  (the map of one sheet)
 from fluxsite.plans.analysis import Inputs
 from fluxsite.sources.headers import latest_year_column, standardise_headers, unpivot_years, year_columns
 from fluxsite.sources.sheets import apply_schema, cast_columns, drop_positions, named, number, read_sheet, require_columns
 
 
-def positional_code_map(sheet: DataFrame, resource: str, codes) -> DataFrame:
-    """(resource, ordinal, num_bat): the i-th row of ``sheet`` takes the i-th code.
-
-    The sheet must hold exactly as many rows as there are codes; any other
-    number fails the job. Only one row more than the codes is ever looked at.
-    ``codes`` may also be a {label: code} mapping, which needs no positions.
-    """
-    if isinstance(codes, dict):
-        label = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("batiment")]
-        return sheet.select(F.lit(resource).alias("resource"), "ordinal", label.alias("num_bat"))
-    k = len(codes)
-    first = sheet.select("ordinal").orderBy("ordinal").limit(k + 1)
-    position = F.row_number().over(Window.orderBy("ordinal"))
-    rows = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = first.select("ordinal", position.alias("position"), rows.alias("rows"))
-    wrong = F.raise_error(F.lit(f"the {resource} sheet must hold exactly {k} rows, one per positional building code"))
-    code = F.when(F.col("rows") != k, wrong.cast("string")).otherwise(F.get(F.array(*map(F.lit, codes)), F.col("position") - 1))
-    return numbered.select(F.lit(resource).alias("resource"), "ordinal", code.alias("num_bat"))
-
-
 class Sheets:
     """How the sheets are to be read: format, tokens, decimal mark and the like."""
 
@@ -107,13 +88,12 @@ def load_inputs(
     std = {r: read.meters(conso_paths[r]) for r in C.SHEET_ORDER}
     tagged = [df.withColumn("resource", F.lit(r)) for r, df in std.items()]
     long = [unpivot_years(df, ["resource", "ordinal", "batiment"]) for df in tagged]
-    maps = [positional_code_map(std[r], r, codes) for r, codes in positional_codes.items()]
     return Inputs(
         state=read.state(state_path),
         rooms=read.rooms(rooms_path),
         staff=read.staff(staff_path),
         meters=reduce(DataFrame.unionByName, long).select("resource", "ordinal", "batiment", "year", "conso"),
-        code_map=reduce(DataFrame.unionByName, maps) if maps else None,
+        code_lists=dict(positional_codes),
         latest_years={r: int(latest_year_column(df)[:4]) for r, df in std.items()},
         sheet_years={r: sorted(int(c[:4]) for c in year_columns(df)) for r, df in std.items()},
         # schema drift: each sheet has its own years and variation columns
