@@ -9,7 +9,8 @@ the leaves that are reached are verified letter by letter.
 
 The trie is cut into blocks of consecutive leaves. The same search over the blocks'
 first and last vectors tells which blocks a word has to visit; in each it descends to
-the leaves. A block that many visit is copied, its visitors dealt out by hash.
+the leaves. Of two near words one finds the other, and the pair counts for both. A block
+that many visit is copied, its visitors dealt out by hash.
 Forms are followed to their ends by doubling.
 
 Defined cases: NULL and empty texts hold no word; a NULL doc_id counts as empty; repeated
@@ -23,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,9 @@ GROUPS = 13
 BLOCK = 8192  # words of a block, more once the blocks would pass MAX_BLOCKS
 MAX_BLOCKS = 1 << 16  # bounds the table of blocks that every task gets: about 7 MB
 VISITS = 1 << 15  # words that meet a block in one group, about; more of them share it out
+ASKED = 1 << 14  # words that descend the trie together
+CANDIDATES = 1 << 18  # pairs that are verified together, about
+SHORT = 32  # letters that are kept as a matrix
 LEAF = 32  # words below which a node is not divided further
 PAIRS = 1 << 22  # vector entries or letters that are compared at a time
 HELD = 500_000  # words that a task counts before it passes the counts on
@@ -110,14 +115,21 @@ class Letters:
         of = np.repeat(np.arange(len(self.lengths)), self.lengths)
         return np.bincount(of * GROUPS + self.raw % GROUPS, minlength=len(self.lengths) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
 
-    def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """Letters of the rows, filled up with zeros."""
+    def _matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
         at = np.arange(width)
         inside = at < self.lengths[rows][:, None]
         out = np.zeros((len(rows), width), np.uint8)
         out[inside] = self.raw[(self.begins[rows][:, None] + at)[inside]]
         return out
 
+    @cached_property
+    def _short(self) -> np.ndarray:
+        return self._matrix(np.arange(len(self.lengths)), SHORT)
+
+    def matrix(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The first letters of the rows, filled up with zeros."""
+        return self._short[rows, :width] if width <= SHORT else self._matrix(rows, width)
+
 
 def _near_slice(a: Letters, i: np.ndarray, b: Letters, j: np.ndarray) -> np.ndarray:
     """Whether a[i] has one letter more than b[j], or replaces one, pair by pair."""
@@ -159,17 +171,18 @@ class Trie:
 
     def search(self, asked: np.ndarray, small: int) -> Iterator[tuple[np.ndarray, int, int]]:
         """Depth first: (places in ``asked``, begin, end) of every node that is a leaf or
-        holds ``small`` rows at most, with the vectors that reach it within the budget."""
-        depth_of = asked.shape[1]
+        holds ``small`` rows at most, with the vectors that reach it within the budget.
+        The surplus is spent first, so of two near words the one with the smaller vector
+        finds the other."""
         every = np.arange(len(asked))
-        none = np.zeros(len(asked), bool)
+        # spent: 0 nothing, 1 the surplus, 2 the deficit as well
         # open: whether the first row begins before the node, the last one ends after it
-        stack = [(0, len(self.firsts), 0, every, none, none, False, False)]
+        stack = [(0, len(self.firsts), 0, every, np.zeros(len(asked), np.int8), False, False)]
         while stack:
-            begin, end, depth, alive, surplus, deficit, open_first, open_last = stack.pop()
+            begin, end, depth, alive, spent, open_first, open_last = stack.pop()
             if not len(alive) or begin == end:
                 continue
-            if end - begin <= small or depth == depth_of:
+            if end - begin <= small or depth == GROUPS:
                 yield alive, begin, end
                 continue
             low, high = self.firsts[begin:end, depth], self.lasts[begin:end, depth]
@@ -182,51 +195,63 @@ class Trie:
                 a, b = int(np.searchsorted(high, value)), int(np.searchsorted(low, value, side="right"))
                 if a >= b:
                     continue
-                more, less = own == value - 1, own == value + 1
-                go = (own == value) | more & ~surplus | less & ~deficit
-                if go.any():
+                more, less = (own == value - 1) & (spent == 0), (own == value + 1) & (spent == 1)
+                go = np.flatnonzero((own == value) | more | less)
+                if len(go):
                     stack.append((
-                        begin + a, begin + b, depth + 1, alive[go], (surplus | more)[go], (deficit | less)[go],
+                        begin + a, begin + b, depth + 1, alive[go], spent[go] + more[go] + less[go],
                         bool(low[a] < value or a == 0 and open_first), bool(high[b - 1] > value or b == end - begin and open_last),
                     ))
 
 
 def _within(asked: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose vectors differ by a surplus and a deficit of one at most."""
+    """Pairs whose vectors are within the budget, the asked one the smaller or equal."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     step = max(1, PAIRS // max(1, rows.size))
     for at in range(0, len(asked), step):
+        # the differences' sum is 0 or 1 and their size 2 at most: one surplus, one deficit
         gap = rows[None, :, :] - asked[at : at + step, None, :]
-        fits = (np.maximum(gap, 0).sum(axis=2) <= 1) & (np.maximum(-gap, 0).sum(axis=2) <= 1)
-        i, j = np.nonzero(fits)
+        size, net = np.abs(gap).sum(axis=2, dtype=np.int32), gap.sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero((size <= 2) & (net + size <= 2) & (net >= 0))
         found.append((i + at, j))
     i, j = zip(*found, strict=True)
     return np.concatenate(i), np.concatenate(j)
 
 
-def near_words(asked: list[str], block: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word that has near words in the block: its place, their number, and
-    the place of the most frequent (of equal ones the first in code-point order)."""
-    rank = np.empty(len(block), np.int64)
-    rank[sorted(range(len(block)), key=block.__getitem__)] = np.arange(len(block))
+def near_pairs(asked: list[str], block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near words, each pair of which the search from ``asked`` has to
+    find: the asked word has the smaller vector, or of equal vectors comes first."""
     letters = Letters(block)
     vectors = letters.vectors()
     order = np.lexsort(vectors.T[::-1])
     trie = Trie(vectors[order], vectors[order])
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(asked), 4096):
-        own = Letters(asked[at : at + 4096])
-        own_vectors = own.vectors()
-        for alive, begin, end in trie.search(own_vectors, LEAF):
-            i, j = _within(own_vectors[alive], trie.firsts[begin:end])
-            i, j = alive[i], order[begin + j]
-            hit = near(own, i, letters, j)
-            found.append((at + i[hit], j[hit]))
+    own = Letters(asked)
+    own_vectors = own.vectors()
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    found, held, size = [none], [none], 0
+
+    def verify() -> None:
+        i, j = (np.concatenate(c) for c in zip(*held, strict=True))
+        hit = near(own, i, letters, j)
+        found.append((i[hit], j[hit]))
+
+    for at in range(0, len(asked), ASKED):
+        for alive, begin, end in trie.search(own_vectors[at : at + ASKED], LEAF):
+            i, j = _within(own_vectors[at + alive], trie.firsts[begin:end])
+            held.append((at + alive[i], order[begin + j]))
+            size += len(i)
+            if size > CANDIDATES:
+                verify()
+                held, size = [none], 0
+    verify()
     i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    best = np.lexsort((rank[j], -n[j], i))
-    i, j = i[best], j[best]
-    places, first, many = np.unique(i, return_index=True, return_counts=True)
-    return places, many, j[first]
+    x, y = own_vectors[i], vectors[j]
+    differ = x != y
+    at, rows = np.argmax(differ, axis=1), np.arange(len(i))
+    first = x[rows, at] < y[rows, at]
+    same = np.flatnonzero(~differ.any(axis=1))
+    first[same] = np.array([asked[a] < block[b] for a, b in zip(i[same], j[same], strict=True)], bool)
+    return i[first], j[first]
 
 
 # -- jobs --------------------------------------------------------------------
@@ -273,7 +298,8 @@ def _ends(batches: Iterator[pa.RecordBatch]):
 
 
 def _visits(blocks: list[tuple[int, bytes, bytes]]):
-    """(block, word): the blocks that can hold near words of each word."""
+    """(block, word, n): the blocks that can hold near words of each word, their vectors
+    not smaller than its own."""
     names = np.array([b[0] for b in blocks], np.int64)
     trie = Trie(*[np.frombuffer(b"".join(b[k] for b in blocks), ">u4").reshape(-1, GROUPS).astype(np.int32) for k in (1, 2)])
 
@@ -283,17 +309,26 @@ def _visits(blocks: list[tuple[int, bytes, bytes]]):
             for alive, begin, end in trie.search(_vectors_of(batch.column("key")), 1):
                 pairs.append((alive[:, None] * len(names) + np.arange(begin, end)).ravel())
             row, block = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[block]), batch.column("word").take(pa.array(row))], ["block", "word"])
+            columns = [batch.column(c).take(pa.array(row)) for c in ("word", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(names[block]), *columns], ["block", "word", "n"])
 
     return run
 
 
 def _meet(key: tuple[pa.Scalar, ...], asked: pa.Table, block: pa.Table) -> pa.Table:
-    own, words_ = asked["word"].to_pylist(), block["word"].to_pylist()
-    n = block["n"].to_numpy()
-    places, many, best = near_words(own, words_, n)
+    """For both words of each near pair: how many near words it has here and the most
+    frequent of them (of equal ones the first in code-point order)."""
+    i, j = near_pairs(asked["word"].to_pylist(), block["word"].to_pylist())
+    words_ = pa.concat_arrays([c for t in (asked, block) for c in t["word"].cast(pa.string()).chunks]).to_pylist()
+    n = np.concatenate([t["n"].to_numpy() for t in (asked, block)])
+    own, other = np.concatenate([i, len(asked) + j]), np.concatenate([len(asked) + j, i])
+    rank = np.empty(len(words_), np.int64)
+    rank[sorted(range(len(words_)), key=words_.__getitem__)] = np.arange(len(words_))
+    order = np.lexsort((rank[other], -n[other], own))
+    places, first, many = np.unique(own[order], return_index=True, return_counts=True)
+    best = other[order][first]
     return pa.table({
-        "word": pa.array([own[k] for k in places], pa.string()), "n_near": many.astype(np.int64),
+        "word": pa.array([words_[k] for k in places], pa.string()), "n_near": many.astype(np.int64),
         "form": pa.array([words_[k] for k in best], pa.string()), "form_n": n[best].astype(np.int64),
     })
 
@@ -312,11 +347,11 @@ def near_of(vocabulary: DataFrame, block: int = BLOCK, most_visits: int = VISITS
         held = ends.get(row.block, (first, last))
         ends[row.block] = min(first, held[0]), max(last, held[1])
     blocks = sorted((name, *own) for name, own in ends.items())
-    visits = work_table(trie.select("word", "key").mapInArrow(_visits(blocks), "block long, word string"), "trie-visits")
+    visits = work_table(trie.select("word", "n", "key").mapInArrow(_visits(blocks), "block long, word string, n long"), "trie-visits")
     crowded = visits.groupBy(F.col("block").alias("of")).agg(F.ceil(F.count(F.lit(1)) / most_visits).cast("int").alias("groups"))
     crowded = F.broadcast(work_table(crowded.where(F.col("groups") > 1), "crowded"))  # at most one row a block
     dealt = lambda rows: rows.join(crowded, F.col("block") == F.col("of"), "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
-    asked = dealt(visits).select("block", F.pmod(F.xxhash64("word"), "groups").cast("int").alias("salt"), "word")
+    asked = dealt(visits).select("block", F.pmod(F.xxhash64("word"), "groups").cast("int").alias("salt"), "word", "n")
     copies = dealt(trie).select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), "word", "n")
     by = ["block", "salt"]
     found = asked.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_meet, "word string, n_near long, form string, form_n long")

@@ -103,13 +103,11 @@ def test_slices_keep_runs_whole(monkeypatch):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abcné", min_size=1, max_size=7), min_size=1, max_size=25, unique=True))
-def test_search_finds_all_near_words(pool):
-    n = np.arange(len(pool)) % 4 + 3
-    places, many, best = S.near_words(pool, pool, n)
-    want = {i: [j for j in range(len(pool)) if distance_one(pool[i], pool[j])] for i in range(len(pool))}
-    assert dict(zip(places.tolist(), many.tolist(), strict=True)) == {i: len(js) for i, js in want.items() if js}
-    for i, j in zip(places.tolist(), best.tolist(), strict=True):
-        assert j == min(want[i], key=lambda j: (-n[j], pool[j]))
+def test_search_finds_every_near_pair_once(pool):
+    i, j = S.near_pairs(pool, pool)
+    found = [frozenset(p) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {frozenset((a, b)) for a in range(len(pool)) for b in range(a) if distance_one(pool[a], pool[b])}
+    assert len(found) == len(set(found)) and set(found) == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -120,16 +118,16 @@ def test_blocks_that_hold_near_words_are_visited(pool, size):
     cuts = [order[k : k + size] for k in range(0, len(order), size)]
     trie = S.Trie(np.array([vectors[c[0]] for c in cuts]), np.array([vectors[c[-1]] for c in cuts]))
     seen = {(int(i), b) for alive, begin, end in trie.search(vectors, 1) for i in alive for b in range(begin, end)}
-    for b, cut in enumerate(cuts):
-        for i, word in enumerate(pool):
-            if any(distance_one(word, pool[j]) for j in cut):
-                assert (i, b) in seen
+    of = {int(i): b for b, cut in enumerate(cuts) for i in cut}
+    for i in range(len(pool)):
+        for j in range(i):
+            if distance_one(pool[i], pool[j]):
+                assert (i, of[j]) in seen or (j, of[i]) in seen
 
 
 def test_pairs_in_small_slices(monkeypatch):
     monkeypatch.setattr(S, "PAIRS", 40)
     pool = [w for w, _ in Counter(t for _, text in made(5) for t in text.split()).most_common(150)]
-    places, many, _ = S.near_words(pool, pool, np.ones(len(pool), int))
-    assert dict(zip(places.tolist(), many.tolist(), strict=True)) == {
-        i: k for i, w in enumerate(pool) if (k := sum(distance_one(w, v) for v in pool))
-    }
+    i, j = S.near_pairs(pool, pool)
+    want = {(a, b) for a, w in enumerate(pool) for b, v in enumerate(pool[:a]) if distance_one(w, v)}
+    assert {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} == want
