@@ -10,6 +10,7 @@ order compare equal, and a column tells each double's kind (null, nan, inf,
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from fluxsite import config as C
-from fluxsite.functions.nulls import ieee_div
+from fluxsite.functions.nulls import ieee_div, sum_na_rm
 from fluxsite.functions.text import (
     canonical_unit,
     headcount_estimate,
@@ -35,10 +36,11 @@ from fluxsite.operators import occupancy as O
 from fluxsite.operators import positions as X
 from fluxsite.plans.analysis import Analysis
 from fluxsite.session import scratch_folder
+from fluxsite.sinks.publish import latest_run, publish_run
 from fluxsite.sources import bindings as B
 from fluxsite.sources import sql as S
 from fluxsite.sources.headers import standardise_headers, unpivot_years
-from fluxsite.sources.sheets import apply_na_tokens, read_sheet
+from fluxsite.sources.sheets import apply_na_tokens, named, read_sheet
 
 FLAGSHIP = "by_unit"
 
@@ -69,13 +71,13 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(B.inputs(spark, sf_dir))
 
 
-def sheet_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+def sheet_analysis(spark: SparkSession, sf_dir: str, workdir: str | None = None) -> Analysis:
     """The analysis over wide sheets, as the workbooks give them: each sheet has its
     own year and variation columns."""
     sheets = _sheets(spark, sf_dir)
     wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("resource", F.lit(r)) for r, df in sheets.items()])
     held = {r: [c for c in df.columns if c not in ("ordinal", "batiment")] for r, df in sheets.items()}
-    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=held))
+    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=held), workdir=workdir)
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -312,6 +314,22 @@ def q_enriched_reseau(spark, d):
     return sheet_analysis(spark, d).tables()["enriched_reseau"]
 
 
+def q_published_run(spark, d):
+    """All eight tables written and published as one run, read back through its
+    manifest: their rows, the consumption and cost that they hold."""
+    path = scratch_folder(spark, "published")
+    a = sheet_analysis(spark, d, scratch_folder(spark, "work"))
+    publish_run(a, path, dt.date(2025, 1, 31))
+    tables = latest_run(spark, path).tables(spark)
+    rows = []
+    for name, df in tables.items():
+        values = [c for c in df.columns if c.startswith("conso_") or c.startswith("cout_")]
+        sums = [sum_na_rm(F.when(F.abs(named(c)) < float("inf"), named(c))).alias(c) for c in values]
+        sums = df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+        rows.append(sums.select(F.lit(name).alias("table"), "n_rows", F.explode(F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.col, values)))).alias("column", "total")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def q_first_per_building(spark, d):
     return analysis(spark, d).stats.select("resource", "num_bat", F.col("d_first").alias("derniere_conso"))
 
@@ -499,6 +517,22 @@ def _series_sql(key: str) -> str:
     )
 
 
+def _published_sql() -> str:
+    """Rows, consumption and cost of the eight tables, each summed on its own."""
+    tables = {f"enriched_{r}": (_enriched_sql(r), [f"conso_{r}", f"cout_{r}", "cout_par_m2", "cout_par_pers"]) for r in C.REPORT_ORDER}
+    tables["by_building"] = (f"SELECT *, {S.row_sum(S.COSTS)} AS cout_global_bat FROM by_building", [*REPORT_DOUBLES, "cout_global_bat"])
+    tables["by_unit"] = (BY_UNIT_SQL, [*REPORT_DOUBLES, "cout_global_unite"])
+    tables["by_building_unit"] = (BY_BU_SQL, [*REPORT_DOUBLES, "cout_global_batunite"])
+    parts = []
+    for name, (sql, columns) in tables.items():
+        for c in columns:
+            parts.append(
+                f"""SELECT '{name}' AS "table", count(*) AS n_rows, '{c}' AS "column",
+  coalesce(sum(CASE WHEN isnan({c}) OR abs({c}) = 'inf'::DOUBLE THEN NULL ELSE {c} END), 0.0) AS total FROM ({sql}) t"""
+            )
+    return " UNION ALL ".join(parts)
+
+
 SQL: dict[str, tuple[str, list[str]]] = {
     "scan_sheet": (
         """SELECT c_custkey AS ordinal, c_custkey, trim(c_name) AS c_name,
@@ -600,6 +634,7 @@ FROM allocated""",
         ["metrage_unite", *STD_DOUBLES, "cout"],
     ),
     **{f"enriched_{r}": (_enriched_sql(r), _enriched_doubles(r)) for r in C.REPORT_ORDER},
+    "published_run": (_published_sql(), ["total"]),
     "first_per_building": ("SELECT resource, num_bat, derniere_conso FROM first_rows", ["derniere_conso"]),
     "building_intensity": (
         "SELECT * FROM intensity",

@@ -18,6 +18,7 @@ from fluxsite.config import AnalysisConfig, Rates, known_resource
 from fluxsite.plans.analysis import Analysis
 from fluxsite.session import checkpoint_dir
 from fluxsite.sinks.export import run_folder, write_outputs
+from fluxsite.sinks.publish import publish_run
 from fluxsite.sources.workbook import load_inputs
 
 
@@ -43,9 +44,10 @@ def main(argv=None) -> dict[str, str]:
     ap.add_argument("--encoding", default="UTF-8")
     ap.add_argument("--decimal", default=".", help="decimal mark of the numbers")
     ap.add_argument("--unparsable", default="fail", choices=["fail", "null"], help="what a cell that is no number does")
-    ap.add_argument("--one-line-records", action="store_true", help="no quoted line breaks: large CSV files are split")
+    ap.add_argument("--one-line-records", action="store_true", help="no quoted line breaks in any cell")
     ap.add_argument("--out", required=True)
     ap.add_argument("--out-format", default="parquet")
+    ap.add_argument("--publish", action="store_true", help="publish the eight tables as one numbered run: all of them, or none")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     cfg = AnalysisConfig(rates=Rates.of(_pairs(a.price)))
@@ -55,6 +57,9 @@ def main(argv=None) -> dict[str, str]:
     ckpt = checkpoint_dir(spark)
     analysis = Analysis(inputs, cfg, workdir=f"{ckpt.rstrip('/')}/fluxsite-work" if ckpt else None)
     try:
+        if a.publish:
+            run = publish_run(analysis, a.out, fmt=a.out_format)
+            return {name: f"{run.path}: {entry['path']}" for name, entry in run.manifest["tables"].items()}
         return write_outputs(analysis, run_folder(a.out), fmt=a.out_format)
     finally:
         analysis.cleanup()

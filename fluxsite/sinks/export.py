@@ -30,7 +30,7 @@ def run_folder(base: str, day: _dt.date | None = None) -> str:
     return f"{base.rstrip('/')}/{RUN_PREFIX}{day.isoformat()}"
 
 
-def _slug(name: str) -> str:
+def slug(name: str) -> str:
     return name.lower().replace(" ", "_")
 
 
@@ -67,6 +67,6 @@ def write_outputs(
     )
     reports = {"by_building": analysis.by_building, "by_unit": analysis.by_unit, "by_building_unit": analysis.by_building_unit}
     for key, df in reports.items():
-        paths[key] = f"{out_dir}/stats/{_slug(STATS_SHEETS[key])}"
+        paths[key] = f"{out_dir}/stats/{slug(STATS_SHEETS[key])}"
         df.write.mode(mode).format(fmt).option("header", True).save(paths[key])
     return paths
