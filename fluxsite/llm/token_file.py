@@ -97,8 +97,6 @@ class Tokens:
             else:
                 parts[s] = _PART.findall(s) if _SAFE.fullmatch(s) else [s]
         need = {p for own in parts.values() for p in own}
-        if len(self.parts) + len(need) > CACHED:
-            self.parts.clear()
         todo = need - self.parts.keys()
         alone = [p for p in todo if not p or p[-1].isspace() or p[0].isspace() and p[0] != " "]
         first = [p for p in todo.difference(alone) if p[0] != " "]
@@ -107,8 +105,12 @@ class Tokens:
         # a line break before a part is a token of its own
         ids.update((p, own[self.width :]) for p, own in zip(first, self._encode_joined(["\n" + p for p in first]), strict=True))
         ids.update(zip(alone, self._encode(alone), strict=True))
-        self.parts.update((p, ids[p]) for p in todo)
-        return [b"".join(map(self.parts.__getitem__, parts[s])) if s in parts else ids[s] for s in new]
+        kept = self.parts
+        out = [b"".join([ids[p] if p in ids else kept[p] for p in parts[s]]) if s in parts else ids[s] for s in new]
+        if len(kept) + len(todo) > CACHED:
+            kept.clear()
+        kept.update((p, ids[p]) for p in todo)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian."""
@@ -129,15 +131,17 @@ class Tokens:
 
     def _flush(self, held: list[list[str]]) -> list[bytes]:
         firsts = self._learn([own.pop(0) for own in held])
-        if len(self.later) > CACHED:
-            self.later.clear()
         found = [list(map(self.later.get, own)) for own in held]
         gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
         new = list({own[k] for own, gap in zip(held, gaps, strict=True) for k in gap})
-        self.later.update(zip(new, self._learn([" " + s for s in new]), strict=True))
+        ids = dict(zip(new, self._learn([" " + s for s in new]), strict=True))
         for own, row, gap in zip(held, found, gaps, strict=True):
             for k in gap:
-                row[k] = self.later[own[k]]
+                row[k] = ids[own[k]]
+        if sum(map(len, gaps)) > sum(map(len, held)) / 2:  # other texts than before
+            self.later.clear()
+        if len(self.later) + len(ids) <= CACHED:  # what is kept when it is full is most of what comes
+            self.later.update(ids)
         return [first + b"".join(row) for first, row in zip(firsts, found, strict=True)]
 
 
