@@ -21,16 +21,20 @@ from .common import hash52, text_or_empty, work_table
 
 SEED = "tree-1"
 RACKS_PER_REGION, SHARDS_PER_RACK = 2, 4
+BASE = 16  # shards that a tree begins with; later ones open regions of their own
 
 Tree = list  # regions -> racks -> shard weights
 
 
-def tree_of(shards: int) -> Tree:
-    """The tree that a shard count decides: full regions of equal shards, then a
-    region with what is left. ``tree_of(n + 1)`` opens a new region when the
-    regions of ``tree_of(n)`` are full, so only the new shard takes rows."""
+def tree_of(shards: int, base: int | None = None) -> Tree:
+    """The tree of a shard count: ``base`` shards (at most ``BASE``, all of fewer) in
+    regions and racks, and each later one in a region of its own. So for one base,
+    ``tree_of(n + 1)`` is ``tree_of(n)`` with a new subtree, and only the new shard takes rows."""
+    base = min(shards, BASE) if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError(f"a tree that began with {base} shards cannot have {shards}")
     tree: Tree = []
-    for k in range(shards):
+    for k in range(base):
         region, rest = divmod(k, RACKS_PER_REGION * SHARDS_PER_RACK)
         rack = rest // SHARDS_PER_RACK
         if region == len(tree):
@@ -38,6 +42,8 @@ def tree_of(shards: int) -> Tree:
         if rack == len(tree[region]):
             tree[region].append([])
         tree[region][rack].append(1.0)
+    for _ in range(base, shards):
+        tree = with_new_region(tree)
     return tree
 
 
@@ -111,8 +117,11 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.select(*cols, (F.col("__offset") + F.col("__at") - F.col("__first")).cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), by the law ``key``."""
+def shard_documents(docs: DataFrame, shards: int = 16, seed: str = SEED, base: int | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), by the law ``key``: with
+    one more shard rows go only into it, at every count. ``base``: the count that the
+    tree began with (see ``tree_of``); a cluster that grows keeps it."""
+    base = min(shards, BASE) if base is None else base
     text = text_or_empty(F.col("text"))
     rows = docs.select(
         "doc_id",
@@ -120,8 +129,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: str = SEED) -> Data
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
     )
-    rows = place(rows, "doc_id", tree_of(shards), "shard", seed)
-    rows = place(rows, "doc_id", tree_of(shards + 1), "grown_shard", seed)
+    rows = place(rows, "doc_id", tree_of(shards, base), "shard", seed)
+    rows = place(rows, "doc_id", tree_of(shards + 1, base), "grown_shard", seed)
     rows = rows.withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
     out = with_slots(rows, ["__order", "doc_id"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluxsite.llm import queries, sharding
@@ -56,3 +57,25 @@ def test_nulls_repeats_hot_keys_and_empty_table(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_the_law_holds_at_every_count(spark):
+    """From n to n + 1 shards rows go only into the new one, and it gets its share."""
+    for base, most in ((1, 40), (16, 40)):
+        before = placed(spark, sharding.tree_of(base, base), 2000)
+        for n in range(base, most + 1):
+            after = placed(spark, sharding.tree_of(n + 1, base), 2000)
+            assert all(after[k] in (before[k], n) for k in before), (base, n)
+            assert 0.3 < sum(s == n for s in after.values()) / (2000 / (n + 1)) < 1.8, (base, n)
+            before = after
+
+
+def test_one_call_grows_by_its_own_law(spark):
+    docs = spark.createDataFrame([(k, "x", "en", "a", 1) for k in range(600)], DOCS)
+    for n in (1, 10, 17, 20):
+        out = sharding.shard_documents(docs, n).collect()
+        assert {r.shard for r in out} <= set(range(n)) and all(r.grown_shard in (r.shard, n) for r in out)
+    grown = {r.doc_id: r.grown_shard for r in sharding.shard_documents(docs, 10).collect()}
+    assert grown == {r.doc_id: r.shard for r in sharding.shard_documents(docs, 11, base=10).collect()}
+    with pytest.raises(ValueError, match="began with 16"):
+        sharding.tree_of(8, 16)
