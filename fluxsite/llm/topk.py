@@ -10,6 +10,8 @@ others. The queries of an annulus that many visit are dealt out by hash to group
 each with its own copy of the annulus. Scores are integer; the distances only decide what is skipped, with a
 margin above their rounding error.
 
+Vectors whose squared length reaches 2**63 are refused: a score could pass 64 bits.
+
 Defined cases: vectors that are NULL or hold NULL or non-finite components take
 no part, nor do rows without id; of rows with one id the largest vector counts;
 shorter vectors count as filled up with zeros; fewer candidates than k are all
@@ -179,6 +181,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, n_pivots: int = PIVOTS
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     facts = rows.agg(F.max(F.size("v")).alias("dim"), F.max(square).alias("most"), F.count(F.lit(1)).alias("n")).first()
     dim, most = facts["dim"] or 1, facts["most"] or 0.0
+    if most >= 2.0**63:  # no score is larger than the largest squared length
+        raise ValueError("components too large: inner products could pass 64 bits")
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))))
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
     pivots = Pivots(np.unique(np.array([r.v for r in fitted] or [[0] * dim], np.int64), axis=0), most)

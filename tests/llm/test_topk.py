@@ -92,3 +92,12 @@ def test_no_group_holds_all_queries_of_an_annulus(spark, monkeypatch):
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<bigint>")
     out = topk.top_k(df, F.col("vec_id") % 2 == 0, k=5, n_pivots=4, block=50, most_visits=20)
     assert got(out) == brute(vectors, lambda q: q % 2 == 0, 5)
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    rows = spark.createDataFrame([(20, [64 * 10**10, 1]), (1, [64 * 10**10, 2]), (2, [1, 1])], "vec_id long, v array<bigint>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(rows, F.col("vec_id") % 20 == 0)
+    big = [(20, [2 * 10**9, 10**9]), (1, [2 * 10**9, -(10**9)]), (2, [-2 * 10**9, 10**9])]
+    got = topk.top_k(spark.createDataFrame(big, "vec_id long, v array<bigint>"), F.col("vec_id") % 20 == 0).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 3 * 10**18), (2, 2, -3 * 10**18)]
