@@ -1,7 +1,8 @@
 r"""Chat formatting by relational operations on collected turn structs.
 
-Turns of a conversation are collected and sorted, adjacent turns of one role
-merge into a message, and messages are concatenated::
+Turns of a conversation are collected and sorted; an aggregation over the array
+merges adjacent turns of one role into a message and carries the length so far, which
+places the loss spans; messages are concatenated::
 
     <s>role\n[INST]text[/INST][INST]text of the same role[/INST]</s>\n
 
@@ -18,13 +19,18 @@ A conversation is one output string, so it has to fit into one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
 OPEN_MESSAGE, CLOSE_MESSAGE, OPEN_TEXT, CLOSE_TEXT = "<s>", "</s>", "[INST]", "[/INST]"
 LOSS_ROLE = "assistant"
+PART = 1024  # turns merged at a time
+_MESSAGES = "array<struct<role:string,texts:array<string>>>"
+_SPANS = "array<struct<start:bigint,length:bigint>>"
+_MESSAGE_START = len(OPEN_MESSAGE) + 1  # and its role
+_MESSAGE_END = len(CLOSE_MESSAGE) + 1
 _STEM = r"(</?s|\[/?INST)(\\*)"
 
 
@@ -36,47 +42,74 @@ def unescape(col: Column) -> Column:
     return F.regexp_replace(col, _STEM + r"\\([>\]])", "$1$2$3")
 
 
-def format_chats(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
+def _messages(turns: Column) -> Column:
+    """Adjacent turns of one role merged: struct<messages, length, spans> of an array of
+    turns. ``length`` is that of the output but for the end of its last message,
+    ``spans`` the places of the texts under the loss in it."""
+    start = F.struct(
+        F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("texts"), F.array().cast(_MESSAGES).alias("done"),
+        F.lit(0).cast("long").alias("length"), F.array().cast(_SPANS).alias("spans"),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        same, first = a["role"].eqNullSafe(x["role"]), a["role"].isNull()
+        whole = F.struct(a["role"].alias("role"), a["texts"].alias("texts"))
+        between = F.when(same, 0).otherwise(F.when(first, 0).otherwise(_MESSAGE_END) + _MESSAGE_START + F.length(x["role"]))
+        at = (a["length"] + between + len(OPEN_TEXT)).cast("long")
+        n = F.length(x["text"]).cast("long")
+        return F.struct(
+            x["role"].alias("role"),
+            F.when(same, F.concat(a["texts"], F.array(x["text"]))).otherwise(F.array(x["text"])).alias("texts"),
+            F.when(same | first, a["done"]).otherwise(F.concat(a["done"], F.array(whole))).alias("done"),
+            (at + n + len(CLOSE_TEXT)).alias("length"),
+            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct(at.alias("start"), n.alias("length"))))).otherwise(a["spans"]).alias("spans"),
+        )
+
+    last = lambda a: F.struct(a["role"].alias("role"), a["texts"].alias("texts"))
+    done = lambda a: F.struct(F.concat(a["done"], F.array(last(a))).alias("messages"), a["length"].alias("length"), a["spans"].alias("spans"))
+    return F.aggregate(turns, start, step, done)
+
+
+def _joined(parts: Column) -> Column:
+    """Merged parts of one conversation, put after each other."""
+    start = F.struct(F.array().cast(_MESSAGES).alias("messages"), F.lit(0).cast("long").alias("length"), F.array().cast(_SPANS).alias("spans"))
+
+    def step(a: Column, x: Column) -> Column:
+        own, more, n = a["messages"], x["messages"], F.size(a["messages"])
+        end, head = F.get(own, n - 1), F.get(more, F.lit(0))
+        same = (n > 0) & (end["role"] == head["role"])  # one message on both sides of the cut
+        one = F.struct(end["role"].alias("role"), F.concat(end["texts"], head["texts"]).alias("texts"))
+        shift = F.when(n == 0, 0).when(same, -_MESSAGE_START - F.length(head["role"])).otherwise(_MESSAGE_END)
+        at = (a["length"] + shift).cast("long")
+        spans = F.transform(x["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length")))
+        merged = F.concat(F.slice(own, F.lit(1), n - 1), F.array(one), F.slice(more, F.lit(2), F.size(more) - 1))
+        return F.struct(
+            F.when(same, merged).otherwise(F.concat(own, more)).alias("messages"),
+            (at + x["length"]).alias("length"),
+            F.concat(a["spans"], spans).alias("spans"),
+        )
+
+    return F.aggregate(parts, start, step)
+
+
+def format_chats(conversations: DataFrame, loss_role: str = LOSS_ROLE, part: int = PART) -> DataFrame:
     """(conv_id, formatted, loss_spans): the string of each conversation and the
     spans array<struct<start, length>> (code points, from 0) under the loss."""
-    rows = conversations.select(
-        "conv_id", "turn",
-        escape(text_or_empty(F.col("role"))).alias("role"),
-        escape(text_or_empty(F.col("text"))).alias("text"),
-        (text_or_empty(F.col("role")) == loss_role).alias("loss"),
-    )
-    # where each text starts in the output: running sums of the lengths, in the
-    # partitioning that the collection below uses as well
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    opens = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    rows = rows.withColumn("opens", opens)
-    ends = F.coalesce(F.lead("opens").over(order), F.lit(True))
-    head = F.when(F.col("opens"), F.length("role") + len(OPEN_MESSAGE) + 1).otherwise(0) + len(OPEN_TEXT)
-    tail = F.when(ends, len(CLOSE_MESSAGE) + 1).otherwise(0) + len(CLOSE_TEXT)
-    rows = rows.withColumn("head", head).withColumn("all", F.col("head") + F.length("text") + tail)
-    upto = F.sum("all").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("start", upto - F.col("all") + F.col("head"))
-    turn = F.struct("start", "turn", "role", "text", "loss", "opens")
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-
-    t, first = F.col("turns"), F.col("first")
-    turns = turns.withColumn(
-        "first", F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i)["opens"])
-    )
-    message = lambda at, k: F.struct(
-        F.get(t, at)["role"].alias("role"),
-        F.transform(F.slice(t, at + 1, F.coalesce(F.get(first, k + 1), F.size(t)) - at), lambda x: x["text"]).alias("texts"),
-    )
-    turns = turns.withColumn("messages", F.transform(first, message))
+    turn = F.struct("turn", text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"))
+    chats = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    safe = lambda x: F.struct(escape(x["role"]).alias("role"), escape(x["text"]).alias("text"), (x["role"] == loss_role).alias("loss"))
+    chats = chats.withColumn("turns", F.transform("turns", safe))
+    # appending copies an array: turns merge in parts, then the parts, so this stays small
+    cuts = F.sequence(F.lit(1), F.size("turns"), F.lit(part))
+    parts = F.transform(cuts, lambda at: _messages(F.slice(F.col("turns"), at, F.lit(part))))
+    chats = chats.withColumn("parts", parts)
+    chats = chats.withColumn("chat", _joined(F.col("parts")))
     string = lambda m: F.concat(
         F.lit(OPEN_MESSAGE), m["role"], F.lit("\n" + OPEN_TEXT), F.array_join(m["texts"], CLOSE_TEXT + OPEN_TEXT),
         F.lit(CLOSE_TEXT + CLOSE_MESSAGE + "\n"),
     )
-    spans = F.transform(
-        F.filter(t, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), F.length(x["text"]).cast("long").alias("length"))
-    )
-    return turns.select(
-        "conv_id", F.array_join(F.transform("messages", string), "").alias("formatted"), spans.alias("loss_spans")
+    return chats.select(
+        "conv_id", F.array_join(F.transform("chat.messages", string), "").alias("formatted"), F.col("chat.spans").alias("loss_spans")
     )
 
 

@@ -43,6 +43,26 @@ def test_nulls_ties_repeats_and_empty_table(spark):
     assert chat_format.format_chats(spark.createDataFrame([], CONV)).count() == 0
 
 
+def test_parts_of_every_size_give_one_result(spark):
+    roles = ["user", "user", "assistant", "assistant", "assistant", "tool"]
+    rows = [(k % 3, k, roles[(k * k + k // 7) % 6], f"<s>{k}" * (k % 4)) for k in range(90)] + [(5, k, "assistant", "x") for k in range(20)]
+    df = spark.createDataFrame(rows, CONV)
+    whole = {r.conv_id: (r.formatted, r.loss_spans) for r in chat_format.format_chats(df).collect()}
+    for part in (1, 2, 7):
+        assert {r.conv_id: (r.formatted, r.loss_spans) for r in chat_format.format_chats(df, part=part).collect()} == whole
+    for conv, (formatted, spans) in whole.items():
+        own = [r for r in rows if r[0] == conv]
+        got = [formatted[s.start : s.start + s.length].replace("<s\\>", "<s>") for s in spans]
+        assert got == [r[3] for r in own if r[2] == "assistant"]
+        assert formatted.count("</s>") == 1 + sum(a[2] != b[2] for a, b in zip(own, own[1:]))
+
+
+def test_merging_is_an_aggregation_of_arrays(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a")], CONV)
+    plan = chat_format.format_chats(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 def test_query_digest(spark, write):
     rows = [(k, t, "assistant" if t % 3 else "user", f"text {k} {t} [INST]" * (500 if t == 4 else 1)) for k in range(5) for t in range(400)]
     d = write("conversations", rows, CONV)
