@@ -4,11 +4,13 @@ A rule (verdict, host, path) fits its host and all subdomains where the url's
 path starts with the rule's; the longest wins. Other urls are judged by a
 multinomial naive Bayes over words: unigram Viterbi splits each host and path
 token into words (unigrams counted over the text of all pages), and the classes
-are learned from all urls that a rule decides. Each word has its own counts.
+are learned from all urls that a rule decides. Each word has its own counts, smoothed
+by one over the distinct words of these urls; words that none of them holds say nothing.
 
 The unigram table stays whole and in Spark. Each distinct token is segmented once:
 the distinct substrings of a part (a bounded number of tokens) are joined with the
-table, so a task holds the counts that its own tokens can use and no others. Urls
+table (of long words by their first letters), so a task holds the counts that its own
+tokens can use and few others. Urls
 are judged in parts as well, by the log odds of the tokens that occur in them.
 
 Defined cases: a NULL url or one without ``://`` has empty host and path and
@@ -22,7 +24,6 @@ from __future__ import annotations
 import math
 import re
 import string
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -33,12 +34,9 @@ from pyspark.sql import functions as F
 from .common import work_table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-# Former bounds, which nothing here reads: the brute force of the tests names them.
-VOCABULARY = 50_000
-LONGEST = 24
 PIECES = 1 << 18  # substrings of a part of the tokens, or those of one token
+START = 32  # longer words are looked up by their first letters, so no substring is longer
 LETTERS = 1 << 17  # size of a part of the urls: their characters and 64 for each
-BUCKETS = 1 << 16  # words that the smoothing reckons with: (n + 1) / (all + BUCKETS)
 ALLOW, BLOCK = "allow", "block"
 VERDICTS = (ALLOW, BLOCK)
 
@@ -75,7 +73,7 @@ def unigrams(html: Column, pages: DataFrame) -> tuple[DataFrame, int, list[int]]
 def tokens_of(host: str, path: str) -> list[str]:
     """Tokens of a host (``h:``) and path (``p:``); every run of digits is ``#``."""
     return [
-        kind + ("#" if token[0].isdigit() else token)
+        kind + ("#" if token[0].isdecimal() else token)
         for kind, text in (("h:", host), ("p:", path.lower()))
         for token in re.findall(r"\d+|[^\W\d_]+", text)
     ]
@@ -138,7 +136,8 @@ def _parts(size: Callable[[pa.RecordBatch], list[int]], most: int):
 
 
 def _pieces(lengths: list[int]):
-    """(part, piece): substrings of a part's tokens that have the length of a word."""
+    """(part, piece): substrings of a part's tokens that have the length of a word or
+    of its start; about ``PIECES`` of them are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         def rows():
@@ -148,11 +147,12 @@ def _pieces(lengths: list[int]):
         for batch in batches:
             for token, at in zip(batch.column("token").to_pylist(), batch.column("part").to_pylist(), strict=True):
                 for n in lengths:
-                    if held and (at != part or len(held) > PIECES):
-                        yield rows()
-                        held = set()
-                    part = at
-                    held.update(token[k : k + n] for k in range(len(token) - n + 1))
+                    for first in range(0, len(token) - n + 1, PIECES):
+                        if held and (at != part or len(held) > PIECES):
+                            yield rows()
+                            held = set()
+                        part = at
+                        held.update(token[k : k + n] for k in range(first, min(first + PIECES, len(token) - n + 1)))
         if held:
             yield rows()
 
@@ -170,20 +170,16 @@ def _segments(total: int):
 
 def segments(tokens: DataFrame, counts: DataFrame, total: int, lengths: list[int]) -> DataFrame:
     """(text, words): the segmentation of every distinct token (column ``token``)."""
+    lengths = sorted({min(n, START) for n in lengths})
     size = lambda batch: [1 + len(t) * len(lengths) for t in batch.column("token").to_pylist()]
     tokens = work_table(tokens.distinct().mapInArrow(_parts(size, PIECES), "token string, part long"), "tokens")
     pieces = tokens.mapInArrow(_pieces(lengths), "part long, piece string")
-    known = pieces.join(counts, F.col("piece") == F.col("word")).select("part", "word", "n")
+    known = pieces.join(counts, F.col("piece") == F.substring("word", 1, START)).select("part", "word", "n")
     found = tokens.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_segments(total), "text string, words array<string>")
     return work_table(found, "segments")
 
 
 # -- naive Bayes -----------------------------------------------------------
-def _bucket(word: str) -> int:
-    """Former hash of a word, read by the tests only."""
-    return zlib.crc32(word.encode()) % BUCKETS
-
-
 def _uses(batches: Iterator[pa.RecordBatch]):
     """(part, token, verdict, n): how often a part's urls of a verdict (NULL: still open) hold a token."""
     for batch in batches:
@@ -207,8 +203,10 @@ def learn(uses: DataFrame, split: DataFrame) -> DataFrame:
     words = words.withColumn("word", F.concat(F.substring("token", 1, 2), "word"))
     words = work_table(words, "url-words")
     counts = work_table(words.groupBy(F.col("word").alias("of")).agg(*[F.sum(v).alias(v) for v in VERDICTS]), "word-counts")
-    sums = counts.agg(*[F.sum(v).alias(v) for v in VERDICTS]).first()
-    share = lambda verdict: F.log((F.col(verdict) + 1) / F.lit(float((sums[verdict] or 0) + BUCKETS)))
+    counts = counts.where((F.col(ALLOW) > 0) | (F.col(BLOCK) > 0))
+    sums = counts.agg(*[F.sum(v).alias(v) for v in VERDICTS], F.count(F.lit(1)).alias("words")).first()
+    # add-one smoothing over the distinct words of the urls that a rule decides
+    share = lambda verdict: F.log((F.col(verdict) + 1) / F.lit(float((sums[verdict] or 0) + sums["words"])))
     odds = counts.select("of", (share(BLOCK) - share(ALLOW)).alias("odds"))
     return words.select("token", "word").join(odds, F.col("word") == F.col("of")).groupBy("token").agg(F.collect_list("odds").alias("odds"))
 
@@ -219,7 +217,7 @@ def _judge(prior: float):
         verdicts = []
         for host, path in zip(urls["host"].to_pylist(), urls["path"].to_pylist(), strict=True):
             # fsum: the order of a token's odds does not matter
-            score = math.fsum([prior, *[x for t in tokens_of(host, path) for x in odds[t]]])
+            score = math.fsum([prior, *[x for t in tokens_of(host, path) for x in odds.get(t, ())]])
             verdicts.append(BLOCK if score > 0 else ALLOW)
         return urls.select(["page_id", "host", "path", "rule"]).append_column("verdict", pa.array(verdicts, pa.string()))
 

@@ -1,6 +1,8 @@
 import math
 import re
+import zlib
 from collections import Counter
+from functools import cache
 
 from pyspark.sql import functions as F
 
@@ -29,32 +31,41 @@ def brute(pages):
         text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html or "")
         counts.update(re.findall(r"[^\W\d_]+", text.lower()))
     total = max(1, sum(counts.values()))
-    vocabulary = dict(sorted(((w, n) for w, n in counts.items() if len(w) <= url_filter.LONGEST), key=lambda x: (-x[1], x[0]))[: url_filter.VOCABULARY])
 
     def cost(w):
-        return math.log(total / vocabulary[w]) if w in vocabulary else math.log(total) + len(w) * math.log(10)
+        return math.log(total / counts[w]) if w in counts else math.log(total) + len(w) * math.log(10)
 
+    @cache
     def segment(token):
-        best = [(0.0, ())]
+        """Every start of every word is tried; one run of letters only in place of long ones."""
+        if len(token) > 500 and not any(w in token for w in counts):
+            return (token,)
+        best, back = [0.0], [0]
         for end in range(1, len(token) + 1):
-            best.append(min((best[a][0] + cost(token[a:end]), best[a][1] + (token[a:end],)) for a in range(max(0, end - url_filter.LONGEST), end)))
-        return best[-1][1]
+            least = min((best[a] + cost(token[a:end]), a) for a in range(end))
+            best.append(least[0])
+            back.append(least[1])
+        out, at = (), len(token)
+        while at:
+            out, at = (token[back[at] : at], *out), back[at]
+        return out
 
     def words(host, path):
-        return [k + w for k, text in (("h:", host), ("p:", path.lower())) for t in re.findall(r"\d+|[^\W\d_]+", text) for w in (("#",) if t[0].isdigit() else segment(t))]
+        return [k + w for k, text in (("h:", host), ("p:", path.lower())) for t in re.findall(r"\d+|[^\W\d_]+", text) for w in (("#",) if t[0].isdecimal() else segment(t))]
 
     urls = {i: (*parts(u), *rule(*parts(u))) for i, u, _ in pages}
     seen, prior = {"allow": Counter(), "block": Counter()}, Counter(v for *_, v in urls.values() if v)
     for host, path, _, verdict in urls.values():
         if verdict:
-            seen[verdict].update(map(url_filter._bucket, words(host, path)))
+            seen[verdict].update(words(host, path))
 
     def judge(host, path):
         if not prior["allow"] or not prior["block"]:
             return "block" if prior["block"] else "allow"
         odds = math.log(prior["block"] / prior["allow"])
-        for b in map(url_filter._bucket, words(host, path)):
-            block, allow = ((seen[v][b] + 1) / (sum(seen[v].values()) + url_filter.BUCKETS) for v in ("block", "allow"))
+        known = seen["allow"] | seen["block"]
+        for w in filter(known.__contains__, words(host, path)):
+            block, allow = ((seen[v][w] + 1) / (sum(seen[v].values()) + len(known)) for v in ("block", "allow"))
             odds += math.log(block / allow)
         return "block" if odds > 0 else "allow"
 
@@ -119,15 +130,29 @@ def test_words_of_every_frequency_and_length_reach_the_segmenter(spark, monkeypa
         assert split == {rare[7] + rare[59_999]: [rare[7], rare[59_999]], long + "shop": [long, "shop"], "q" * 3000: ["q" * 3000]}
 
 
+def test_long_words_and_marks_that_are_no_digits(spark):
+    """Words longer than the letters they are looked up by, two of one start; superscripts are no digits."""
+    a, b = "q" * 40 + "ab", "q" * 40 + "cd"
+    pages = [(0, None, f"{a} {a} {b} shop"), (1, f"http://{a}shop.net/", None), (2, "http://shop.org/fr/", None),
+             (3, f"http://{b}{a}.test/\u00b2abc", None), (4, f"http://shop{'z' * 90}{a}.test/7\u0663", None)]
+    df = spark.createDataFrame(pages, PAGES)
+    assert got(url_filter.judge(df)) == brute(pages)
+    tokens = spark.createDataFrame([(b + a,), (a + "shop",)], "token string")
+    split = {r.text: r.words for r in url_filter.segments(tokens, *url_filter.unigrams(F.col("html"), df)).collect()}
+    assert split == {b + a: [b, a], a + "shop": [a, "shop"]}
+    assert url_filter.tokens_of("\u00b2abc", "/7\u0663x") == ["h:\u00b2abc", "p:#", "p:x"]
+
+
 def test_words_of_one_hash_have_their_own_counts(spark):
     """Two words that share a bucket of crc32: only one of them was blocked."""
     first, blocked, other = {}, None, None
     for k in range(1 << 16):
         word = "".join("bcdfghjklmnpqrst"[k >> s & 15] for s in (0, 4, 8, 12))
-        if url_filter._bucket("h:" + word) in first:
-            blocked, other = first[url_filter._bucket("h:" + word)], word
+        bucket = zlib.crc32(b"h:" + word.encode()) % (1 << 16)
+        if bucket in first:
+            blocked, other = first[bucket], word
             break
-        first[url_filter._bucket("h:" + word)] = word
+        first[bucket] = word
     urls = [f"http://{blocked}.net/"] * 2 + ["http://plain.org/fr/"] * 3 + [f"http://{blocked}.test/", f"http://{other}.test/"]
     out = got(url_filter.judge(spark.createDataFrame([(k, u, "some page") for k, u in enumerate(urls)], PAGES)))
     assert [out[k][3] for k in range(7)] == ["block"] * 2 + ["allow"] * 3 + ["block", "allow"]
