@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -46,15 +47,14 @@ MAGIC = b"rANS"
 HEADER = struct.Struct("<4sIIIIIIII")  # magic, ids, lanes, rows of a span, spans, words, CRC-32 of table, of ids, of the rest
 
 CACHED = 1_000_000  # segments whose ids a worker keeps at most
-SLICE = 1 << 20  # characters of a text that are split at a time
+SLICE = 1 << 22  # characters that are split at a time
 
 
 # -- tokens ------------------------------------------------------------------
 class Tokens:
     """Ids of texts. No token reaches across a space that follows other than white
-    space, so texts are split there, and the ids of each segment are kept. A new segment
-    is put together from its parts, which are kept as well; new parts are encoded in one
-    string, which the lengths of its tokens take apart again."""
+    space, so texts are split there, and the ids of each segment are kept. New segments
+    are encoded in one string, which the lengths of its tokens take apart again."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,7 +67,6 @@ class Tokens:
         self.sizes = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)  # a character of a byte-level token is a byte
-        self.parts: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}  # segments without the space before them
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -88,33 +87,30 @@ class Tokens:
         raw, w, cuts = ids.astype(f"<u{self.width}").tobytes(), self.width, cuts.tolist()
         return [raw[w * a : w * b] for a, b in zip([0, *cuts], cuts)]
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        """The ids of segments."""
-        words, parts = [], {}
-        for s in new:
-            if s[1:].isalnum() and s[0] == " ":  # most
-                words.append(s)
-            else:
-                parts[s] = _PART.findall(s) if _SAFE.fullmatch(s) else [s]
-        need = {p for own in parts.values() for p in own}
-        todo = need - self.parts.keys()
-        alone = [p for p in todo if not p or p[-1].isspace() or p[0].isspace() and p[0] != " "]
-        first = [p for p in todo.difference(alone) if p[0] != " "]
-        joined = list(todo.difference(alone, first).union(words))
-        ids = dict(zip(joined, self._encode_joined(joined), strict=True))
-        # a line break before a part is a token of its own
-        ids.update((p, own[self.width :]) for p, own in zip(first, self._encode_joined(["\n" + p for p in first]), strict=True))
+    def _firsts(self, new: list[str]) -> list[bytes]:
+        """The ids of the first segments of texts. A line break before one that begins
+        with other than white space is a token of its own."""
+        joined = [s for s in new if s and not s[0].isspace() and not s[-1].isspace()]
+        ids = {s: own[self.width :] for s, own in zip(joined, self._encode_joined(["\n" + s for s in joined]), strict=True)}
+        alone = list(set(new) - ids.keys())
         ids.update(zip(alone, self._encode(alone), strict=True))
-        kept = self.parts
-        out = [b"".join([ids[p] if p in ids else kept[p] for p in parts[s]]) if s in parts else ids[s] for s in new]
-        if len(kept) + len(todo) > CACHED:
-            kept.clear()
-        kept.update((p, ids[p]) for p in todo)
+        return [ids[s] for s in new]
+
+    def _others(self, new: list[str]) -> list[bytes]:
+        """The ids of segments that begin with a space."""
+        alone = [k for k, s in enumerate(new) if s[-1].isspace()]
+        if not alone:
+            return self._encode_joined(new)
+        out = [b""] * len(new)
+        joined = [k for k, s in enumerate(new) if not s[-1].isspace()]
+        for some, encode in ((alone, self._encode), (joined, self._encode_joined)):
+            for k, ids in zip(some, encode([new[k] for k in some]), strict=True):
+                out[k] = ids
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, little-endian."""
-        held: list[list[str]] = []
+        held: list[str] = []
         size = 0
         for text in texts:
             if len(text) > SLICE:
@@ -122,52 +118,57 @@ class Tokens:
                 held, size = [], 0
                 yield b"".join(b"".join(self._flush([part])) for part in slices(text))
                 continue
-            held.append(segments(text))
+            held.append(text)
             size += len(text)
             if size > SLICE:
                 yield from self._flush(held)
                 held, size = [], 0
         yield from self._flush(held)
 
-    def _flush(self, held: list[list[str]]) -> list[bytes]:
-        firsts = self._learn([own.pop(0) for own in held])
-        found = [list(map(self.later.get, own)) for own in held]
-        gaps = [[k for k, ids in enumerate(row) if ids is None] for row in found]
-        new = list({own[k] for own, gap in zip(held, gaps, strict=True) for k in gap})
-        ids = dict(zip(new, self._learn([" " + s for s in new]), strict=True))
-        for own, row, gap in zip(held, found, gaps, strict=True):
-            for k in gap:
-                row[k] = ids[own[k]]
-        if sum(map(len, gaps)) > sum(map(len, held)) / 2:  # other texts than before
+    def _flush(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts: each different segment is looked up once, and the ids
+        of all segments are gathered in Arrow."""
+        if not texts or any(_MARK in t for t in texts):  # a text holds the mark itself
+            return self._encode(texts)
+        split = pc.split_pattern(pa.array([marked(t) for t in texts], pa.large_string()), _MARK)
+        bounds = split.offsets.to_numpy()
+        firsts = self._firsts(split.values.take(pa.array(bounds[:-1])).to_pylist())
+        coded = split.values.dictionary_encode()
+        own, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.later.get, own))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        ids = self._others([" " + own[k] for k in gaps])
+        for k, new in zip(gaps, ids, strict=True):
+            found[k] = new
+        uses = np.bincount(places, minlength=len(own))
+        if uses[gaps].sum() > len(places) / 2:  # other texts than before
             self.later.clear()
-        if len(self.later) + len(ids) <= CACHED:  # what is kept when it is full is most of what comes
-            self.later.update(ids)
-        return [first + b"".join(row) for first, row in zip(firsts, found, strict=True)]
+        if len(self.later) + len(gaps) <= CACHED:  # what is kept when it is full is most of what comes
+            self.later.update(zip([own[k] for k in gaps], ids, strict=True))
+        rows = pa.array(found, pa.large_binary()).take(coded.indices)
+        at, raw = np.frombuffer(rows.buffers()[1], np.int64), memoryview(rows.buffers()[2] or b"")
+        return [first + raw[x:y] for first, x, y in zip(firsts, at[bounds[:-1] + 1].tolist(), at[bounds[1:]].tolist(), strict=True)]
 
 
 # A text is cut at a space that follows other than white space, which is left out;
 # a run of white space is never cut.
 _BREAK = re.compile(r"(?<=[^\s\x1c-\x1f]) ")
+_MARK = "\0"
 _RUN = re.compile(r"[\s\x1c-\x1f] ")
-# Segments of which each part has its own tokens: between letters or digits, other
-# marks and single line breaks there is always a cut, but at an apostrophe.
-_SAFE = re.compile(r" ?(?:[^\W_]+|[^\w\s\x1c-\x1f']+|\n(?=[^\s\x1c-\x1f]))+")
-_PART = re.compile(r" ?[^\W_]+| ?[^\w\s\x1c-\x1f']+|\n")
-
 
-def segments(text: str) -> list[str]:
-    """The text cut at each space that follows other than white space; all segments
-    but the first begin with such a space, which is left out."""
-    return _BREAK.split(text) if text.startswith(" ") or _RUN.search(text) else text.split(" ")
+def marked(text: str) -> str:
+    """The text with a mark in place of each space that follows other than white space.
+    All segments between marks but the first begin with such a space, which is left out."""
+    return _BREAK.sub(_MARK, text) if text.startswith(" ") or _RUN.search(text) else text.replace(" ", _MARK)
 
 
-def slices(text: str) -> Iterator[list[str]]:
-    """The segments of a long text, some ``SLICE`` characters at a time."""
+def slices(text: str) -> Iterator[str]:
+    """A long text cut between segments, some ``SLICE`` characters at a time."""
     at = 0
     while at < len(text):
         cut = _BREAK.search(text, at + SLICE) if at + SLICE < len(text) else None
         end = cut.start() if cut else len(text)
-        yield segments(text[at:end])  # the next slice begins with the space
+        yield text[at:end]  # the next slice begins with the space
         at = end
 
 

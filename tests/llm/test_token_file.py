@@ -49,6 +49,17 @@ def test_segments_have_the_ids_of_the_whole_text(reference):
         assert np.frombuffer(raw, "<u2").tolist() == reference(text), repr(text[:60])
 
 
+def test_random_texts_have_the_ids_of_the_library(reference):
+    """White space, marks and letters in any order; a batch in which a text holds the mark of the splits, too."""
+    rng = np.random.default_rng(7)
+    letters = list("aabeS1' \n\t.,&  \r") + ["'s", "\u00e9", "\u00a0", "\u2003", "\x1c", "\x85", "\u200b", "\U0001f389", "</s>", " the", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)]
+    tokens = token_file.Tokens(token_file.VOCABULARY)
+    for batch in (texts[:1500], [*texts[1500:1600], "a\0 b  \0c"], texts[1600:], ["only"], [""]):
+        for raw, text in zip(tokens.encode(batch), batch, strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == reference(text), repr(text)
+
+
 def test_long_texts_are_split_in_slices(reference, monkeypatch):
     monkeypatch.setattr(token_file, "SLICE", 50)
     tokens = token_file.Tokens(token_file.VOCABULARY)
