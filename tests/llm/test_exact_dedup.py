@@ -35,6 +35,15 @@ def test_groups_equal_brute_force(spark):
     assert {r.doc_id for r in out if r.kept} == {r.keep_id for r in out}
 
 
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choices("abcdefgh é\n", k=5_000_000))
+    assert len(text) > exact_dedup.SLICE
+    rows = rows_of(enumerate([text, text, text + "!", "!" + text, text[:-1], "short", text]))
+    out = exact_dedup.groups(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == brute(rows)
+
+
 def test_a_weak_digest_is_found_out(spark):
     """A digest that stands for two chunks is not an identifier: the next one is taken."""
     rows = rows_of(sample())

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -48,6 +49,49 @@ def test_held_out_accuracy_and_contract(spark):
     assert right / len(unseen) > 0.95
 
 
+def brute_features(text, declared):
+    """{slot: value} of a document, from the definitions."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), raw.split(b"\n")
+    n, size = max(1, len(words)), max(1, len(raw))
+    some = lambda chars: sum(c in chars for c in raw)
+    upper, digits = set(range(65, 91)), set(b"0123456789")
+    letters = max(1, some(upper | set(range(97, 123)) | set(range(128, 256))))
+    symbols = {c for c in range(33, 127) if not chr(c).isalnum()} - set(b".,;:?!|'\"-()")
+    times = {w: words.count(w) for w in set(words)}
+    sizes = [len(words), len(lines)]
+    shares = [
+        len(times) / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(times.values(), default=0) / n, 1 - len(set(lines)) / len(lines),
+        some(symbols) / size, raw.count(b"|") / n, raw.count(b"!") / n, some(set(b".,;:?")) / n, some(digits) / size, some(upper) / letters, some({0xC3, 0xE2}) / size,
+    ]
+    log_bin = lambda x: min(15, int(math.log2(1 + x)))
+    slots = [*map(log_bin, [*sizes, 4 * size / n]), *[sum(x > end for end in quality_fm.SHARE_BINS) for x in shares]]
+    slots += [15 if declared is None else log_bin(max(0, declared)), 2 if declared is None else int(declared != len(text or ""))]
+    hashed = {}
+    for w in words:
+        at = zlib.crc32(w.lower()) % (1 << 13)
+        hashed[at] = hashed.get(at, 0) + 1
+    norm = max(1e-6, math.sqrt(sum(hashed.values())))
+    return {at: math.sqrt(k) / norm for at, k in hashed.items()} | {(1 << 13) + 16 * k + slot: 0.5 for k, slot in enumerate(slots)}
+
+
+def test_every_score_equals_the_double_sum_over_pairs(spark):
+    """The whole query on a whole table: features from their definitions, pairs one by one."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    m = quality_fm.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = {}
+    for r in docs.collect():
+        found = brute_features(r.text, r.n_chars)
+        index, value = list(found), np.array(list(found.values()))
+        v = m.factors[index].astype(np.float64)
+        pairs = np.triu((v @ v.T) * np.outer(value, value), 1).sum()
+        want[r.doc_id] = 1 / (1 + math.exp(-(m.bias + m.linear[index] @ value + pairs)))
+    got = {r.doc_id: r.score for r in queries.op1_quality_fm(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
 def toy(rng, n=400):
     good = [" ".join(rng.choice(["sun", "sea", "hill", "rain"]) for _ in range(20)) + "." for _ in range(n)]
     rows = [(k, t if k % 4 else t.replace(" ", " | "), "en", "s", len(t)) for k, t in enumerate(good)]

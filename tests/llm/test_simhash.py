@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -45,6 +46,22 @@ def test_query_equals_brute_force(spark):
     assert len(rows) == len(texts)
 
 
+def test_texts_of_many_megabytes(spark):
+    rng = random.Random(6)
+    words = [f"Word{rng.randrange(10**6)}" for _ in range(500_000)]
+    texts = {1: " ".join(words), 2: "\t".join(words[:-1]) + " last", 3: " ".join(reversed(words)), 4: "short text"}
+    assert len(texts[1]) > 4 << 20
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCS)
+    prints = {}
+    for i, t in texts.items():
+        own = t.lower().encode().split()
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(own[k : k + 3]), 42) for k in range(max(1, len(own) - 2))], np.uint64)
+        prints[i] = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    parts = brute_components(prints)
+    out = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in out} == {i: (f"{prints[i]:016x}", parts[i]) for i in texts}
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_links_of_random_clusters(spark, block):
     """Chains and balls around shared centres; crowded cells are dealt as block pairs."""
