@@ -40,7 +40,17 @@ DIGESTS: tuple[Callable[[bytes], bytes], ...] = (
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
-    """Positions after which the hash of the 16 bytes before asks for a cut."""
+    """Positions after which the hash of the 16 bytes before asks for a cut; worked out
+    for ``SLICE`` bytes at a time, as it takes many times their memory."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(data), SLICE):
+        first = max(0, at - 15)
+        cuts = first + _slice_cuts(data[first : at + SLICE])
+        found.append(cuts[cuts > at])
+    return np.concatenate(found)
+
+
+def _slice_cuts(data: np.ndarray) -> np.ndarray:
     h = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
     h ^= h >> np.uint32(15)
     factor, width = 0x85EBCA6B, 1

@@ -67,6 +67,15 @@ def test_repeated_rows_nulls_and_empty_tables(spark):
     assert exact_dedup.groups(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
 
 
+def test_cuts_do_not_depend_on_slices(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 123, 150_000).astype(np.uint8)
+    whole = exact_dedup.cut_points(data).tolist()
+    assert len(whole) > 40
+    for size in (whole[3], whole[5] - 1, whole[7] + 1, 1_000):  # cuts at, before and after the end of a slice
+        monkeypatch.setattr(exact_dedup, "SLICE", size)
+        assert exact_dedup.cut_points(data).tolist() == whole
+
+
 def test_chunks_depend_on_content_alone():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 123, 200_000).astype(np.uint8)
