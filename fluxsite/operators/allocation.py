@@ -1,12 +1,15 @@
 """Enrichment, area-ratio allocation, pricing and per-building intensity.
 
-State and occupancy are attached to the meter rows in one left join on the
-building code. Both are small tables of buildings and units, brought together
-first. Catalyst broadcasts them when their estimated size is under
-``spark.sql.autoBroadcastJoinThreshold`` (AQE: when their measured size is);
-beyond it the join is a sort-merge join whose two inputs are fresh exchanges
-with nothing above that needs a building's rows together, so AQE splits the
-partition of a hot building, and of no other.
+State and occupancy are attached to the meter rows in two left joins on the
+building code. The state, a row or two a building, comes first. The occupancy
+multiplies the rows, by the units of a building, so the work lies behind that
+join and not in what it reads: AQE, which goes by bytes read, would leave all of
+it to a few tasks. The rows are therefore spread by meter over a given number of
+tasks before it (``spread``). Catalyst broadcasts the occupancy when its estimated
+size is under ``spark.sql.autoBroadcastJoinThreshold`` (AQE: when its measured size
+is), and each task then multiplies its own meters. Beyond that size the join is a
+sort-merge join whose two inputs are fresh exchanges with nothing above that needs
+a building's rows together, so AQE splits the partition of a hot building.
 """
 
 from __future__ import annotations
@@ -59,24 +62,21 @@ def conso_state(rows: DataFrame, state: DataFrame) -> DataFrame:
     return null_safe_left_join(rows, state_dimension(state))
 
 
-def conso_occupancy(rows: DataFrame, occ: DataFrame) -> DataFrame:
-    """Meter rows x occupying units (left, many-to-many on num_bat)."""
-    return null_safe_left_join(rows, occupancy_dimension(occ))
+def spread(rows: DataFrame) -> DataFrame:
+    """Meter rows dealt evenly over as many tasks as shuffles have partitions; AQE
+    keeps a number of partitions that is asked for."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "resource", "ordinal")
 
 
-def building_dimensions(state: DataFrame, occ: DataFrame) -> DataFrame:
-    """Every combination of a building's state and occupancy rows; a building
-    with only one of them keeps its rows (column ``_nb`` is the building)."""
-    st, oc = state_dimension(state).withColumnRenamed("num_bat", "_sb"), occupancy_dimension(occ).withColumnRenamed("num_bat", "_ob")
-    both = st.withColumn("_s", F.lit(True)).join(oc, st["_sb"].eqNullSafe(oc["_ob"]), "full")
-    return both.withColumn("_nb", F.when(F.col("_s"), F.col("_sb")).otherwise(F.col("_ob"))).drop("_s", "_sb", "_ob")
+def conso_occupancy(rows: DataFrame, occ: DataFrame) -> DataFrame:
+    """Meter rows x occupying units (left, many-to-many on num_bat)."""
+    return null_safe_left_join(spread(rows), occupancy_dimension(occ))
 
 
 def with_dimensions(rows: DataFrame, state: DataFrame, occ: DataFrame) -> DataFrame:
-    """Meter rows x state x occupancy: the two left joins of ``conso_state`` and
-    ``conso_occupancy`` as one (a building's rows meet every combination)."""
-    dims = building_dimensions(state, occ)
-    return rows.join(dims, rows["num_bat"].eqNullSafe(dims["_nb"]), "left").drop("_nb")
+    """Meter rows x state x occupancy (a building's rows meet every combination)."""
+    return conso_occupancy(conso_state(rows, state), occ)
 
 
 def allocate(enriched: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:

@@ -73,16 +73,20 @@ class Analysis:
         cfg: AnalysisConfig = AnalysisConfig(),
         years: dict | None = None,
         workdir: str | None = None,
+        beside: Callable[[DataFrame], DataFrame] | None = None,
     ):
         """``workdir``: a shared folder (e.g. ``spark.checkpoint.dir``) where what
         several tables need is written once, in a folder of this run's own that
         ``cleanup`` deletes: the sheets' rows and the allocated rows by resource, the
         building state, the occupancy and the building statistics. The eight tables then
         read each input file once, a lost executor does not replay the room and meter
-        aggregations, and Catalyst knows the real sizes."""
+        aggregations, and Catalyst knows the real sizes.
+        ``beside``: adds columns, each a function of its row, to the meter rows and to the
+        occupancy of the enriched tables before their join multiplies them."""
         self.inputs = inputs
         self.cfg = cfg
         self._years = years
+        self._beside = beside or (lambda df: df)
         self.workdir = f"{shared_folder(inputs.state.sparkSession, workdir)}/run-{uuid.uuid4().hex}" if workdir else None
 
     def _materialize(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
@@ -187,7 +191,7 @@ class Analysis:
     def _allocated(self, rows: DataFrame, held: dict[str, list[str]]) -> DataFrame:
         rows = self._checked(M.export_rows(rows, held, self.cfg, self.code_map, coded=False))
         rows = M.drop_excluded(rows, self.cfg)
-        return A.allocate(A.with_dimensions(rows, self.state, self.occupancy), self.cfg)
+        return A.allocate(A.with_dimensions(self._beside(rows), self.state, self._beside(self.occupancy)), self.cfg)
 
     @cached_property
     def sheet_years(self) -> dict[str, list[int]]:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -45,6 +45,13 @@ from fluxsite.sources.sheets import apply_na_tokens, named, read_sheet
 FLAGSHIP = "by_unit"
 
 
+def _to_whole(x: Column) -> Column:
+    """``round(x, 0)``, half away from zero. Spark's goes over the decimal text of each
+    number, which took most of the time of the queries with many rows."""
+    near = F.rint(x)  # half to even; the distance to it is exact
+    return F.when(F.abs(x - near) == 0.5, x + F.signum(x) * 0.5).otherwise(near) + F.lit(0.0)  # no -0.0
+
+
 def round4(df: DataFrame) -> DataFrame:
     """Round every double column to 4 decimals, half away from zero.
 
@@ -55,29 +62,51 @@ def round4(df: DataFrame) -> DataFrame:
     is a column of its own and NaN is shown as NULL beside it."""
     cols, kinds = [], []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        if f.name.startswith((AS_SHOWN, AS_KIND)):
+            continue
+        c = named(f.name)
         if isinstance(f.dataType, DoubleType):
-            kinds.append(
-                F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(c == float("inf"), "inf")
-                .when(c == float("-inf"), "-inf").otherwise("num").alias(S.kind_column(f.name))
-            )
-            snapped = F.round(F.nanvl(c, F.lit(None).cast("double")) * F.lit(1e9), 0) / F.lit(1e9)
-            c = F.round(snapped * F.lit(10000.0), 0) / F.lit(10000.0)
+            ready = AS_SHOWN + f.name in df.columns
+            kinds.append((named(AS_KIND + f.name) if ready else _kind(c)).alias(S.kind_column(f.name)))
+            c = named(AS_SHOWN + f.name) if ready else _shown(c)
         cols.append(c.alias(f.name))
     return df.select(*cols, *kinds)
 
 
+def _kind(c: Column) -> Column:
+    return (
+        F.when(c.isNull(), "null").when(F.isnan(c), "nan").when(c == float("inf"), "inf")
+        .when(c == float("-inf"), "-inf").otherwise("num")
+    )
+
+
+def _shown(c: Column) -> Column:
+    snapped = _to_whole(F.nanvl(c, F.lit(None).cast("double")) * F.lit(1e9)) / F.lit(1e9)
+    return _to_whole(snapped * F.lit(10000.0)) / F.lit(10000.0)
+
+
+AS_SHOWN, AS_KIND = "_shown_", "_kind_"
+
+
+def with_shown(df: DataFrame) -> DataFrame:
+    """``df`` with what ``round4`` makes of its double columns beside them. Rows that a
+    join multiplies are rounded before it, once each; and the code of the rounding of all
+    columns of a wide table in one projection would be too long for the JVM to compile."""
+    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
+    return df.select("*", *[_shown(named(c)).alias(AS_SHOWN + c) for c in doubles], *[_kind(named(c)).alias(AS_KIND + c) for c in doubles])
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(B.inputs(spark, sf_dir))
 
 
-def sheet_analysis(spark: SparkSession, sf_dir: str, workdir: str | None = None) -> Analysis:
+def sheet_analysis(spark: SparkSession, sf_dir: str, workdir: str | None = None, beside: Callable | None = None) -> Analysis:
     """The analysis over wide sheets, as the workbooks give them: each sheet has its
     own year and variation columns."""
     sheets = _sheets(spark, sf_dir)
     wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("resource", F.lit(r)) for r, df in sheets.items()])
     held = {r: [c for c in df.columns if c not in ("ordinal", "batiment")] for r, df in sheets.items()}
-    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=held), workdir=workdir)
+    return Analysis(replace(B.inputs(spark, sf_dir), wide=wide, held=held), workdir=workdir, beside=beside)
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -289,29 +318,29 @@ def q_allocate_cost(spark, d):
 
 
 def q_export_enriched(spark, d):
-    e = sheet_analysis(spark, d).enriched_wide
+    e = sheet_analysis(spark, d, beside=with_shown).enriched_wide
     own = [c for c in e.columns if c.startswith("Evol_") or c.endswith("_conso") and c[:4].isdigit()]
-    return e.select("resource", "ordinal", "num_bat", "Unite", "metrage_unite", *own, "derniere_conso", "cout")
+    return e.select("resource", "ordinal", "num_bat", "Unite", "metrage_unite", *own, "derniere_conso", "cout", *[c for c in e.columns if c.startswith((AS_SHOWN, AS_KIND))])
 
 
 def q_enriched_elec(spark, d):
-    return sheet_analysis(spark, d).tables()["enriched_elec"]
+    return sheet_analysis(spark, d, beside=with_shown).enriched_table("elec")
 
 
 def q_enriched_gaz(spark, d):
-    return sheet_analysis(spark, d).tables()["enriched_gaz"]
+    return sheet_analysis(spark, d, beside=with_shown).enriched_table("gaz")
 
 
 def q_enriched_eau(spark, d):
-    return sheet_analysis(spark, d).tables()["enriched_eau"]
+    return sheet_analysis(spark, d, beside=with_shown).enriched_table("eau")
 
 
 def q_enriched_fod(spark, d):
-    return sheet_analysis(spark, d).tables()["enriched_fod"]
+    return sheet_analysis(spark, d, beside=with_shown).enriched_table("fod")
 
 
 def q_enriched_reseau(spark, d):
-    return sheet_analysis(spark, d).tables()["enriched_reseau"]
+    return sheet_analysis(spark, d, beside=with_shown).enriched_table("reseau")
 
 
 def q_published_run(spark, d):

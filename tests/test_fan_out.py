@@ -1,0 +1,52 @@
+"""The join of meters and units: its work is spread by meter, its columns rounded before it."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from fluxsite.operators import allocation as A
+from fluxsite.plans import catalog
+
+NAN, INF = float("nan"), float("inf")
+
+
+def one_building(spark):
+    meters = spark.range(400).select(F.lit("gaz").alias("resource"), F.col("id").alias("ordinal"), F.lit("0001").alias("num_bat"), F.col("id").cast("double").alias("derniere_conso"))
+    units = spark.range(50).select(F.lit("Site").alias("Site"), F.lit("0001").alias("num_bat"), F.col("id").cast("string").alias("Unite"))
+    state = spark.createDataFrame([("Site", "0001", "Bon", 1)], "Site string, num_bat string, etat_energie string, ordinal long")
+    return meters, state, units
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_one_building_makes_many_even_tasks(spark, threshold):
+    """AQE would read so few bytes in one task, whatever they become."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        found = A.with_dimensions(*one_building(spark))
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 400 * 50 and found.select("ordinal", "Unite").distinct().count() == 400 * 50
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    if threshold != "-1":  # beyond the threshold AQE goes by the bytes of the sort-merge join
+        assert len(sizes) > n / 2 and max(sizes) < 4 * 400 * 50 / n
+
+
+def test_to_whole_is_round(spark):
+    edges = [None, NAN, INF, -INF, 0.0, -0.0, 0.3, 0.5, 1.5, 2.5, 2.0**51 + 0.5, 2.0**52 - 0.5, 2.0**52 + 1, 1e22, 1e300, 5e-324]
+    for k in (0, 1, 7, 1001, 2**33 + 1, 2**50 + 3):
+        edges += [k + 0.5, math.nextafter(k + 0.5, 0), math.nextafter(k + 0.5, INF)]
+    numbers = [(x if x is None else s * x,) for x in edges for s in (1, -1)]
+    df = spark.createDataFrame(numbers, "x double").select("x", F.round("x", 0).cast("string").alias("a"), catalog._to_whole(F.col("x")).cast("string").alias("b"))
+    assert df.filter("NOT (a <=> b)").collect() == []
+
+
+def test_rounded_before_the_join_as_after_it(spark):
+    numbers = [(i, x) for i, x in enumerate([None, NAN, INF, -INF, 0.61875, -0.61875, 1 / 3, 0.0])]
+    df = spark.createDataFrame(numbers, "i int, `a b.c` double")
+    before, after = catalog.round4(catalog.with_shown(df)), catalog.round4(df)
+    assert before.columns == after.columns == ["i", "a b.c", "a b.c__kind"]
+    assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
