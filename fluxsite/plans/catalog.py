@@ -67,7 +67,8 @@ def round4(df: DataFrame) -> DataFrame:
         c = named(f.name)
         if isinstance(f.dataType, DoubleType):
             ready = AS_SHOWN + f.name in df.columns
-            kinds.append((named(AS_KIND + f.name) if ready else _kind(c)).alias(S.kind_column(f.name)))
+            # a row without match in a left join has no kind
+            kinds.append((F.coalesce(named(AS_KIND + f.name), F.lit("null")) if ready else _kind(c)).alias(S.kind_column(f.name)))
             c = named(AS_SHOWN + f.name) if ready else _shown(c)
         cols.append(c.alias(f.name))
     return df.select(*cols, *kinds)

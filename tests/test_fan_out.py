@@ -50,3 +50,13 @@ def test_rounded_before_the_join_as_after_it(spark):
     before, after = catalog.round4(catalog.with_shown(df)), catalog.round4(df)
     assert before.columns == after.columns == ["i", "a b.c", "a b.c__kind"]
     assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
+
+
+def test_rows_without_units_are_rounded_alike(spark):
+    meters, state, units = one_building(spark)
+    meters = meters.limit(2).unionByName(meters.limit(2).withColumn("num_bat", F.lit("0002")))
+    units = units.limit(3).withColumn("metrage_unite", F.lit(1 / 3))
+    before = catalog.round4(A.with_dimensions(catalog.with_shown(meters), state, catalog.with_shown(units)))
+    after = catalog.round4(A.with_dimensions(meters, state, units))
+    assert sorted(map(repr, before.select(after.columns).collect())) == sorted(map(repr, after.collect()))
+    assert before.filter("Unite IS NULL AND metrage_unite__kind = 'null'").count() == 2
