@@ -77,9 +77,9 @@ class Analysis:
     ):
         """``workdir``: a shared folder (e.g. ``spark.checkpoint.dir``) where what
         several tables need is written once, in a folder of this run's own that
-        ``cleanup`` deletes: the sheets' rows and the allocated rows by resource, the
-        building state, the occupancy and the building statistics. The eight tables then
-        read each input file once, a lost executor does not replay the room and meter
+        ``cleanup`` deletes: the sheets' rows by resource, the building state, the
+        occupancy and the building statistics. The eight tables then read each input file
+        once (the allocated rows, by far the most, are each of one table only), a lost executor does not replay the room and meter
         aggregations, and Catalyst knows the real sizes.
         ``beside``: adds columns, each a function of its row, to the meter rows and to the
         occupancy of the enriched tables before their join multiplies them."""
@@ -209,11 +209,11 @@ class Analysis:
     @cached_property
     def enriched_wide(self) -> DataFrame:
         """The enriched table with every column of the sheets, as the reference
-        exports it: the sheets' rows, then the fan-out join. With a work folder it is
-        computed once and written by resource; each resource's table reads its part."""
+        exports it: the sheets' rows, then the fan-out join. Each resource's table takes
+        its own rows through that join, so none is written or sorted before its table is."""
         if self.sheet_rows is None:
             raise ValueError("the yearly columns need the sheets' header years (Inputs.sheet_years)")
-        return self._materialize("allocated", self._allocated(self.sheet_rows, self.held), "resource")
+        return self._allocated(self.sheet_rows, self.held)
 
     def enriched_table(self, resource: str) -> DataFrame:
         """The resource's table as the reference returns it: its own year and

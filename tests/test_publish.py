@@ -43,6 +43,15 @@ def test_all_eight_tables_come_back(spark, tmp_path, run_of, fmt):
     assert "2022_conso" in back["enriched_gaz"].columns
 
 
+def test_allocated_rows_are_written_once(spark, tmp_path, run_of):
+    """In their tables, not in the work folder before."""
+    a = run_of()
+    P.publish_run(a, str(tmp_path / "out"), DAY)
+    assert {"sheets", "state", "occupancy"} <= set(os.listdir(a.workdir))
+    for name in os.listdir(a.workdir):
+        assert "ratio_metre" not in spark.read.parquet(f"{a.workdir}/{name}").columns, name
+
+
 def test_a_failed_run_is_not_seen(spark, tmp_path, run_of, monkeypatch):
     base = str(tmp_path / "out")
     first = P.publish_run(run_of(), base, DAY)
