@@ -25,7 +25,8 @@ SCHEMA = "_file long, _at long, _kind int, record string"
 
 def plain_path(path: Column) -> Column:
     """A file's path without the differences between writings of one path."""
-    return F.regexp_replace(path, "^([A-Za-z0-9]+):/+", "$1:/")
+    # no regular expression: this is worked out for every line of a sheet
+    return F.replace(F.replace(path, F.lit("///"), F.lit("/")), F.lit("//"), F.lit("/"))
 
 
 def file_key(path: Column) -> Column:
@@ -92,19 +93,32 @@ def _cut(quote: str):
                 before = np.append(inner, after[:-1])
                 at = key[1] + row + np.arange(b - a)
                 alone = ~before & ~after
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(int(alone.sum()), key[0])), pa.array(at[alone]), pa.array(np.full(int(alone.sum()), whole, np.int32)), lines.filter(pa.array(alone)).cast(pa.string())],
-                    names,
-                )
-                for i in np.flatnonzero(~alone).tolist():
-                    if not before[i]:
-                        held, held_at, began = [], int(at[i]), True
-                    elif not held:
-                        held_at = int(at[i])  # goes on from the split before
-                    held.append(lines[i].as_py())
-                    if not after[i]:
+                if alone.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(int(alone.sum()), key[0])), pa.array(at[alone]), pa.array(np.full(int(alone.sum()), whole, np.int32)), lines.filter(pa.array(alone)).cast(pa.string())],
+                        names,
+                    )
+                # the lines of longer records: the rest of one, whole ones, the first of another
+                at, goes_on, ended = at[~alone], before[~alone], ~after[~alone]
+                lines = lines.filter(pa.array(~alone)).cast(pa.string())
+                begin = 0
+                if len(at) and goes_on[0]:
+                    begin = int(ended.argmax()) + 1 if ended.any() else len(at)
+                    held_at = held_at if held else int(at[0])  # or it goes on from the split before
+                    held += lines.slice(0, begin).to_pylist()
+                    if ended[begin - 1]:
                         found.append((key[0], held_at, whole if began else ends, "\n".join(held)))
                         held, began = [], False
+                starts, stops = begin + np.flatnonzero(~goes_on[begin:]), begin + np.flatnonzero(ended[begin:]) + 1
+                n = len(stops)
+                if n:
+                    each = pa.ListArray.from_arrays(pa.array(np.append(starts[:n], stops[-1]), pa.int32()), lines)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, key[0])), pa.array(at[starts[:n]]), pa.array(np.full(n, whole, np.int32)), pc.binary_join(each, "\n")],
+                        names,
+                    )
+                if len(starts) > n:
+                    held, held_at, began = lines.slice(int(starts[n])).to_pylist(), int(at[starts[n]]), True
                 inner, row = bool(after[-1]), row + b - a
                 if found:
                     yield rows(found)
@@ -132,7 +146,7 @@ def csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8", quote:
     text = F.array_join(F.transform("parts", lambda p: p["record"]), "\n")
     joined = parts.select("_file", F.col("parts")[0]["_at"].alias("_at"), text.alias("record"))
     records = whole.select("_file", "_at", "record").unionByName(joined)
-    return records.withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return records.withColumn("record", F.when(F.endswith("record", F.lit("\r")), F.regexp_replace("record", "\r$", "")).otherwise(F.col("record")))
 
 
 def csv_cells(records: DataFrame, header: list[str], names: list[str], sep: str = ",", quote: str = '"') -> DataFrame:

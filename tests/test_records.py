@@ -73,6 +73,21 @@ def test_a_cell_longer_than_many_splits(spark, tmp_path):
         assert cells(read_sheet(spark, path, split=True)) == rows
 
 
+def test_whole_records_of_many_lines_are_put_together_in_arrow():
+    """No Python object for each line of a record that a batch holds whole."""
+    import pyarrow as pa
+
+    from fluxsite.sources import records
+
+    lines = ['"a', 'b"', "c", '"d', "", 'e"', '"f'] + ['g"', '"h'] * 1000 + ['i"']
+    batch = pa.RecordBatch.from_pydict({"line": lines, "_file": [7] * len(lines), "_block": [0] * len(lines), "_open": [False] * len(lines)})
+    found = list(records._cut('"')(iter([batch.slice(0, 5), batch.slice(5)])))
+    rows = sorted(r for b in found for r in zip(b.column("_at").to_pylist(), b.column("record").to_pylist(), b.column("_kind").to_pylist()))
+    assert [r[1] for r in rows[:4]] == ['"a\nb"', "c", '"d\n\ne"', '"f\ng"'] and len(rows) == 1004
+    assert rows[-1] == (2006, '"h\ni"', records.WHOLE) and {r[2] for r in rows} == {records.WHOLE}
+    assert max(len(b) for b in found) > 900  # together, as they were cut
+
+
 def test_files_follow_each_other(spark, tmp_path):
     (tmp_path / "sheet").mkdir()
     parts = [random_rows(s, 40) for s in (5, 6, 7)]
