@@ -16,7 +16,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrow_text import text_bytes
+from . import token_file
 from .common import text_or_empty, work_table
 
 LENGTH = 1024
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks
-CACHED = 300_000  # segments whose ids a worker keeps at most
-# White space that may stand before a space: there a text is not split.
-WHITE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 PIECE = "struct<doc_id:{key},start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>"
 
 
 class Tokens:
-    """Ids of texts as little-endian uint32 bytes.
-
-    The pre-tokenizer never joins characters across a space that follows a
-    non-space character, so a text is split there and the ids of each segment
-    are kept for the next time it occurs.
-    """
+    """Ids of texts as little-endian uint32 bytes."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
@@ -51,31 +43,27 @@ class Tokens:
 
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.later = _Kept(lambda segment: self.ids(" " + segment))
-
-    def ids(self, text: str) -> bytes:
-        return array("I", self.encoding.encode_ordinary(text)).tobytes()
+        encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.segments = _Segments(encoding, ranks)
 
     def encode(self, text: str) -> bytes:
-        if any(w in text for w in WHITE):
-            return self.ids(text)
-        first, *rest = text.split(" ")
-        if len(self.later) > CACHED:
-            self.later.clear()
-        return self.ids(first) + b"".join(map(self.later.__getitem__, rest))
+        return b"".join(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        return self.segments.encode(texts)
+
 
+class _Segments(token_file.Tokens):
+    """Texts split, and the ids of their segments kept, as for token files; new
+    segments go through the rank file, together in one string."""
 
-class _Kept(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+    def __init__(self, encoding, ranks: dict[bytes, int]):
+        self.encoding, self.width, self.later = encoding, 4, {}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
 
-    def __missing__(self, key):
-        if len(key) > 64:
-            return self.make(key)
-        self[key] = value = self.make(key)
-        return value
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return list(map(self.encoding.encode_ordinary, texts))
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -92,7 +80,7 @@ def _tokenise(vocabulary: str, end_id: int):
         tokens = _TOKENS[vocabulary]
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [tokens.encode(t) + end for t in batch.column("text").to_pylist()]
+            ids = [own + end for own in tokens.encode_all(batch.column("text").to_pylist())]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             first = at + np.cumsum(n) - n
             at += int(n.sum())

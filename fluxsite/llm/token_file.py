@@ -69,16 +69,18 @@ class Tokens:
             self.sizes[i] = len(token)  # a character of a byte-level token is a byte
         self.later: dict[str, bytes] = {}  # segments without the space before them
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+        return [np.array(ids, f"<u{self.width}").tobytes() for ids in self._ids(texts)]
 
     def _encode_joined(self, texts: list[str]) -> list[bytes]:
         """The ids of texts that begin with a space or a line break, alone, and don't end
         in white space: their tokens are the same when one follows the other."""
         if not texts:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self._ids(["".join(texts)])[0], np.int64)
         reached = np.append(0, np.cumsum(self.sizes[ids]))
         ends = np.cumsum([len(t.encode()) for t in texts])
         cuts = np.searchsorted(reached, ends)

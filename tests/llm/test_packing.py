@@ -28,6 +28,19 @@ def test_ids_equal_the_tokenizers(spark, reference):
         assert np.frombuffer(tokens.encode(text), "<u4").tolist() == reference(text), repr(text[:80])
 
 
+def test_new_segments_of_a_batch_are_encoded_together(reference):
+    tokens, asked = packing.Tokens(), []
+    ids_of = tokens.segments._ids
+    tokens.segments._ids = lambda texts: asked.extend(texts) or ids_of(texts)
+    texts = [f"word{k} some, {k} words. End\nof line{k}" for k in range(300)]
+    for _ in range(2):
+        found = [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_all(texts)]
+        assert found == list(map(reference, texts))
+    assert len(asked) < 10  # not one call for each of 1,500 segments
+    odd = ODD + texts + ["", "a\0 b \0", "  ", " " * 300 + "x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_all(odd)] == list(map(reference, odd))
+
+
 def check(rows, sizes, ids, length):
     """Every id in exactly one piece, sequences gapless and full but for the last."""
     seen, by_sequence = {}, {}
